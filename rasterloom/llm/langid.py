@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches, code_points, mix64, plain, prepare, text_slices
+from .shared import batches, code_points, framed, mix64, plain, prepare, text_slices
 
 ORDERS = (1, 2, 3)
 SPACE = 32
@@ -41,7 +41,7 @@ def hashed_ngrams(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, n
     """Hashes of all n-grams, the text of each, and which texts have a letter."""
     lowered = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     lettered = pc.match_substring_regex(lowered, r"\pL").to_numpy(zero_copy_only=False)
-    points, at = code_points(pc.binary_join_element_wise(" ", lowered, " ", ""))
+    points, at = code_points(framed(lowered, " ", " "))
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(at))
     points = np.where((points >= 9) & (points <= 13), np.uint32(SPACE), points)
     points = np.where((points >= 48) & (points <= 57), np.uint32(48), points).astype(np.uint64)

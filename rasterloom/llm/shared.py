@@ -10,12 +10,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.session import ship
+
 #: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
 LOCAL_STORE = "/tmp/checkpoints"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound what one Arrow batch may hold, so that long texts don't add up in a Python worker."""
+    """Send the package to the executors, and bound what one Arrow batch may hold, so that long
+    texts don't add up in a Python worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     return spark
@@ -108,6 +112,12 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate([[0], np.cumsum(sizes)])
 
 
+def framed(texts: pa.Array, before: str, after: str = "") -> pa.Array:
+    """Texts (null: empty) with something before and after each."""
+    big = pa.large_string()
+    return pc.binary_join_element_wise(pa.scalar(before, big), pc.fill_null(texts.cast(big), ""), pa.scalar(after, big), pa.scalar("", big))
+
+
 def quantity(df: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows and bytes of text of a table, by one pass in the JVM."""
     from pyspark.sql import functions as F
