@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .perplexity_rules import apply_quality_rules
 
@@ -45,7 +51,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_perplexity_rules, op7_packing, op8_sentencepiece, op9_language_id)}
+    return {f.__name__: f for f in (op2_html_text, op4_perplexity_rules, op7_packing, op8_sentencepiece, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
