@@ -32,6 +32,18 @@ def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .srs_ann import nearest_of_every_20th
+
+    return nearest_of_every_20th(table(spark, sf_dir, "embeddings"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .subword_classifier import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -50,8 +62,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_text, op4_perplexity_rules, op7_packing, op8_sentencepiece, op9_language_id)}
+    return {f.__name__: f for f in (op2_html_text, op4_perplexity_rules, op5_nearest_vectors, op6_quality_classifier, op7_packing, op8_sentencepiece, op9_language_id, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
