@@ -26,6 +26,12 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gru_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .perplexity_rules import apply_quality_rules
 
@@ -69,7 +75,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_text, op4_perplexity_rules, op5_nearest_vectors, op6_quality_classifier, op7_packing, op8_sentencepiece, op9_language_id, op10_licence_scan)}
+    return {f.__name__: f for f in (op2_html_text, op3_recurrent_lm, op4_perplexity_rules, op5_nearest_vectors, op6_quality_classifier, op7_packing, op8_sentencepiece, op9_language_id, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
