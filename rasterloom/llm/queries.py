@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract_pages
 
@@ -75,7 +81,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_text, op3_recurrent_lm, op4_perplexity_rules, op5_nearest_vectors, op6_quality_classifier, op7_packing, op8_sentencepiece, op9_language_id, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_html_text, op3_recurrent_lm, op4_perplexity_rules, op5_nearest_vectors, op6_quality_classifier, op7_packing, op8_sentencepiece, op9_language_id, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
