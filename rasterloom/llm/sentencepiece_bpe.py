@@ -30,7 +30,8 @@ from .shared import prepare
 BLANK = "▁"
 PARTS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE = 200_000
+#: Entries of a worker's caches, about 300 and 100 bytes each.
+CACHE, PAIRS = 600_000, 1_000_000
 #: Parts longer than this are encoded but not kept.
 CACHED_CHARS = 64
 
@@ -61,9 +62,10 @@ class MergeEncoder:
         self.end_id = trainer.eos_id if trainer.eos_id >= 0 else next(i for i, (p, _, _) in enumerate(pieces) if p == "</s>")
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
-            self.automaton.add_word(p, len(p))
+            self.automaton.add_word(p, (len(p), self.ids[p]))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.characters = frozenset(p for p in self.ids if len(p) == 1)
+        self.fits: dict[int, bool] = {}
         self.parts: dict[str, tuple[int, str, str, bool]] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -80,67 +82,72 @@ class MergeEncoder:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def compatible(self, left: str, right: str) -> bool:
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) > 4 * CACHE:
-                self.fits.clear()
-            known = self.fits[left, right] = self.merge(left + right) == [left, right]
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether two pieces may be neighbours: merging their text gives both back."""
+        fits = self.fits
+        if len(fits) > PAIRS:
+            fits.clear()
+        a, b = self.piece[left], self.piece[right]
+        known = fits[left << 16 | right] = self.merge(a + b) == [a, b]
         return known
 
-    def known_run(self, text: str) -> list[str]:
-        """Pieces of a text all of whose characters have a piece."""
-        ends: list[list[int]] = [[] for _ in text]
-        for end, size in self.automaton.iter(text):
-            ends[end - size + 1].append(size)  # by increasing end, so by increasing size
+    def known_run(self, text: str) -> list[int]:
+        """Ids of a text all of whose characters have a piece."""
         n = len(text)
+        if n == 1:
+            return [self.ids[text]]
+        starts: list[list] = [[] for _ in range(n)]
+        for end, found in self.automaton.iter(text):
+            starts[end - found[0] + 1].append(found)  # by increasing end, so by increasing size
+        fits, compatible = self.fits, self.compatible
         failed = 0  # bit p: no way on from position p
-        taken: list[str] = []
-        at, tries = 0, [len(ends[0])]
-        while at < n:
-            found = ""
-            sizes, k = ends[at], tries[-1]
+        taken: list[int] = []
+        sizes: list[int] = []
+        tries: list[int] = []
+        at, k = 0, len(starts[0])
+        while True:
+            options = starts[at]
             while k:
                 k -= 1
-                stop = at + sizes[k]
-                if failed >> stop & 1:
+                size, piece = options[k]
+                if failed >> (at + size) & 1:
                     continue
-                piece = text[at:stop]
-                if not taken or self.compatible(taken[-1], piece):
-                    found = piece
-                    break
-            tries[-1] = k
-            if found:
-                taken.append(found)
-                at += len(found)
-                tries.append(len(ends[at]) if at < n else 0)
+                if taken:
+                    ok = fits.get(taken[-1] << 16 | piece)
+                    if ok is None:
+                        ok = compatible(taken[-1], piece)
+                    if not ok:
+                        continue
+                taken.append(piece)
+                at += size
+                if at == n:
+                    return taken
+                sizes.append(size)
+                tries.append(k)
+                k = len(starts[at])
+                break
             else:
-                # what fits after a position doesn't depend on how it was reached: exactly one piece
-                # sequence is valid for any prefix, so a position without a way on stays without one
-                if not taken:
-                    raise AssertionError("no encoding")
+                # exactly one sequence is right for a text up to here, whatever comes before a
+                # position, so a position without a way on stays without one
                 failed |= 1 << at
-                tries.pop()
-                at -= len(taken.pop())
-        return taken
+                taken.pop()
+                at -= sizes.pop()
+                k = tries.pop()
 
     def encode_part(self, part: str) -> list[int]:
+        if self.characters.issuperset(part):
+            return self.known_run(part)
         out: list[int] = []
         run: list[str] = []
-
-        def flush():
-            if run:
-                out.extend(self.ids[p] for p in self.known_run("".join(run)))
-                run.clear()
-
         for ch in part:
-            if ch in self.ids:
+            if ch in self.characters:
                 run.append(ch)
-            else:
-                flush()
-                out.extend(self.byte_id[b] for b in ch.encode())
-        flush()
-        return out
+                continue
+            if run:
+                out += self.known_run("".join(run))
+                run.clear()
+            out += [self.byte_id[b] for b in ch.encode()]
+        return out + self.known_run("".join(run)) if run else out
 
     def escaped(self, text: str) -> str:
         if not text:
@@ -177,27 +184,30 @@ class MergeEncoder:
         flush()
         return "".join(out)
 
+    def remember(self, part: str) -> tuple[int, str, str]:
+        """Number of ids of a part, the ids as text, and what they decode to within a text."""
+        own = self.encode_part(part)
+        if self.characters.issuperset(part):
+            back = "".join([self.piece[i] for i in own]).replace(BLANK, " ")
+        else:
+            back = self.decode([own[0], *own])[len(self.decode([own[0]])) :] if self.kind[own[0]] != BYTE else self.decode(own)
+        known = (len(own), " ".join(map(str, own)), back)
+        if len(part) <= CACHED_CHARS:
+            if len(self.parts) >= CACHE:
+                self.parts.clear()
+            self.parts[part] = known
+        return known
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids with the end id, SHA-256 of the ids, SHA-256 of the decoded text."""
-        parts, count, ids, decoded = self.parts, 0, [], []
-        for part in PARTS.findall(self.escaped(text)):
-            known = parts.get(part)
-            if known is None:
-                own = self.encode_part(part)
-                # the decoder's first-blank rule holds at the start of a text only
-                back = self.decode([0, *own])[3:] if own else ""
-                known = (len(own), " ".join(map(str, own)), back)
-                if len(part) <= CACHED_CHARS:
-                    if len(parts) >= CACHE:
-                        parts.clear()
-                    parts[part] = known
-            count += known[0]
-            ids.append(known[1])
-            decoded.append(known[2])
-        if decoded and self.dummy_prefix and decoded[0].startswith(" "):
-            decoded[0] = decoded[0][1:]
-        ids.append(str(self.end_id))
-        return count + 1, hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256("".join(decoded).encode()).hexdigest()
+        get, remember = self.parts.get, self.remember
+        known = [get(part) or remember(part) for part in PARTS.findall(self.escaped(text))]
+        ids = " ".join([x[1] for x in known])
+        decoded = "".join([x[2] for x in known])
+        if self.dummy_prefix and decoded.startswith(" "):
+            decoded = decoded[1:]
+        ids = f"{ids} {self.end_id}" if ids else str(self.end_id)
+        return sum([x[0] for x in known]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def decode_bytes(raw: bytes) -> str:
