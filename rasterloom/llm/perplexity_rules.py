@@ -20,6 +20,7 @@ columns: ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +49,20 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     out["n_symbols"] = pc.count_substring_regex(texts, r"[#*$%&|<>]").to_numpy(zero_copy_only=False).astype(np.int64)
     out["n_dup_lines"] = repeated_lines(texts)
     out["n_repeat_words"] = words_in_repeats(words)
-    for name, pattern in (("n_upper", r"\p{Lu}"), ("n_letters", r"\pL")):
-        hits = pc.count_substring_regex(words.forms, pattern).to_numpy(zero_copy_only=False).astype(np.int64)
-        out[name] = words.per_doc(hits[words.codes])
+    points, at = code_points(words.forms)
+    kind = letter_kinds()[np.minimum(points, 0xFFFF)]
+    for name, bit in (("n_upper", 1), ("n_letters", 2)):
+        run = np.concatenate([[0], np.cumsum(kind & bit > 0)])
+        out[name] = words.per_doc((run[at[1:]] - run[at[:-1]])[words.codes])
     return out
 
 
+@lru_cache(maxsize=1)
+def letter_kinds() -> np.ndarray:
+    """For each code point of the basic plane: 1 for a capital, plus 2 for a letter; others count as the last one's kind."""
+    return np.array([chr(i).isupper() + 2 * chr(i).isalpha() for i in range(1 << 16)], np.uint8)
+
+
 def repeated_lines(texts: pa.Array) -> np.ndarray:
     lists = pc.split_pattern(texts, "\n")
     offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -72,12 +81,17 @@ def words_in_repeats(words: Words, size: int = 5) -> np.ndarray:
     n = len(words.codes)
     covered = np.zeros(n + 1, np.int64)
     if n >= size:
-        key = mix64(words.doc.astype(np.uint64) + np.uint64(1))[: n - size + 1]
-        for k in range(size):
-            key = mix64(key * np.uint64(3) + words.codes[k : n - size + 1 + k].astype(np.uint64))
+        # a polynomial over the mixed numbers of a window's words; the text's number is mixed in last
+        code = mix64(np.arange(len(words.forms), dtype=np.uint64))[words.codes]
+        key = code[: n - size + 1].copy()
+        for k in range(1, size):
+            key *= np.uint64(0x9E3779B97F4A7C15)
+            key += code[k : n - size + 1 + k]
+        key += mix64(np.arange(len(words.counts), dtype=np.uint64) + np.uint64(1))[words.doc[: n - size + 1]]
         inside = np.flatnonzero(words.doc[: n - size + 1] == words.doc[size - 1 :])
-        order = np.argsort(key[inside], kind="stable")
-        sorted_key = key[inside][order]
+        key = key[inside]
+        order = np.argsort(key)
+        sorted_key = key[order]
         same = sorted_key[1:] == sorted_key[:-1]
         twice = np.zeros(len(order), bool)
         twice[1:] |= same
@@ -103,8 +117,11 @@ def is_reference(c: dict[str, np.ndarray]) -> np.ndarray:
 def symbol_ids(points: np.ndarray) -> np.ndarray:
     """12-bit symbols: code points below 2048 stand for themselves, others are hashed above them."""
     half = 1 << (SYMBOL_BITS - 1)
-    high = half + (mix64(points) >> np.uint64(64 - SYMBOL_BITS + 1)).astype(np.int64)
-    return np.where(points < half, points.astype(np.int64), high)
+    out = points.astype(np.int64)
+    high = np.flatnonzero(points >= half)
+    if len(high):
+        out[high] = half + (mix64(points[high]) >> np.uint64(64 - SYMBOL_BITS + 1)).astype(np.int64)
+    return out
 
 
 def ngram_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,32 +137,40 @@ def ngram_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     key = ids[:n].copy()
     for k in range(1, ORDER):
         key = (key << SYMBOL_BITS) | ids[k : n + k]
-    size = np.diff(at)
-    doc = np.repeat(np.arange(len(texts)), size)
-    place = np.arange(len(ids)) - np.repeat(at[:-1], size)
-    real = place[ORDER - 1 :] >= ORDER - 1
-    return key[real], doc[ORDER - 1 :][real]
+    # n-grams that end in the start symbols of a text are left out
+    real = np.ones(n, bool)
+    for k in range(ORDER - 1):
+        ends = at[:-1] + k - (ORDER - 1)
+        real[ends[(ends >= 0) & (ends < n)]] = False
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(at) - (ORDER - 1))
+    return key[real], doc
 
 
 class HashArray:
-    """Sorted hashes with values beside them; an index over the upper bits bounds each search."""
+    """Sorted hashes with values beside them; an index over the upper bits bounds each search.
+
+    The hash is a product with an odd number, so different keys have different hashes."""
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray):
-        hashed = mix64(keys)
+        hashed = keys.astype(np.uint64) * self.FACTOR
         order = np.argsort(hashed)
         self.hashes, self.values = hashed[order], [v[order] for v in values]
-        self.bits = max(1, int(np.ceil(np.log2(max(2, len(keys))))))
+        self.bits = max(1, int(np.ceil(np.log2(max(2, len(keys))))) + 1)
         top = (self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(top, minlength=1 << self.bits))]).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 where there is none."""
-        hashed = mix64(keys)
+        hashed = keys.astype(np.uint64) * self.FACTOR
         top = (hashed >> np.uint64(64 - self.bits)).astype(np.int64)
         at, end = self.first[top], self.first[top + 1]
-        out = np.full(len(keys), -1, np.int32)
-        live = np.flatnonzero(at < end)
-        at, end, hashed = at[live], end[live], hashed[live]
+        # most keys stand first in their range
+        hit = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashed
+        out = np.where(hit, at, np.int32(-1))
+        live = np.flatnonzero(~hit & (at + 1 < end))
+        at, end, hashed = at[live] + 1, end[live], hashed[live]
         while len(live):
             hit = self.hashes[at] == hashed
             out[live[hit]] = at[hit]
@@ -217,7 +242,6 @@ class KneserNey:
 class PerplexityRules:
     names: dict[str, str]  # language -> name of its model
     models: dict[str, KneserNey]
-    bands: dict[str, tuple[float, float, float]]  # mean, spread of texts, spread of one character
 
 
 def language() -> F.Column:
@@ -225,7 +249,7 @@ def language() -> F.Column:
 
 
 def fit_rules(docs: DataFrame, *, max_ngrams: int = 3_000_000, max_languages: int = 64) -> PerplexityRules:
-    """Count n-grams of all reference texts of docs (text, lang) by language, and set the bands."""
+    """Count n-grams of all reference texts of docs (text, lang) by language."""
     spark = prepare(docs.sparkSession)
     source = docs.select("text", language().alias("lang"))
     big = [r["lang"] for r in source.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
@@ -290,40 +314,19 @@ def fit_rules(docs: DataFrame, *, max_ngrams: int = 3_000_000, max_languages: in
     if models and POOLED not in models and len(models) < len(big):
         u, inverse = np.unique(g, return_inverse=True)
         models[POOLED] = KneserNey(u, np.bincount(inverse, weights=c).astype(np.int64))
-    rules = PerplexityRules(names, models, {})
-    rules.bands = fit_bands(docs, rules)
-    return rules
-
-
-def fit_bands(docs: DataFrame, rules: PerplexityRules) -> dict[str, tuple[float, float, float]]:
-    """Mean and spread of the reference texts' log-perplexity for each model, and how far one
-    character strays, from sums over all reference texts."""
-    x, n = F.col("log_ppl"), F.col("n_scored")
-    scored = judge(docs, rules, ["lang"]).where("reference and n_scored > 0")
-    sums = scored.groupBy("model").agg(
-        F.percentile_approx(x, 0.5, 10000).alias("mid"),
-        F.percentile_approx(F.when(n >= 1000, x), [0.16, 0.84], 10000).alias("long"),
-        F.percentile_approx(F.when(n < 400, F.struct(n, x).getField("log_ppl")), [0.16, 0.84], 10000).alias("short"),
-        F.avg(F.when(n < 400, 1 / n)).alias("inverse"),
-    )
-    out = {}
-    for r in sums.collect():  # a row for each model
-        spread = lambda q: (q[1] - q[0]) / 2 if q and q[0] is not None else 0.0
-        long, short = spread(r["long"]), spread(r["short"])
-        one = np.sqrt(max(short**2 - long**2, 0.25) / r["inverse"]) if r["inverse"] else 3.0
-        out[r["model"]] = (r["mid"], max(long, 0.005), float(one))
-    return out
+    return PerplexityRules(names, models)
 
 
-def judge(docs: DataFrame, rules: PerplexityRules, keep: list[str], *, width: float = 3.0) -> DataFrame:
-    """Columns keep of docs with the counts, the log-perplexity and the verdict for each text."""
+def score_documents(docs: DataFrame, rules: PerplexityRules, keep: list[str]) -> DataFrame:
+    """Columns keep of docs with the counts and the log-perplexity of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(rules)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    text_at = keep.index("text") if "text" in keep else len(keep) + 1
 
     def score(parts):
         r = shared.value
         for batch in parts:
-            text, lang = plain(batch.column(len(keep))), batch.column(len(keep) + 1)
+            text, lang = plain(batch.column(text_at)), batch.column(len(keep))
             for a, b in text_slices(text):
                 part = text.slice(a, b - a)
                 c = text_counts(part)
@@ -335,22 +338,52 @@ def judge(docs: DataFrame, rules: PerplexityRules, keep: list[str], *, width: fl
                     if name in r.models:
                         mine = np.array([x == name for x in names])[doc]
                         total += np.bincount(doc[mine], weights=r.models[name].score(key[mine]), minlength=b - a)
-                log_ppl = -total / np.maximum(n, 1)
-                band = np.array([r.bands.get(x, (0, np.inf, 0)) for x in names])
-                reach = width * np.sqrt(band[:, 1] ** 2 + band[:, 2] ** 2 / np.maximum(n, 1))
-                low, high = band[:, 0] - reach, band[:, 0] + reach
-                failed = base_failed(c)
                 own = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
-                made = [c[x] for x in COUNTS] + [failed, ~failed & (log_ppl >= low) & (log_ppl <= high), is_reference(c), n.astype(np.int64), log_ppl, low, high]
-                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, made), pa.array(names, pa.string())], names=[*keep, *COUNTS, "base_failed", "kept", "reference", "n_scored", "log_ppl", "band_low", "band_high", "model"])
+                made = [c[x] for x in COUNTS] + [base_failed(c), is_reference(c), n.astype(np.int64), -total / np.maximum(n, 1)]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, made), pa.array(names, pa.string())], names=[*keep, *COUNTS, *VERDICT])
 
-    kinds = ", ".join(x for x in (kinds, *(f"{x} long" for x in COUNTS), "base_failed boolean, kept boolean, reference boolean, n_scored long, log_ppl double, band_low double, band_high double, model string") if x)
-    return docs.select(*keep, F.col("text").alias("__text"), language().alias("__lang")).mapInArrow(score, kinds)
+    kinds = ", ".join([kinds, *(f"{x} long" for x in COUNTS), "base_failed boolean, reference boolean, n_scored long, log_ppl double, model string"])
+    more = [] if "text" in keep else [F.col("text").alias("__text")]
+    return docs.select(*keep, language().alias("__lang"), *more).mapInArrow(score, kinds)
+
+
+def fit_bands(scored: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """For each model the middle and the spread of the reference texts' log-perplexity, and how far
+    one character strays, from all reference texts."""
+    x, n = F.col("log_ppl"), F.col("n_scored")
+    sums = scored.where("reference and n_scored > 0").groupBy("model").agg(
+        F.percentile_approx(x, 0.5, 10000).alias("mid"),
+        F.percentile_approx(F.when(n >= 1000, x), [0.16, 0.84], 10000).alias("long"),
+        F.percentile_approx(F.when(n < 400, x), [0.16, 0.84], 10000).alias("short"),
+        F.avg(F.when(n < 400, 1 / n)).alias("inverse"),
+    )
+    out = {}
+    for r in sums.collect():  # a row for each model
+        spread = lambda q: (q[1] - q[0]) / 2 if q and q[0] is not None else 0.0
+        long, short = spread(r["long"]), spread(r["short"])
+        one = np.sqrt(max(short**2 - long**2, 0.25) / r["inverse"]) if r["inverse"] else 3.0
+        out[r["model"]] = (r["mid"], max(long, 0.005), float(one))
+    return out
+
+
+def judge(scored: DataFrame, bands: dict[str, tuple[float, float, float]], *, width: float = 3.0) -> DataFrame:
+    """The verdict: outside the band of its language, which is wider for short texts, a text is rejected."""
+    rows = [(k, *v) for k, v in bands.items()] or [("", 0.0, 0.0, 0.0)]
+    table = scored.sparkSession.createDataFrame(rows, "model string, mid double, spread double, one double")
+    reach = width * F.sqrt(F.pow("spread", 2) + F.pow("one", 2) / F.greatest("n_scored", F.lit(1)))
+    # a row for each model, at most max_languages + 1
+    out = scored.join(F.broadcast(table), "model", "left").withColumns({"band_low": F.col("mid") - reach, "band_high": F.col("mid") + reach})
+    inside = F.coalesce(F.col("log_ppl").between(F.col("band_low"), F.col("band_high")), F.lit(True))
+    return out.withColumn("kept", ~F.col("base_failed") & inside).drop("mid", "spread", "one")
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+VERDICT = ("base_failed", "reference", "n_scored", "log_ppl", "model")
+
+
 def apply_quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Fit on all of docs, then judge every row."""
-    return judge(docs, fit_rules(docs), keep or ["doc_id"])
+    """Fit on all of docs, score every row once, set the bands by the scores, and judge every row."""
+    scored = stored(score_documents(docs, fit_rules(docs), keep or ["doc_id"]), "scored")
+    return judge(scored, fit_bands(scored))

@@ -107,8 +107,13 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All code points of the texts in one array, and where each text begins (one more at the end)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    joined = "".join(texts.to_pylist())
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    # the texts lie one after the other in one buffer
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = texts.buffers()[2]
+    joined = bytes(raw[int(ends[0]) : int(ends[-1])]).decode() if raw is not None else ""
+    points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
     return points, np.concatenate([[0], np.cumsum(sizes)])
 
 
