@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 #: Words without which a sentence isn't about licences. Fixed values.
 MENTION = r"licen[sc]|copyright|warrant|redistribut|permission is|public domain|spdx|provided .?as is"
 
+#: In a text that has one, sentences that may be about licences. Fixed value.
+MORE = MENTION + r"|^neither the name|cc by|cc0|general public|creative commons"
+
 #: Known sentences: identifier, and the pattern of the normalised sentence. Fixed values.
 SENTENCES = (
     ("copyright", r"^(©|\(c\)|copyright)\b.*\d{4}"),
@@ -57,29 +60,29 @@ SENTENCES = (
     ("as_is", r"provided (\"|')?as is"),
 )
 
-#: Licence rules in order: licence, and the pattern of identifiers (each followed by a semicolon). Fixed values.
+#: Licence rules in order: licence, and the pattern of identifiers, each between < and >. Fixed values.
 RULES = (
-    ("MIT", r"mit_grant;(mit_notice;)?(as_is;)?"),
-    ("MIT", r"spdx_mit;|mit_name;(as_is;)?"),
-    ("Apache-2.0", r"spdx_apache2;|apache2_name;(apache2_duty;)?(as_is;)?"),
-    ("Apache-2.0", r"apache2_duty;"),
-    ("BSD-3-Clause", r"bsd_grant;bsd_source;bsd_binary;bsd_name;(as_is;)?|spdx_bsd3;|bsd3_name;"),
-    ("BSD-2-Clause", r"bsd_grant;bsd_source;bsd_binary;(as_is;)?|bsd2_name;"),
-    ("ISC", r"isc_grant;(as_is;)?"),
-    ("AGPL-3.0", r"(agpl3_name;)+"),
-    ("LGPL", r"(lgpl_name;)+"),
-    ("GPL-2.0", r"(gpl2_name;)+(gpl_name;)*"),
-    ("GPL-3.0", r"spdx_gpl3;|(gpl3_name;)+(gpl_name;)*"),
-    ("GPL", r"(gpl_name;)+"),
-    ("MPL-2.0", r"(mpl2_name;)+"),
-    ("CC-BY-NC-SA", r"(cc_by_nc_sa;)+"),
-    ("CC-BY-NC-ND", r"(cc_by_nc_nd;)+"),
-    ("CC-BY-NC", r"(cc_by_nc;)+"),
-    ("CC-BY-SA", r"(cc_by_sa;)+"),
-    ("CC-BY-ND", r"(cc_by_nd;)+"),
-    ("CC-BY", r"(cc_by;)+"),
-    ("CC0-1.0", r"(cc0;)+"),
-    ("Unlicense", r"(unlicense;)+"),
+    ("MIT", r"<mit_grant>(<mit_notice>)?(<as_is>)?"),
+    ("MIT", r"<spdx_mit>|<mit_name>(<as_is>)?"),
+    ("Apache-2.0", r"<spdx_apache2>|<apache2_name>(<apache2_duty>)?(<as_is>)?"),
+    ("Apache-2.0", r"<apache2_duty>"),
+    ("BSD-3-Clause", r"<bsd_grant><bsd_source><bsd_binary><bsd_name>(<as_is>)?|<spdx_bsd3>|<bsd3_name>"),
+    ("BSD-2-Clause", r"<bsd_grant><bsd_source><bsd_binary>(<as_is>)?|<bsd2_name>"),
+    ("ISC", r"<isc_grant>(<as_is>)?"),
+    ("AGPL-3.0", r"(<agpl3_name>)+"),
+    ("LGPL", r"(<lgpl_name>)+"),
+    ("GPL-2.0", r"(<gpl2_name>)+(<gpl_name>)*"),
+    ("GPL-3.0", r"<spdx_gpl3>|(<gpl3_name>)+(<gpl_name>)*"),
+    ("GPL", r"(<gpl_name>)+"),
+    ("MPL-2.0", r"(<mpl2_name>)+"),
+    ("CC-BY-NC-SA", r"(<cc_by_nc_sa>)+"),
+    ("CC-BY-NC-ND", r"(<cc_by_nc_nd>)+"),
+    ("CC-BY-NC", r"(<cc_by_nc>)+"),
+    ("CC-BY-SA", r"(<cc_by_sa>)+"),
+    ("CC-BY-ND", r"(<cc_by_nd>)+"),
+    ("CC-BY", r"(<cc_by>)+"),
+    ("CC0-1.0", r"(<cc0>)+"),
+    ("Unlicense", r"(<unlicense>)+"),
 )
 
 #: A sentence ends at a line's end, or after a mark that a blank follows. Fixed value.
@@ -92,7 +95,7 @@ def sentences(text: Column) -> Column:
     """Normalised sentences of a text that speak of licences."""
     # texts without any such word, which are most, aren't cut at all
     cut = F.when(F.lower(text).rlike(MENTION), F.split(F.lower(text), SENTENCE_END)).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.filter(cut, lambda s: s.rlike(MENTION + r"|^neither the name|cc by|cc0|general public|creative commons")), lambda s: F.regexp_replace(F.regexp_replace(s, TRIM, ""), r"[ \t\r]+", " "))
+    return F.transform(F.filter(cut, lambda s: s.rlike(MORE)), lambda s: F.regexp_replace(F.regexp_replace(s, TRIM, ""), r"[ \t\r]+", " "))
 
 
 def sentence_id(sentence: Column) -> Column:
@@ -106,11 +109,12 @@ def sentence_id(sentence: Column) -> Column:
 def scan_licences(docs: DataFrame) -> DataFrame:
     """doc_id, licences (sorted, one string), n_sentences, n_known, n_unknown, status of every text."""
     ids = docs.select("doc_id", F.transform(sentences(F.coalesce(F.col("text"), F.lit(""))), sentence_id).alias("ids"))
-    rest = F.concat(F.array_join("ids", ";"), F.lit(";"))
+    rest = F.concat(F.lit("<"), F.array_join("ids", "><"), F.lit(">"))
     out = ids.withColumn("rest", F.when(F.size("ids") == 0, F.lit("")).otherwise(rest))
     for i, (_, pattern) in enumerate(RULES):
-        whole = r"(?<![a-z0-9_])(" + pattern + ")"
-        out = out.withColumn(f"hit{i}", F.col("rest").rlike(whole)).withColumn("rest", F.when(F.col(f"hit{i}"), F.regexp_replace("rest", whole, "")).otherwise(F.col("rest")))
+        hit = F.col("rest").rlike(pattern)
+        # what a rule took out leaves a mark, so that its neighbours don't become neighbours of each other
+        out = out.withColumn(f"hit{i}", hit).withColumn("rest", F.when(hit, F.regexp_replace("rest", pattern, "-")).otherwise(F.col("rest")))
     names = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(F.col(f"hit{i}"), F.lit(name)) for i, (name, _) in enumerate(RULES))))))
     unknown = F.size(F.filter("ids", lambda x: x == "unknown"))
     return out.select(
@@ -121,3 +125,22 @@ def scan_licences(docs: DataFrame) -> DataFrame:
         unknown.cast("long").alias("n_unknown"),
         F.when(F.size(names) > 0, "known").when(F.size("ids") > 0, "unknown").otherwise("none").alias("status"),
     )
+
+
+def scan_sql() -> str:
+    """The same scan in DuckDB, made from the same tables."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    cases = " ".join(f"WHEN regexp_matches(s, {quote(p)}) THEN '{n}'" for n, p in SENTENCES)
+    step, at = [], "start"
+    for i, (_, pattern) in enumerate(RULES):
+        step.append(f"r{i} AS MATERIALIZED (SELECT *, regexp_matches(rest{i}, {quote(pattern)}) AS hit{i}, regexp_replace(rest{i}, {quote(pattern)}, '-', 'g') AS rest{i + 1} FROM {at})")
+        at = f"r{i}"
+    names = ", ".join(f"CASE WHEN hit{i} THEN '{name}' END" for i, (name, _) in enumerate(RULES))
+    return f"""WITH cut AS (SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), {quote(MENTION)}) THEN regexp_split_to_array(lower(text), {quote(SENTENCE_END)}) ELSE [] END AS parts FROM documents),
+ normal AS (SELECT doc_id, list_transform(list_filter(parts, lambda s: regexp_matches(s, {quote(MORE)})), lambda s: regexp_replace(regexp_replace(s, {quote(TRIM)}, '', 'g'), '[ \t\r]+', ' ', 'g')) AS parts FROM cut),
+ named AS (SELECT doc_id, list_transform(parts, lambda s: CASE {cases} ELSE 'unknown' END) AS ids FROM normal),
+ start AS (SELECT doc_id, ids, CASE WHEN len(ids) = 0 THEN '' ELSE '<' || array_to_string(ids, '><') || '>' END AS rest0 FROM named),
+ {", ".join(step)},
+ out AS (SELECT doc_id, ids, array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x IS NOT NULL))), ',') AS licences, len(list_filter(ids, lambda x: x = 'unknown')) AS n_unknown FROM {at})
+ SELECT doc_id, licences, CAST(len(ids) AS BIGINT) AS n_sentences, CAST(len(ids) - n_unknown AS BIGINT) AS n_known, CAST(n_unknown AS BIGINT) AS n_unknown,
+        CASE WHEN licences <> '' THEN 'known' WHEN len(ids) > 0 THEN 'unknown' ELSE 'none' END AS status FROM out"""

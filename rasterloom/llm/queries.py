@@ -85,4 +85,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .licenses import scan_sql
+
+    return {"op10_licence_scan": scan_sql()}
