@@ -6,12 +6,13 @@ Consistent weighted sampling draws ``bands * rows`` samples from each node, so t
 a sample with the probability of their weighted Jaccard similarity; equal bands of samples make
 nodes candidates, and candidates are verified by the similarity itself.
 
-Within a bucket of candidates not all pairs are formed: a few leaders are compared with the rest;
-nodes that fall into one component need no more comparison, a node whose distance to the bucket's
-first leader differs by more than the allowed distance can't be similar (the weighted Jaccard
-distance is a metric), and the number of leaders grows from round to round until every bucket is
-settled. So every similar pair of a bucket ends in one component, and no bucket is capped.
-Components come from alternating star contractions; edges, labels and texts stay distributed.
+Within a bucket of candidates not all pairs are formed. Small buckets are compared throughout. In a
+large one two leaders are compared with the rest, which makes one component of true copies. Where
+that leaves several components (texts that resemble each other less than the threshold), the bucket's
+nodes are packed into blocks, and blocks meet blocks: a task compares the nodes of two blocks by one
+matrix product and emits only the links it verified. Blocks of nodes that are one component already
+don't meet each other. So every similar pair of a bucket ends in one component, and no bucket is
+capped. Components come from alternating star contractions; edges, labels and texts stay distributed.
 
 Document frequencies are counted over all texts in a sketch of fixed size, and the filter that
 keeps texts without candidates from being shuffled is a Bloom filter of fixed size (an exact join
@@ -24,6 +25,7 @@ copies of each other; empty table: no rows; extra columns: ignored.
 
 from __future__ import annotations
 
+import pickle
 from functools import lru_cache
 
 import numpy as np
@@ -41,7 +43,8 @@ SKETCH_BITS, SKETCH_ROWS, BLOCK = 18, 2, 4096
 DAMPED = 0.25
 DRAW_BITS = 14
 BLOOM_BITS = 25
-LEADERS = 8
+#: Buckets of up to SMALL nodes are compared throughout; larger ones by blocks of about BLOCK_NODES.
+SMALL, BLOCK_NODES = 9, 128
 
 
 def node_key() -> Column:
@@ -177,6 +180,62 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / high) if high > 0 else 0.0
 
 
+BLOCKS = "bucket long, block int, first int, blocks int, data binary"
+
+
+def pack_block(table: pa.Table) -> pa.Table:
+    """The nodes of a block with their roots, shingles and weights in one row."""
+    data = tuple(table[c].to_pylist() for c in ("node", "root", "keys", "w", "n"))
+    one = table.slice(0, 1).select(["bucket", "block", "first", "blocks"])
+    return one.append_column("data", pa.array([pickle.dumps(data)], pa.binary()))
+
+
+def block_links(a: tuple, b: tuple, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links between nodes of two blocks that are of different components, by one matrix product; of
+    links that would join the same components only the first is returned.
+
+    A shingle that occurs n times is n shingles, each with its share of the weight, so the common
+    weight of two texts is a product of 0/1 matrices with the weights between them."""
+
+    def expanded(block: tuple) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for keys, w, n in zip(*block[2:]):
+            k, w, n = np.frombuffer(keys, "<u8"), np.frombuffer(w, "<f4").astype(float), np.frombuffer(n, "<u4").astype(np.int64)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out.append((mix64(np.repeat(k, n) + step.astype(np.uint64)), np.repeat(w / n, n)))
+        return out
+
+    one, two = expanded(a), expanded(b)
+    every = np.unique(np.concatenate([k for k, _ in one]))
+    left = np.zeros((len(one), len(every)), np.float32)
+    for i, (k, w) in enumerate(one):
+        left[i, np.searchsorted(every, k)] = w
+    right = np.zeros((len(two), len(every)), np.float32)
+    for i, (k, _) in enumerate(two):
+        at = np.minimum(np.searchsorted(every, k), len(every) - 1)
+        right[i, at[every[at] == k]] = 1
+    common = left @ right.T
+    sum_a, sum_b = (np.array([w.sum() for _, w in x]) for x in (one, two))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sim = common / (sum_a[:, None] + sum_b[None, :] - common)
+    above: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while x in above:
+            x = above[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(sim >= threshold - 1e-3):
+        x, y = top(a[1][i]), top(b[1][j])
+        if x != y:
+            exact = similarity(*((np.frombuffer(t[2][n], "<u8"), np.frombuffer(t[3][n], "<f4").astype(float)) for t, n in ((a, i), (b, j))))
+            if exact >= threshold:
+                above[max(x, y)] = min(x, y)
+                out.append((max(a[0][i], b[0][j]), min(a[0][i], b[0][j])))
+    return out
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -215,6 +274,21 @@ def bloom_words(nodes: DataFrame) -> np.ndarray:
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 9, rows: int = 3) -> DataFrame:
     """doc_id, class_id (the least doc_id of all that are near, through others if need be), copy_of
     (the least doc_id with the same text), class_size, of every row of docs."""
+    named = node_classes(docs, threshold=threshold, bands=bands, rows=rows)
+    return docs.select("doc_id", node_key().alias("node")).join(named, "node").select("doc_id", "class_id", "copy_of", "class_size")
+
+
+def without_near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 9, rows: int = 3) -> DataFrame:
+    """One row of each class, that of its least doc_id, with all its columns."""
+    named = node_classes(docs, threshold=threshold, bands=bands, rows=rows)
+    keepers = named.where("keeper").select(F.col("node").alias("__node"), F.col("copy_of").alias("__id"))
+    marked = docs.withColumn("__node", node_key())
+    kept = marked.join(keepers, (marked["__node"] == keepers["__node"]) & marked["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__node"]).drop("__node")
+
+
+def node_classes(docs: DataFrame, *, threshold: float, bands: int, rows: int) -> DataFrame:
+    """node, copy_of, class_id, class_size, keeper (the node that stands for its class) of every distinct text."""
     spark = prepare(docs.sparkSession)
     sc = spark.sparkContext
     nodes = docs.select("doc_id", "text", node_key().alias("node"))
@@ -259,13 +333,16 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 9,
                 for i, x in enumerate(node.slice(a, b - a).to_pylist()):
                     if at[i] < at[i + 1] and x not in seen:
                         seen.add(x)
-                        made.append((x, key[at[i] : at[i + 1]].astype("<u8").tobytes(), w[at[i] : at[i + 1]].tobytes()))
+                        mine = w[at[i] : at[i + 1]]
+                        made.append((x, key[at[i] : at[i + 1]].astype("<u8").tobytes(), mine.tobytes(), counts[at[i] : at[i + 1]].astype("<u4").tobytes(), float(mine.sum(dtype=float))))
                 if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.binary()) for x in zip(*made)], names=["node", "keys", "w"])
+                    node_, keys, w_, n_, total = zip(*made)
+                    yield pa.RecordBatch.from_arrays([pa.array(node_, pa.binary()), pa.array(keys, pa.binary()), pa.array(w_, pa.binary()), pa.array(n_, pa.binary()), pa.array(total)], names=["node", "keys", "w", "n", "total"])
 
     spots = [F.pmod(F.xxhash64("node", F.lit(s)), F.lit(1 << BLOOM_BITS)) for s in (1, 2)]
-    vector = nodes.select("node", "text", *spots).mapInArrow(vectors, "node binary, keys binary, w binary")
-    vector = stored(vector.join(candidates, "node", "left_semi").groupBy("node").agg(F.first("keys").alias("keys"), F.first("w").alias("w")), "vectors")
+    vector = nodes.select("node", "text", *spots).mapInArrow(vectors, "node binary, keys binary, w binary, n binary, total double")
+    vector = vector.join(candidates, "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in ("keys", "w", "n", "total")))
+    vector = stored(vector, "vectors")
 
     def compare(parts):
         for batch in parts:
@@ -279,44 +356,47 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 9,
         two = vector.select(F.col("node").alias("b"), F.col("keys").alias("kb"), F.col("w").alias("wb"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "ka", "wa", "kb", "wb").mapInArrow(compare, "a binary, b binary, sim double")
 
-    links, compared = None, None
-    roots: DataFrame | None = None  # node, root of nodes with links
-    live = members.select("bucket", "node", F.lit(False).alias("led"), F.lit(None).cast("double").alias("far"))
-    leaders = LEADERS
-    while True:
-        if roots is not None:
-            live = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            live = live.withColumn("root", F.col("node"))
-        turn = Window.partitionBy("bucket").orderBy("node")
-        chosen = live.where(~F.col("led")).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= leaders)
-        lead = chosen.select("bucket", F.col("node").alias("leader"), F.col("root").alias("leader_root"), F.col("far").alias("leader_far"), "turn")
-        near = F.col("far").isNull() | F.col("leader_far").isNull() | (F.abs(F.col("far") - F.col("leader_far")) <= 1 - threshold + 1e-6)
-        meet = live.join(lead, "bucket").where((F.col("root") != F.col("leader_root")) & near)
-        pairs = meet.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        sims = stored(verified(pairs), "similar")
-        compared = sims.select("a", "b", "sim") if compared is None else compared.unionByName(sims)
-        found = sims.where(F.col("sim") >= threshold).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        # buckets that are settled drop out: one component, or at most one node that hasn't led
-        if leaders == LEADERS:
-            first = lead.where("turn = 1").select("bucket", F.col("leader").alias("head"))
-            live = live.drop("far").join(first, "bucket").withColumns({"a": F.greatest("node", "head"), "b": F.least("node", "head")})
-            live = live.join(compared, ["a", "b"], "left").withColumn("far", F.when(F.col("node") == F.col("head"), 0.0).otherwise(1 - F.col("sim"))).drop("a", "b", "head", "sim")
-        led = lead.select("bucket", F.col("leader").alias("node"), F.lit(True).alias("now"))
-        live = live.drop("root").join(led, ["bucket", "node"], "left").withColumn("led", F.col("led") | F.coalesce("now", F.lit(False))).drop("now")
-        rooted = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if(~F.col("led")).alias("left")).where("lo != hi and left > 1").select("bucket")
-        live = stored(live.join(open_, "bucket", "left_semi").select("bucket", "node", "led", "far"), "open")
-        if live.isEmpty():
-            break
-        leaders *= 2
+    def rooted(df: DataFrame) -> DataFrame:
+        return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    # every node of a small bucket leads, and two of a large one
+    order = Window.partitionBy("bucket").orderBy("node")
+    sized = members.join(vector.select("node", "total"), "node")
+    turn = sized.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= F.when(F.col("m") <= SMALL, SMALL - 1).otherwise(2))
+    lead = turn.select("bucket", F.col("node").alias("leader"), F.col("total").alias("leader_total"))
+    like = F.least("total", "leader_total") >= (threshold - 1e-6) * F.greatest("total", "leader_total")
+    meet = sized.join(lead, "bucket").where((F.col("node") != F.col("leader")) & like)
+    sims = verified(meet.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
+    links = stored(sims.where(F.col("sim") >= threshold).select("a", "b"), "links")
+    roots = components(links)
+
+    # large buckets that aren't one component, by blocks; those of the most frequent component come first
+    large = rooted(members.where(F.col("m") > SMALL))
+    main = large.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", True).alias("main")).where("lo != hi").select("bucket", "main")
+    large = large.join(main, "bucket").withColumn("minor", F.col("root") != F.col("main"))
+    count = large.groupBy("bucket").agg(*(F.ceil(F.count_if(x) / F.lit(BLOCK_NODES)).cast("int").alias(n) for n, x in (("first", ~F.col("minor")), ("rest", F.col("minor")))))
+    spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    block = F.when(F.col("minor"), F.col("first") + spread("rest")).otherwise(spread("first"))
+    placed = large.join(count, "bucket").select("bucket", "node", "root", "first", (F.col("first") + F.col("rest")).alias("blocks"), block.alias("block"))
+    packed = stored(placed.join(vector, "node").groupBy("bucket", "block").applyInArrow(pack_block, BLOCKS), "blocks")
+    other = packed.select("bucket", F.col("block").alias("with"), F.col("data").alias("other"))
+    pairs = packed.withColumn("with", F.explode(F.expr("sequence(greatest(block, first), blocks - 1)"))).join(other, ["bucket", "with"])
+
+    def meet_blocks(parts):
+        for batch in parts:
+            for a, b in zip(batch.column(0), batch.column(1)):
+                found = block_links(pickle.loads(a.as_py()), pickle.loads(b.as_py()), threshold)
+                if found:
+                    x, y = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
+
+    more = stored(pairs.select("data", "other").mapInArrow(meet_blocks, "a binary, b binary").distinct(), "links")
+    roots = components(links.unionByName(more))
 
     alike = nodes.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n"))
     named = alike.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # the root's own row isn't among the contracted edges, so it names itself
-    classes = named.groupBy("root").agg(F.min("copy_of").alias("class_id"), F.sum("n").alias("class_size"))
-    return nodes.select("doc_id", "node").join(named.join(classes, "root").select("node", "copy_of", "class_id", "class_size"), "node").select("doc_id", "class_id", "copy_of", "class_size")
+    # a root isn't among the contracted edges' first ends, so it names itself
+    first = F.min(F.struct(F.col("copy_of").isNull(), "copy_of", "node"))
+    classes = named.groupBy("root").agg(first.alias("first"), F.sum("n").alias("class_size"))
+    out = named.join(classes, "root")
+    return out.select("node", "copy_of", F.col("first.copy_of").alias("class_id"), "class_size", (F.col("node") == F.col("first.node")).alias("keeper"))
