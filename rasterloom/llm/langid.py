@@ -112,18 +112,19 @@ def score_texts(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.nd
 def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of docs with lang_pred and score for its text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cols = [docs[c] for c in keep]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    text_at = keep.index("text") if "text" in keep else len(keep)
 
     def score(parts):
         for batch in parts:
-            text = plain(batch.column(batch.num_columns - 1))
+            text = plain(batch.column(text_at))
             for a, b in text_slices(text):
                 lang, p = score_texts(shared.value, text.slice(a, b - a))
                 own = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(p, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*cols, F.col("text").alias("__text")).mapInArrow(score, f"{kinds}, lang_pred string, score double")
+    more = [] if "text" in keep else [F.col("text").alias("__text")]
+    return docs.select(*keep, *more).mapInArrow(score, f"{kinds}, lang_pred string, score double")
 
 
 def held_out(modulus: int, remainder: int):
@@ -131,9 +132,10 @@ def held_out(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def identify_languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; learns from the rows that aren't held out."""
+def identify_languages(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Columns keep (doc_id), held_out, lang_pred, score of every row; learns from the rows that aren't held out."""
     prepare(docs.sparkSession)
-    marked = docs.select("doc_id", "text", "lang", held_out(4, 2).alias("held_out"))
+    keep = keep or ["doc_id"]
+    marked = docs.withColumn("held_out", held_out(4, 2))
     model = fit_language_model(marked.where(~F.col("held_out")))
-    return predict_language(marked, model, ["doc_id", "held_out"])
+    return predict_language(marked, model, [*keep, "held_out"])
