@@ -290,6 +290,6 @@ def inspection_summary(spark, sf_dir):
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("known").isNull()).alias("n_uninspected"), F.count_if(F.col("quality") == 0).alias("n_failed"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n_unknown_channels"))
 
 
-@query(r"SELECT regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder, count(*) AS n_files, min(page_id) AS first_page, count_if(contains(lower(url), 'blog')) AS n_found FROM pages GROUP BY 1")
+@query(r"SELECT regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder, count(*) AS n_files, min(page_id) AS first_page, CAST(count_if(contains(lower(url), 'blog')) AS BIGINT) AS n_found FROM pages GROUP BY 1")
 def folder_groups(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(parent_folder("url").alias("folder")).agg(F.count(F.lit(1)).alias("n_files"), F.min("page_id").alias("first_page"), F.count_if(F.contains(F.lower("url"), F.lower(F.trim(F.lit(" BLOG "))))).alias("n_found"))

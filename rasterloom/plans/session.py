@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -27,3 +28,9 @@ def ship(spark: SparkSession) -> SparkSession:
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
     return spark
+
+
+def store_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir, which the driver and all executors share."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
