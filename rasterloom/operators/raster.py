@@ -1,7 +1,7 @@
 """Pixels of tiles: encoding, region reads, reduced levels, tile streams.
 
-A tile row is slide_id, level, x, y, w, h, payload: row-major samples of one byte and ``bands``
-bands, raw or zlib-packed. Regions and reduced tiles are groups of a few neighbouring tiles, so a
+A tile row is slide_id, level, x, y, w, h, payload: a byte that tells the coding, then row-major
+samples of one byte and ``bands`` bands, raw or zlib-packed. Regions and reduced tiles are groups of a few neighbouring tiles, so a
 group stays small however large a slide is.
 """
 
@@ -18,7 +18,13 @@ from ..functions.arithmetic import ceil_div, col, div
 from ..plans.session import ship
 from .joins import overlap_join
 
-ZLIB_HEAD = b"\x78"
+#: First byte of a payload.
+RAW, PACKED = b"\x00", b"\x01"
+
+
+def encoded(samples: np.ndarray, *, packed: bool = True) -> bytes:
+    raw = np.ascontiguousarray(samples, np.uint8).tobytes()
+    return PACKED + zlib.compress(raw, 1) if packed else RAW + raw
 
 
 def encode_tiles(df: DataFrame, pixels: str, *, packed: bool = True) -> DataFrame:
@@ -29,8 +35,7 @@ def encode_tiles(df: DataFrame, pixels: str, *, packed: bool = True) -> DataFram
 
     def encode(parts):
         for batch in parts:
-            rows = [np.asarray(x, np.uint8).tobytes() for x in batch.column(len(keep)).to_pylist()]
-            payload = [zlib.compress(x, 1) if packed else x for x in rows]
+            payload = [encoded(np.asarray(x, np.uint8), packed=packed) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(payload, pa.binary())], names=[*keep, "payload"])
 
     return df.select(*keep, pixels).mapInArrow(encode, kinds)
@@ -38,7 +43,7 @@ def encode_tiles(df: DataFrame, pixels: str, *, packed: bool = True) -> DataFram
 
 def decoded(payload: bytes, h: int, w: int, bands: int = 1) -> np.ndarray:
     """Samples of a payload as rows x columns x bands; a wrong size is an error."""
-    raw = payload if len(payload) == h * w * bands else zlib.decompress(payload) if payload[:1] == ZLIB_HEAD else payload
+    raw = zlib.decompress(payload[1:]) if payload[:1] == PACKED else payload[1:]
     if len(raw) != h * w * bands:
         raise ValueError(f"payload has {len(raw)} samples, {h * w * bands} were expected")
     return np.frombuffer(raw, np.uint8).reshape(h, w, bands)
@@ -69,7 +74,7 @@ def read_regions(tiles: DataFrame, regions: DataFrame, *, background: int = 255,
             if x0 < x1 and y0 < y1:
                 px = decoded(t["payload"], t["h"], t["w"], bands)
                 out[y0 - r["ry0"] : y1 - r["ry0"], x0 - r["rx0"] : x1 - r["rx0"]] = px[y0 - t["y"] : y1 - t["y"], x0 - t["x"] : x1 - t["x"]]
-        return pa.table({"region_id": pa.array([r["region_id"]], pa.int64()), "w": pa.array([w], pa.int64()), "h": pa.array([h], pa.int64()), "pixels": pa.array([out.tobytes()], pa.binary())})
+        return pa.table({"region_id": pa.array([r["region_id"]], pa.int64()), "w": pa.array([w], pa.int64()), "h": pa.array([h], pa.int64()), "pixels": pa.array([encoded(out)], pa.binary())})
 
     kind = "region_id long, w long, h long, pixels binary"
     return cells.unionByName(empty, allowMissingColumns=True).groupBy("region_id").applyInArrow(paste, kind)
@@ -99,7 +104,7 @@ def reduce_level(tiles: DataFrame, *, tile: int, factor: int = 2, bands: int = 1
         folded = lambda a: a.reshape(size[0], factor, size[1], factor, -1).sum((1, 3))
         mean = np.rint(folded(big * weight[:, :, None]) / folded(weight)).astype(np.uint8)
         out = {"slide_id": r["slide_id"], "level": r["level"] + 1, "x": r["px"], "y": r["py"], "w": size[1], "h": size[0]}
-        return pa.table({**{k: pa.array([v], pa.int64()) for k, v in out.items()}, "payload": pa.array([zlib.compress(mean.tobytes(), 1)], pa.binary())})
+        return pa.table({**{k: pa.array([v], pa.int64()) for k, v in out.items()}, "payload": pa.array([encoded(mean)], pa.binary())})
 
     cols = ["slide_id", "level", "x", "y", "w", "h", "px", "py", "payload"]
     return up.select(*cols).groupBy("slide_id", "px", "py").applyInArrow(shrink, "slide_id long, level long, x long, y long, w long, h long, payload binary")

@@ -65,3 +65,18 @@ def list_slides(spark, sf_dir):
     from ..sources.listing import inspectable_files
 
     return inspectable_files(spark, sample_folder(spark)).select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "format", "idx")
+
+
+@query(
+    """SELECT DISTINCT ((vec_id // 20) * 8) // 80 || '.tif' AS path, CAST(0 AS BIGINT) AS page, 'main' AS kind, CAST(160 AS BIGINT) AS width, CAST(80 AS BIGINT) AS height, CAST(8 AS BIGINT) AS tile_w, CAST(8 AS BIGINT) AS tile_h, true AS tiled,
+  CAST(1 AS BIGINT) AS samples, CAST(8 AS BIGINT) AS bits, CAST(8 AS BIGINT) AS compression, CAST(0 AS BIGINT) AS subfile, CAST(200 AS BIGINT) AS n_segments FROM embeddings"""
+)
+def write_and_scan_tiff(spark, sf_dir):
+    """Tiles written as TIFF files and read again."""
+    from ..sources.sinks import write_tiff
+    from .raster_queries import tiles_of
+
+    tiles = tiles_of(spark, sf_dir).withColumns({"slide_id": F.call_function("div", F.col("y"), F.lit(80).cast("bigint")), "y": F.col("y") % 80, "width": F.lit(160), "height": F.lit(80), "tile": F.lit(8)})
+    folder = store_path(register(spark), "tiff").removeprefix("file://").removeprefix("file:")
+    write_tiff(tiles, folder)
+    return load(spark, "slide_tiff", "pages", folder).drop("description")
