@@ -148,12 +148,12 @@ class Tiff:
             table = by_tag.get(TILE_AT) or by_tag.get(STRIP_AT)
             if not {WIDTH, HEIGHT, DESCRIPTION} <= set(tags) or table is None or not table[2]:
                 continue
-            k = min(table[2], 8)
-            where = table[3] + (begin + at - stored) - begin
-            if k == 1 and table[2] == 1:
-                found = [table[3]]
-            elif 0 <= where and where + 4 * k <= len(blob):
-                found = struct.unpack(f"<{k}I", blob[where : where + 4 * k])
+            k, delta = min(table[2], 8), begin + at - stored
+            where = table[3] + (delta if table[3] >= stored else 0)
+            if table[2] == 1:
+                found = (table[3],)
+            elif 8 <= where and where + 4 * k <= size:
+                found = struct.unpack(f"<{k}I", self.data.at(where, 4 * k))
             else:
                 continue
             if all(8 <= o < size for o in found):
