@@ -14,7 +14,7 @@ from rasterloom.llm.minhash_dedup import without_near_duplicates
 from rasterloom.llm.packing import pack_documents
 from rasterloom.llm.perplexity_rules import apply_quality_rules
 from rasterloom.llm.queries import BYTE_BPE, token_file
-from rasterloom.llm.shared import store_path
+from rasterloom.llm.shared import ROW, carried, store_path
 
 #: Below this posterior a document has no clear language.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -22,13 +22,13 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what passes the base rule and lies within its language's perplexity band."""
-    return apply_quality_rules(docs, docs.columns).where("kept").select(*docs.columns)
+    return apply_quality_rules(carried(docs), [ROW]).where("kept").select(f"{ROW}.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a recognisable language."""
-    seen = identify_languages(docs, docs.columns)
-    return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    seen = identify_languages(carried(docs), [ROW])
+    return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(f"{ROW}.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches, code_points, framed, mix64, plain, prepare, text_slices
+from .shared import batches, code_points, extended, framed, has_text, mix64, prepare, text_of, text_slices
 
 ORDERS = (1, 2, 3)
 SPACE = 32
@@ -112,19 +112,16 @@ def score_texts(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.nd
 def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of docs with lang_pred and score for its text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    text_at = keep.index("text") if "text" in keep else len(keep)
-
     def score(parts):
         for batch in parts:
-            text = plain(batch.column(text_at))
+            text = text_of(batch, keep, len(keep))
             for a, b in text_slices(text):
                 lang, p = score_texts(shared.value, text.slice(a, b - a))
                 own = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(p, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    more = [] if "text" in keep else [F.col("text").alias("__text")]
-    return docs.select(*keep, *more).mapInArrow(score, f"{kinds}, lang_pred string, score double")
+    more = [] if has_text(keep) else [F.col("text").alias("__text")]
+    return docs.select(*keep, *more).mapInArrow(score, extended(docs, keep, "lang_pred string, score double"))
 
 
 def held_out(modulus: int, remainder: int):

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, batches, code_points, framed, mix64, plain, prepare, stored, text_slices
+from .shared import Words, batches, code_points, extended, framed, has_text, mix64, prepare, stored, text_of, text_slices
 
 ORDER = 5
 SYMBOL_BITS = 12
@@ -320,13 +320,10 @@ def fit_rules(docs: DataFrame, *, max_ngrams: int = 3_000_000, max_languages: in
 def score_documents(docs: DataFrame, rules: PerplexityRules, keep: list[str]) -> DataFrame:
     """Columns keep of docs with the counts and the log-perplexity of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(rules)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    text_at = keep.index("text") if "text" in keep else len(keep) + 1
-
     def score(parts):
         r = shared.value
         for batch in parts:
-            text, lang = plain(batch.column(text_at)), batch.column(len(keep))
+            text, lang = text_of(batch, keep, len(keep) + 1), batch.column(len(keep))
             for a, b in text_slices(text):
                 part = text.slice(a, b - a)
                 c = text_counts(part)
@@ -342,8 +339,8 @@ def score_documents(docs: DataFrame, rules: PerplexityRules, keep: list[str]) ->
                 made = [c[x] for x in COUNTS] + [base_failed(c), is_reference(c), n.astype(np.int64), -total / np.maximum(n, 1)]
                 yield pa.RecordBatch.from_arrays([*own, *map(pa.array, made), pa.array(names, pa.string())], names=[*keep, *COUNTS, *VERDICT])
 
-    kinds = ", ".join([kinds, *(f"{x} long" for x in COUNTS), "base_failed boolean, reference boolean, n_scored long, log_ppl double, model string"])
-    more = [] if "text" in keep else [F.col("text").alias("__text")]
+    kinds = extended(docs, keep, ", ".join([*(f"{x} long" for x in COUNTS), "base_failed boolean, reference boolean, n_scored long, log_ppl double, model string"]))
+    more = [] if has_text(keep) else [F.col("text").alias("__text")]
     return docs.select(*keep, language().alias("__lang"), *more).mapInArrow(score, kinds)
 
 

@@ -137,3 +137,31 @@ def batches(*arrays: tuple[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
 
 def plain(array: pa.Array | pa.ChunkedArray) -> pa.Array:
     return array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
+
+
+ROW = "__row"
+
+
+def carried(df: DataFrame) -> DataFrame:
+    """All columns of df as one struct beside text, lang and doc_id, so that no name clashes with what an operator adds."""
+    from pyspark.sql import functions as F
+
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(ROW), *(c for c in ("doc_id", "text", "lang") if c in df.columns))
+
+
+def extended(df: DataFrame, keep: list[str], ddl: str):
+    """Schema of columns keep of df and of those in ddl."""
+    from pyspark.sql.types import StructType
+
+    return StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def text_of(batch: pa.RecordBatch, keep: list[str], after: int) -> pa.Array:
+    """The text that goes with columns keep: in the carried row, among them, or at place ``after``."""
+    if ROW in keep:
+        return plain(pc.struct_field(batch.column(keep.index(ROW)), "text"))
+    return plain(batch.column(keep.index("text") if "text" in keep else after))
+
+
+def has_text(keep: list[str]) -> bool:
+    return ROW in keep or "text" in keep
