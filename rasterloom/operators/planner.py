@@ -24,14 +24,14 @@ def compatibility(*, changed: Column, error: Column, allowed: Column) -> Column:
 def refusal(output: str) -> Column:
     """Why a slide (modality, native_planes, bit_depth, n_field, n_z, n_t, n_channels) can't become an
     output; the first rule that fails counts, null if none does."""
-    modality, flat = F.col("modality"), F.col("n_field") * F.col("n_z") * F.col("n_t") <= 1
+    modality = F.col("modality")
     if output == "ome_tiff":
-        return F.when((modality == "fluorescence") & ~F.col("native_planes"), "planes")
-    wanted = "brightfield" if output == "svs" else "fluorescence"
-    out = F.when(modality != wanted, "modality")
-    if output != "svs":
-        out = out.when(~F.col("native_planes"), "planes")
-    out = out.when(F.col("bit_depth") != 8, "bit depth").when(~flat, "axes")
+        return F.lit(None).cast("string")
+    if output == "svs":
+        return F.when(modality == "fluorescence", "fluorescence").when(modality != "brightfield", "unknown modality")
+    # single-channel slides and sets of them
+    out = F.when(modality == "brightfield", "not fluorescence").when((modality != "fluorescence") | ~F.col("native_planes"), "no independent planes")
+    out = out.when(F.col("bit_depth") != 8, "bit depth").when((F.col("n_field") != 1) | (F.col("n_z") != 1) | (F.col("n_t") != 1), "axes")
     return out.when(F.col("n_channels") != 1, "channels") if output == "fluorescence_svs" else out
 
 
@@ -69,6 +69,24 @@ def channel_overrides(channels: DataFrame, given: DataFrame, key: list[str], fie
     return rows.select(*key, *(own(f).alias(f) for f in fields), check.alias("check_"))
 
 
+def omitted_planes() -> Column:
+    """What a plain colour output of a slide leaves out; null if nothing."""
+    more = (F.col("modality") == "fluorescence") | (F.col("n_field") > 1) | (F.col("n_channels") > 1) | (F.col("n_z") > 1) | (F.col("n_t") > 1) | (F.col("bit_depth") > 8)
+    text = F.format_string("fields=%d, C=%d, Z=%d, T=%d, bit_depth=%d", *(F.col(c).cast("int") for c in ("n_field", "n_channels", "n_z", "n_t", "bit_depth")))
+    return F.when(more, text)
+
+
+def resolved_resources(*sources: DataFrame, key: list[str]) -> DataFrame:
+    """Associated images by slide and name from several places; the first place that has one counts."""
+    every = None
+    for rank, s in enumerate(sources):
+        s = s.withColumn("__rank", F.lit(rank))
+        every = s if every is None else every.unionByName(s, allowMissingColumns=True)
+    value = [c for c in every.columns if c not in (*key, "__rank")]
+    best = every.groupBy(*key).agg(F.min_by(F.struct(*value), F.col("__rank")).alias("__v"))
+    return best.select(*key, "__v.*")
+
+
 def stale(files: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Files whose size or time differs from the snapshot's; one that the snapshot lacks counts as changed."""
     s = snapshot.select("path", F.col("file_size").alias("__size"), F.col("mtime_ns").alias("__time"))

@@ -22,7 +22,7 @@ from ..functions.text import (
     suffix,
 )
 from ..operators.events import job_timing as timing_of, log_tail as tail_of, monotone_progress, phase_matrix as matrix_of, progress_fields
-from ..operators.planner import allowed_outputs, batch_counts as counts_of, channel_overrides, codec_summary, compatibility, without_referenced
+from ..operators.planner import allowed_outputs, batch_counts as counts_of, channel_overrides, codec_summary, compatibility, omitted_planes, resolved_resources, without_referenced
 from ..operators.windows import latest, numbered, suffixed_names
 from .registry import Registry, table
 
@@ -100,10 +100,10 @@ def slides_of(spark, sf_dir):
 @query(
     f"""WITH {SLIDES}, f AS (SELECT slide_id, unnest(['ome_tiff', 'svs', 'fluorescence_svs', 'afi']) AS format, * EXCLUDE (slide_id) FROM s)
  SELECT slide_id, format, reason IS NULL AS allowed, coalesce(reason, '') AS reason FROM (SELECT slide_id, format, CASE
-   WHEN format = 'ome_tiff' AND modality = 'fluorescence' AND NOT native_planes THEN 'planes'
-   WHEN format = 'svs' AND modality <> 'brightfield' THEN 'modality' WHEN format = 'svs' AND bit_depth <> 8 THEN 'bit depth' WHEN format = 'svs' AND n_field * n_z * n_t > 1 THEN 'axes'
-   WHEN format IN ('fluorescence_svs', 'afi') AND modality <> 'fluorescence' THEN 'modality' WHEN format IN ('fluorescence_svs', 'afi') AND NOT native_planes THEN 'planes'
-   WHEN format IN ('fluorescence_svs', 'afi') AND bit_depth <> 8 THEN 'bit depth' WHEN format IN ('fluorescence_svs', 'afi') AND n_field * n_z * n_t > 1 THEN 'axes'
+   WHEN format = 'ome_tiff' THEN NULL
+   WHEN format = 'svs' THEN CASE WHEN modality = 'fluorescence' THEN 'fluorescence' WHEN modality <> 'brightfield' THEN 'unknown modality' END
+   WHEN modality = 'brightfield' THEN 'not fluorescence' WHEN modality <> 'fluorescence' OR NOT native_planes THEN 'no independent planes'
+   WHEN bit_depth <> 8 THEN 'bit depth' WHEN n_field <> 1 OR n_z <> 1 OR n_t <> 1 THEN 'axes'
    WHEN format = 'fluorescence_svs' AND n_channels <> 1 THEN 'channels' END AS reason FROM f)"""
 )
 def eligibility_matrix(spark, sf_dir):
@@ -293,3 +293,28 @@ def inspection_summary(spark, sf_dir):
 @query(r"SELECT regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder, count(*) AS n_files, min(page_id) AS first_page, CAST(count_if(contains(lower(url), 'blog')) AS BIGINT) AS n_found FROM pages GROUP BY 1")
 def folder_groups(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(parent_folder("url").alias("folder")).agg(F.count(F.lit(1)).alias("n_files"), F.min("page_id").alias("first_page"), F.count_if(F.contains(F.lower("url"), F.lower(F.trim(F.lit(" BLOG "))))).alias("n_found"))
+
+
+@query(
+    f"""WITH {SLIDES} SELECT slide_id, CASE WHEN modality = 'fluorescence' OR n_field > 1 OR n_channels > 1 OR n_z > 1 OR n_t > 1 OR bit_depth > 8
+  THEN printf('fields=%d, C=%d, Z=%d, T=%d, bit_depth=%d', n_field, n_channels, n_z, n_t, bit_depth) ELSE '' END AS omitted FROM s"""
+)
+def omitted_data(spark, sf_dir):
+    return slides_of(spark, sf_dir).select("slide_id", F.coalesce(omitted_planes(), F.lit("")).alias("omitted"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id % 500 AS slide_id, source AS name, min(doc_id) AS ref FROM documents WHERE lang = 'fr' GROUP BY 1, 2), b AS (SELECT doc_id % 500 AS slide_id, source AS name, min(doc_id) AS ref FROM documents WHERE lang = 'en' GROUP BY 1, 2)
+ SELECT coalesce(a.slide_id, b.slide_id) AS slide_id, coalesce(a.name, b.name) AS name, coalesce(a.ref, b.ref) AS ref FROM a FULL JOIN b ON a.slide_id = b.slide_id AND a.name = b.name"""
+)
+def associated_resolution(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 500).alias("slide_id"), F.col("source").alias("name"), "lang", "doc_id")
+    place = lambda lang: docs.where(F.col("lang") == lang).groupBy("slide_id", "name").agg(F.min("doc_id").alias("ref"))
+    return resolved_resources(place("fr"), place("en"), key=["slide_id", "name"])
+
+
+@query("SELECT p_brand, array_to_string(list(p_type ORDER BY first), ',') AS kinds FROM (SELECT p_brand, p_type, min(p_partkey) AS first FROM part GROUP BY 1, 2) GROUP BY p_brand")
+def ordered_distinct(spark, sf_dir):
+    firsts = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("first"))
+    listed = F.array_sort(F.collect_list(F.struct("first", "p_type")))
+    return firsts.groupBy("p_brand").agg(F.array_join(F.transform(listed, lambda s: s.getField("p_type")), ",").alias("kinds"))
