@@ -5,7 +5,7 @@ import shutil
 import pytest
 
 from rasterloom.__main__ import main
-from rasterloom.plans.batch import IncompatibleError, convert_folder, counts_of, inspect_inputs, output_plan, output_subfolder, with_snapshot
+from rasterloom.plans.batch import FACTS, IncompatibleError, convert_folder, counts_of, inspect_inputs, output_plan, output_subfolder, with_snapshot
 from rasterloom.plans.options import Options
 from rasterloom.sources import samples
 from rasterloom.sources.listing import inspectable_files
@@ -28,7 +28,8 @@ def test_inspection_isolates_errors(spark, folder):
 
 
 def test_plan_and_snapshot(spark, folder):
-    facts = inspect_inputs(spark, folder).cache()
+    # a snapshot is a table of its own: a cached plan would answer the later inspections, too
+    facts = spark.createDataFrame(inspect_inputs(spark, folder).collect(), FACTS)
     plan = {os.path.basename(r["path"]): r for r in output_plan(spark, facts, folder, "/out", Options(output_format="svs")).collect()}
     assert plan["d.kfba"]["status"] == "not_allowed" and plan["d.kfba"]["output_path"] is None
     assert plan["a.ibl"]["output_path"] == "/out/a.svs"
