@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.arithmetic import ceil_div, div, missing_zero
 from ..functions.geometry import bytes_estimate, clipped_end, column_major, mixed_radix_page, overlap, pixels_per_cm, row_major, segment_rectangle
 from ..operators.joins import grid_lookup, missing_counts, nearest_of, overlap_join
+from ..operators.layout import aperio_pages, plane_pages, tile_counts
 from ..operators.levels import completeness, fixed_levels, halving_levels, level_extents as extents_of_levels, preview_choice
 from ..operators.windows import block_ownership as owned, numbered, row_strips as strips_of, take_until
 from .registry import Registry, table
@@ -302,3 +303,40 @@ def block_order(spark, sf_dir):
 def grid_bounds(spark, sf_dir):
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     return blocks_of(spark, sf_dir).groupBy("slide_id").agg(F.min(F.struct(area, "block_id")).getField("block_id").alias("smallest_block"), F.max("grid_row").alias("max_row"), F.max("grid_col").alias("max_col"), F.min(F.when(F.col("x0") > 0, F.col("x0"))).alias("first_offset"))
+
+
+PAGES = """s AS (SELECT p_partkey AS slide_id, CAST(300 + p_size * 900 AS BIGINT) AS w, 400 + (p_partkey % 60) * 450 AS h, p_size % 2 = 0 AS has_label, p_size % 3 = 0 AS has_macro FROM part),
+ c AS (SELECT *, unnest([4, 16, 32]) AS f FROM s), kept AS (SELECT slide_id, f, w // f AS lw, h // f AS lh FROM c WHERE least(w // f, h // f) >= 512),
+ lv AS (SELECT * FROM kept UNION ALL SELECT slide_id, 4, w // 4, h // 4 FROM s WHERE slide_id NOT IN (SELECT slide_id FROM kept) AND least(w // 4, h // 4) >= 128),
+ p AS (SELECT slide_id, 0 AS rank, 0 AS sub, 'main' AS kind, w AS width, h AS height FROM s
+  UNION ALL SELECT slide_id, 1, 0, 'thumbnail', CASE WHEN greatest(w, h) <= 1024 THEN w ELSE greatest(1, w * 1024 // greatest(w, h)) END, CASE WHEN greatest(w, h) <= 1024 THEN h ELSE greatest(1, h * 1024 // greatest(w, h)) END FROM s
+  UNION ALL SELECT slide_id, 2, f, 'level', lw, lh FROM lv
+  UNION ALL SELECT slide_id, 3, 0, 'label', 300, 294 FROM s WHERE has_label UNION ALL SELECT slide_id, 4, 0, 'macro', 1152, 625 FROM s WHERE has_macro),
+ pages AS (SELECT slide_id, row_number() OVER (PARTITION BY slide_id ORDER BY rank, sub) - 1 AS page_no, kind, width, height FROM p)"""
+
+
+def page_slides(spark, sf_dir) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size").cast("bigint")
+    return table(spark, sf_dir, "part").select(k.alias("slide_id"), (s * 900 + 300).alias("w"), ((k % 60) * 450 + 400).alias("h"), (s % 2 == 0).alias("has_label"), (s % 3 == 0).alias("has_macro"))
+
+
+@query(f"WITH {PAGES} SELECT * FROM pages")
+def page_layout(spark, sf_dir):
+    return aperio_pages(page_slides(spark, sf_dir))
+
+
+@query(
+    f"""WITH {PAGES}, n AS (SELECT *, ((width + 239) // 240) * ((height + 239) // 240) AS n_tiles FROM pages)
+ SELECT slide_id, page_no, n_tiles, CAST(coalesce(sum(n_tiles) OVER (PARTITION BY slide_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_tile FROM n"""
+)
+def page_tile_counts(spark, sf_dir):
+    return tile_counts(aperio_pages(page_slides(spark, sf_dir)), 240).select("slide_id", "page_no", "n_tiles", "first_tile")
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT l_orderkey AS slide_id, l_suppkey % 2 AS field, l_partkey % 2 AS t, l_suppkey % 3 AS z, CAST(l_linenumber AS BIGINT) AS c FROM lineitem)
+ SELECT *, row_number() OVER (PARTITION BY slide_id, field ORDER BY t, z, c) - 1 AS page_no FROM p"""
+)
+def plane_order(spark, sf_dir):
+    planes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("slide_id"), (F.col("l_suppkey") % 2).alias("field"), (F.col("l_partkey") % 2).alias("t"), (F.col("l_suppkey") % 3).alias("z"), F.col("l_linenumber").cast("bigint").alias("c"))
+    return plane_pages(planes.distinct())

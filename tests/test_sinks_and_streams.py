@@ -65,3 +65,35 @@ def test_stream_equals_batch_and_survives_bad_lines(spark, tmp_path):
 def test_windowed_samples(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:00.2", "a", "performance", 1.0), ("2024-01-01 00:00:00.8", "a", "performance", 3.0), ("2024-01-01 00:00:01.1", "a", "log", 9.0)], "t string, job string, type string, value double").withColumn("ts", F.to_timestamp("t"))
     assert [(r["n"], r["peak"], r["mean"]) for r in windowed_samples(df).collect()] == [(2, 3.0, 2.0)]
+
+
+def test_ome_description_is_read_back(spark, tmp_path):
+    from rasterloom.sources import samples
+    from rasterloom.sources.ome import ome_xml
+
+    text = ome_xml("s", width=40, height=24, z=2, channels=[{"name": "DAPI", "fluor": "DAPI", "color": (0, 0, 255), "excitation_nm": 405.0, "emission_nm": 461.0, "exposure_s": 0.5}, {"name": "FITC", "color": (0, 255, 0)}])
+    path = str(tmp_path / "x.tif")
+    samples.write_tiff(path, samples=1, description=text)
+    head = next(tiff.rows_of(path, "header"))
+    assert (head[6], head[10], head[11]) == ("fluorescence", 2, 2)
+    rows = list(tiff.rows_of(path, "channels"))
+    assert rows[0][2:9] == ("DAPI", "DAPI", 0, 0, 255, 405.0, 461.0) and rows[0][9] == 0.5 and rows[1][4:7] == (0, 255, 0)
+
+
+def test_channel_set(spark, tmp_path):
+    import pytest
+
+    from rasterloom.sources import afi
+    from rasterloom.sources.ome import write_channel_set
+    from rasterloom.sources.storage import FormatError
+
+    both = tiles(spark).withColumn("channel", F.col("slide_id") - 1)
+    channels = [{"name": "DA PI", "color": (0, 0, 255), "exposure_s": 1.5}, {"name": "?", "color": (0, 255, 0)}]
+    files = write_channel_set(both, str(tmp_path / "set.afi"), channels)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["set.afi", "set_C00_DA_PI.tif", "set_C01.tif"]
+    assert next(afi.rows_of(files[0], "header"))[1:] == (40, 24, 2, 8, "deflate", 1)
+    again = write_channel_set(both, str(tmp_path / "set.afi"), channels)
+    assert again[0].endswith("set_1.afi")
+    with pytest.raises(FormatError):
+        write_channel_set(both.where("channel = 0 or x = 0"), str(tmp_path / "bad.afi"), channels)
+    assert not [p for p in tmp_path.iterdir() if "bad" in p.name]
