@@ -43,6 +43,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE_NAMES = frozenset("ad ads advert nav navbar menu header masthead footer aside promo banner gdpr notice signup login search share social widget popup modal tags pager pagination toolbar copyright legal topbar byline meta reply replies alert overlay".split())
 ASIDE_BEGINNINGS = ("comment", "sidebar", "advert", "cookie", "consent", "footer", "newsletter", "sponsor", "navig", "breadcrumb", "subscri", "related", "recommend", "promo", "banner", "disqus", "disclaim")
 CONTENT_NAMES = frozenset("content article post entry main story body text".split())
+LEFT_OUT = ("aside", "inset")
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 
@@ -59,7 +60,12 @@ class Run:
 
 
 def side_of(name: str, attributes: str, in_content: bool) -> str:
-    """What an element is by its name and attributes: aside, content, or nothing ('')."""
+    """What an element is by its name and attributes: aside, content, or nothing (''). Within
+    content, aside parts are insets: they belong to its stretch, though not to its text."""
+    return {"aside": "inset"}.get(said, said) if (said := marked_side(name, attributes, in_content)) and in_content else said
+
+
+def marked_side(name: str, attributes: str, in_content: bool) -> str:
     if name in ASIDE_TAGS or (name == "header" and not in_content):
         return "aside"
     said = "content" if name in CONTENT_TAGS else ""
@@ -93,7 +99,7 @@ def runs_of(page: str) -> list[Run]:
     def text(piece: str) -> None:
         if piece:
             words = len(piece.split())
-            out.append(Run("word:" + side, words, piece, False, side == "aside", gold))
+            out.append(Run("word:" + side, words, piece, False, side in LEFT_OUT, gold))
 
     while at < size:
         m = TOKEN.search(page, at)
@@ -120,15 +126,15 @@ def runs_of(page: str) -> list[Run]:
                 if stack[i][0] in CONTENT_TAGS and name not in ("body", "html"):
                     break  # a stray end tag doesn't end an article
             before, side = side, next((s for _, s in reversed(stack) if s), "")
-            out.append(Run(f"/{name}:{before}", 0, "", name in BLOCK, before == "aside", gold))
+            out.append(Run(f"/{name}:{before}", 0, "", name in BLOCK, before in LEFT_OUT, gold))
             continue
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
             stack.pop()
             side = next((s for _, s in reversed(stack) if s), "")
-        strict = any(s == "aside" and n in ASIDE_TAGS for n, s in stack)
+        strict = any(s in LEFT_OUT and n in ASIDE_TAGS for n, s in stack)
         own = side_of(name, m[3], any(s == "content" for _, s in stack))
-        if own == "content" and side == "aside" and (strict or name not in CONTENT_TAGS):
-            own = "aside"
+        if own == "content" and side in LEFT_OUT and (strict or name not in CONTENT_TAGS):
+            own = side
         side = own or side
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
@@ -137,7 +143,7 @@ def runs_of(page: str) -> list[Run]:
             out.append(Run(f"raw:{side}", 0, " " if name not in OPAQUE else "", False, True, gold))
             side = next((s for _, s in reversed(stack) if s), "")
             continue
-        out.append(Run(f"{name}:{side}", 0, " " if name == "br" else "", name in BLOCK, side == "aside", gold))
+        out.append(Run(f"{name}:{side}", 0, " " if name == "br" else "", name in BLOCK, side in LEFT_OUT, gold))
         if name in VOID or m[3].endswith("/"):
             side = next((s for _, s in reversed(stack) if s), "")
         else:
@@ -163,6 +169,8 @@ class Weights:
 
     value: dict[str, float] = field(default_factory=dict)
     unseen: float = -0.8
+    #: The same within content, whose tags seldom end it.
+    unseen_within: float = -0.05
     #: Bounds that keep words positive and tags negative.
     least_word: float = 0.01
     least_tag: float = -0.02
@@ -172,7 +180,7 @@ class Weights:
             return run.words * self.value.get(run.key, self.least_word)
         if run.key.startswith("word:"):
             return 0.0
-        return self.value.get(run.key, self.unseen)
+        return self.value.get(run.key, self.unseen_within if run.key.endswith((":content", ":inset")) else self.unseen)
 
     def region(self, runs: list[Run]) -> tuple[int, int]:
         return best_stretch([self.score(r) for r in runs])
@@ -271,13 +279,15 @@ def labelled_pages() -> list[str]:
         f"<h1>Bridge to be repaired</h1><p>{say}</p><p>{say} {say}</p>",
         f"<h1>Bridge</h1><p><b>{say}</b><br>{say}</p><ul><li>{say}</li><li>{say}</li></ul><p>{say} See <a href='/z'>the plan</a>.</p>",
         f"<p>{say}",
+        f"<header><h1>Bridge</h1><p class='byline'>By Ann Smith</p></header><p>{say}</p><aside>Read more</aside><p>{say}</p><div class='share'>Share this</div><p>The end.</p>",
         f"<h2>Repair</h2><p>{say}</p><div class='ad'>{say}</div><p>{say} {say}</p><blockquote>{say}</blockquote><p>{say}</p>",
     ]
     out = []
     for i, head in enumerate(heads):
         for j, tail in enumerate(tails):
             for k, (before, after) in enumerate(frames):
-                body = bodies[(i + j + k) % len(bodies)]
+                # parts that are left out stand within articles only where markup tells an article
+                body = bodies[(i + j + k) % (len(bodies) if k < 4 else 3)]
                 out.append(f"<html><head><title>Bridge</title></head><body>{head}{before}<!--[-->{body}<!--]-->{after}{tail}</body></html>")
     return out
 
