@@ -76,7 +76,7 @@ def fit_language_model(train: DataFrame, *, bits: int = 17, smoothing: float = 0
         cells = {}
         for batch in parts:
             text, lang = batch.column(0), batch.column(1)
-            for a, b in text_slices(text):
+            for a, b in text_slices(text, 1 << 20):
                 h, doc, _ = hashed_ngrams(text.slice(a, b - a), bits)
                 label = np.array([order[x] for x in lang.slice(a, b - a).to_pylist()], np.int32)[doc]
                 for k in np.unique(label):
@@ -115,7 +115,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str]) ->
     def score(parts):
         for batch in parts:
             text = text_of(batch, keep, len(keep))
-            for a, b in text_slices(text):
+            for a, b in text_slices(text, 1 << 20):
                 lang, p = score_texts(shared.value, text.slice(a, b - a))
                 own = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(p, pa.float64())], names=[*keep, "lang_pred", "score"])

@@ -106,7 +106,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         for batch in parts:
             text = batch.column(0)
             n += len(text) - text.null_count
-            for a, b in text_slices(text):
+            for a, b in text_slices(text, 1 << 21):
                 key, _, _ = shingles(text.slice(a, b - a))
                 for slots in sketch_slots(key):
                     total += np.bincount(slots, minlength=size)
@@ -298,7 +298,7 @@ def node_classes(docs: DataFrame, *, threshold: float, bands: int, rows: int) ->
         seen: set[bytes] = set()
         for batch in parts:
             node, text = batch.column(0), batch.column(1)
-            for a, b in text_slices(text):
+            for a, b in text_slices(text, 1 << 21):
                 key, counts, at = shingles(text.slice(a, b - a))
                 w = weights(key, counts, *sketch.value)
                 out_node, out = [], []
@@ -326,7 +326,7 @@ def node_classes(docs: DataFrame, *, threshold: float, bands: int, rows: int) ->
             maybe = np.logical_and.reduce((bloom.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1)
             batch = batch.filter(pa.array(maybe))
             node, text = batch.column(0), batch.column(1)
-            for a, b in text_slices(text):
+            for a, b in text_slices(text, 1 << 21):
                 key, counts, at = shingles(text.slice(a, b - a))
                 w = weights(key, counts, *sketch.value).astype("<f4")
                 made = []

@@ -274,7 +274,7 @@ def fit_rules(docs: DataFrame, *, max_ngrams: int = 3_000_000, max_languages: in
         size = 0
         for batch in parts:
             text, lang = batch.column(0), batch.column(1)
-            for a, b in text_slices(text):
+            for a, b in text_slices(text, 1 << 21):
                 part = text.slice(a, b - a)
                 good = is_reference(text_counts(part))
                 key, doc = ngram_keys(part.filter(pa.array(good)))
@@ -324,7 +324,7 @@ def score_documents(docs: DataFrame, rules: PerplexityRules, keep: list[str]) ->
         r = shared.value
         for batch in parts:
             text, lang = text_of(batch, keep, len(keep) + 1), batch.column(len(keep))
-            for a, b in text_slices(text):
+            for a, b in text_slices(text, 1 << 21):
                 part = text.slice(a, b - a)
                 c = text_counts(part)
                 names = [r.names.get(x, POOLED) for x in lang.slice(a, b - a).to_pylist()]
