@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .shared import prepare
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Possessive and bounded, so that text full of unfinished tags is read in linear time.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]{0,500}+\"|'[^']{0,500}+'){0,60}+)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -92,17 +93,29 @@ def marked_side(name: str, attributes: str, in_content: bool) -> str:
 def runs_of(page: str) -> list[Run]:
     """The page as tags and texts in order. Scripts, styles and the like are tags without words."""
     out: list[Run] = []
-    stack: list[tuple[str, str]] = []  # element, side
+    # open elements: name, the side that holds within, whether content or a strict aside encloses it
+    stack: list[tuple[str, str, bool, bool]] = []
+    opened: dict[str, int] = {}
     gold, at, size = False, 0, len(page)
-    side = ""
+    side, within, strict = "", False, False
+
+    def settle() -> None:
+        nonlocal side, within, strict
+        _, side, within, strict = stack[-1] if stack else ("", "", False, False)
+
+    def close(keep: int) -> None:
+        for name, *_ in stack[keep:]:
+            opened[name] -= 1
+        del stack[keep:]
 
     def text(piece: str) -> None:
         if piece:
             words = len(piece.split())
             out.append(Run("word:" + side, words, piece, False, side in LEFT_OUT, gold))
 
+    last = page.rfind(">")
     while at < size:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
         if not m:
             rest = page[at:]
             cut = re.search(r"<[a-zA-Z/!?][^<]*\Z", rest)  # a tag that breaks off at the end
@@ -119,20 +132,21 @@ def runs_of(page: str) -> list[Run]:
             continue
         closes = bool(m[1])
         if closes:
-            for i in range(len(stack) - 1, -1, -1):
+            before = side
+            # an end tag without a beginning ends nothing, and none but its own ends an article
+            for i in range(len(stack) - 1, -1, -1) if opened.get(name) else ():
                 if stack[i][0] == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in CONTENT_TAGS and name not in ("body", "html"):
-                    break  # a stray end tag doesn't end an article
-            before, side = side, next((s for _, s in reversed(stack) if s), "")
+                    break
+            settle()
             out.append(Run(f"/{name}:{before}", 0, "", name in BLOCK, before in LEFT_OUT, gold))
             continue
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
-            stack.pop()
-            side = next((s for _, s in reversed(stack) if s), "")
-        strict = any(s in LEFT_OUT and n in ASIDE_TAGS for n, s in stack)
-        own = side_of(name, m[3], any(s == "content" for _, s in stack))
+            close(len(stack) - 1)
+            settle()
+        own = side_of(name, m[3], within)
         if own == "content" and side in LEFT_OUT and (strict or name not in CONTENT_TAGS):
             own = side
         side = own or side
@@ -141,13 +155,13 @@ def runs_of(page: str) -> list[Run]:
             if end or name in OPAQUE:
                 at = end.end() if end else size
             out.append(Run(f"raw:{side}", 0, " " if name not in OPAQUE else "", False, True, gold))
-            side = next((s for _, s in reversed(stack) if s), "")
+            settle()
             continue
         out.append(Run(f"{name}:{side}", 0, " " if name == "br" else "", name in BLOCK, side in LEFT_OUT, gold))
-        if name in VOID or m[3].endswith("/"):
-            side = next((s for _, s in reversed(stack) if s), "")
-        else:
-            stack.append((name, own))
+        if name not in VOID and not m[3].endswith("/"):
+            stack.append((name, side, within or own == "content", strict or (own in LEFT_OUT and name in ASIDE_TAGS)))
+            opened[name] = opened.get(name, 0) + 1
+        settle()
     return out
 
 
