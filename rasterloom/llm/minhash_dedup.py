@@ -281,10 +281,11 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 9,
 def without_near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 9, rows: int = 3) -> DataFrame:
     """One row of each class, that of its least doc_id, with all its columns."""
     named = node_classes(docs, threshold=threshold, bands=bands, rows=rows)
-    keepers = named.where("keeper").select(F.col("node").alias("__node"), F.col("copy_of").alias("__id"))
-    marked = docs.withColumn("__node", node_key())
-    kept = marked.join(keepers, (marked["__node"] == keepers["__node"]) & marked["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__node"]).drop("__node")
+    # one key for the join and for what drops repeated rows, so that texts are shuffled once
+    row_key = lambda node, doc_id: F.md5(F.concat(node, F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary")))
+    keepers = named.where("keeper").select(row_key(F.col("node"), "copy_of").alias("__key"))
+    kept = docs.withColumn("__key", row_key(node_key(), "doc_id")).join(keepers, "__key", "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def node_classes(docs: DataFrame, *, threshold: float, bands: int, rows: int) -> DataFrame:
