@@ -24,9 +24,13 @@ from pyspark.sql import functions as F
 
 from .shared import prepare
 
-#: Possessive and bounded, so that text full of unfinished tags is read in linear time.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]{0,500}+\"|'[^']{0,500}+'){0,60}+)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: A comment, a declaration, or the beginning of a tag, whose end ``Tags`` finds.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/><]*+)", re.S)
+#: What matters within a tag: its end, another tag's beginning, a quoted value's beginning.
+INSIDE = re.compile(r"[<>]|=\s*+[\"']")
+#: Name and value of each attribute; values are passed over as a whole, whatever they hold.
+ATTRIBUTE = re.compile(r"([^\s=/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+SIDE_ATTRIBUTES = frozenset("class id role hidden style aria-hidden".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # Elements of HTML, by how they take part in a text.
@@ -73,6 +77,8 @@ def marked_side(name: str, attributes: str, in_content: bool) -> str:
     if attributes and not (name in HEADINGS or name in ("html", "body")):
         for key, a, b, c in ATTRIBUTE.findall(attributes):
             value, key = a or b or c, key.lower()
+            if key not in SIDE_ATTRIBUTES:
+                continue
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                 return "aside"
             if key == "role" and value.lower() in ASIDE_ROLES:
@@ -90,6 +96,42 @@ def marked_side(name: str, attributes: str, in_content: bool) -> str:
     return said
 
 
+class Tags:
+    """Comments, declarations and tags of a page in order; a tag and its values may have any length.
+
+    Whether a tag ends is settled by where its last value ended, so a failed search is kept by those
+    places: no later search goes over them again, and all of them together take linear time."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.open_ended: set[int] = set()  # places after which a tag finds no end
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends the tag whose attributes begin at ``at``, -1 where there is none."""
+        passed = []
+        while at not in self.open_ended:
+            passed.append(at)
+            m = INSIDE.search(self.page, at)
+            if m and m[0] == ">":
+                return m.start()
+            if not m or m[0] == "<" or self.last[m[0][-1]] < m.end():
+                break
+            at = self.page.index(m[0][-1], m.end()) + 1
+        self.open_ended.update(passed)
+        return -1
+
+    def find(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Begin, end, slash, name and attributes of the first one from ``at`` on; comments and declarations have no name."""
+        while m := TOKEN.search(self.page, at):
+            if not m[2]:
+                return m.start(), m.end(), "", "", ""
+            if (end := self.end(m.end())) >= 0:
+                return m.start(), end + 1, m[1], m[2].lower(), self.page[m.end() : end]
+            at = m.start() + 1
+        return None
+
+
 def runs_of(page: str) -> list[Run]:
     """The page as tags and texts in order. Scripts, styles and the like are tags without words."""
     out: list[Run] = []
@@ -113,24 +155,24 @@ def runs_of(page: str) -> list[Run]:
             words = len(piece.split())
             out.append(Run("word:" + side, words, piece, False, side in LEFT_OUT, gold))
 
-    last = page.rfind(">")
+    last, tags = page.rfind(">"), Tags(page)
     while at < size:
-        m = TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
-        if not m:
+        found = tags.find(at) if at <= last or page.find("<!--", at) >= 0 else None
+        if not found:
             rest = page[at:]
             cut = re.search(r"<[a-zA-Z/!?][^<]*\Z", rest)  # a tag that breaks off at the end
             text(rest[: cut.start()] if cut else rest)
             break
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+        start, end, slash, name, attributes = found
+        text(page[at:start])
+        at = end
         if not name:
-            if m[0] == "<!--[-->":
+            if page[start:end] == "<!--[-->":
                 gold = True
-            elif m[0] == "<!--]-->":
+            elif page[start:end] == "<!--]-->":
                 gold = False
             continue
-        closes = bool(m[1])
+        closes = bool(slash)
         if closes:
             before = side
             # an end tag without a beginning ends nothing, and none but its own ends an article
@@ -146,7 +188,7 @@ def runs_of(page: str) -> list[Run]:
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
             close(len(stack) - 1)
             settle()
-        own = side_of(name, m[3], within)
+        own = side_of(name, attributes, within)
         if own == "content" and side in LEFT_OUT and (strict or name not in CONTENT_TAGS):
             own = side
         side = own or side
@@ -158,7 +200,7 @@ def runs_of(page: str) -> list[Run]:
             settle()
             continue
         out.append(Run(f"{name}:{side}", 0, " " if name == "br" else "", name in BLOCK, side in LEFT_OUT, gold))
-        if name not in VOID and not m[3].endswith("/"):
+        if name not in VOID and not attributes.endswith("/"):
             stack.append((name, side, within or own == "content", strict or (own in LEFT_OUT and name in ASIDE_TAGS)))
             opened[name] = opened.get(name, 0) + 1
         settle()

@@ -138,6 +138,20 @@ def test_html_regions():
     assert html_extract.main_text("just words <b", w) == "just words"
 
 
+def test_html_tags_of_any_length():
+    """Tags with a long value or many values are tags, and what only a value says isn't an attribute."""
+    w = html_extract.fit_weights(html_extract.labelled_pages())
+    say = "<p>The council met on Tuesday evening and agreed to repair the old bridge.</p>"
+    plain = html_extract.main_text(f"<body><article>{say}{say}</article></body>", w)
+    long = "x" * 100_000
+    many = " ".join(f'data-a{i}="v > {i}"' for i in range(100))
+    for more in (f"data-x='{long}'", f'data-x="{long}"', many, """data-x='{"hidden": true, "class": "sidebar"}'""", "title=it's"):
+        page = f"<body><article {more}>{say}<img {more}><div class='sidebar' {more}>left out</div><script {more}>var x = 1;</script>{say}</article></body>"
+        assert html_extract.main_text(page, w) == plain, more[:40]
+    for bad in ('<a b="', "<a b='\"<x c=\"'", '<x a="<x" b="<x"', "<a =", "<a b=\"' c='"):  # linear on tags without an end
+        html_extract.runs_of(bad * 100_000 + ">")
+
+
 def test_html_scan_is_the_maximum():
     rng = random.Random(2)
     for _ in range(50):
