@@ -7,9 +7,9 @@ softmax is factored: classes of about equal size, then members of the class.
 
 Training is truncated backpropagation over lanes of running text, with the state carried on from
 window to window and set to zero at a text's end. It runs where the data are: in each of ``rounds``
-rounds every task trains from the same weights on the training texts it reads (a share of them by a
-hash of the id, proportional to the corpus and the same at any size), and Spark averages the
-weights by the number of words. Scoring carries the state over a whole text, however long.
+rounds every task trains from the same weights on the training texts it reads (one part of them by a
+hash of the id), and Spark averages the weights by the number of words; the rounds' parts together
+are all training texts. Scoring carries the state over a whole text, however long.
 
 Word counts come to the scorer by joins: texts are dealt into chunks of bounded size, each chunk
 asks for its distinct words once, and the answers meet the chunk's texts again by its number.
@@ -251,9 +251,11 @@ def score_streams(net: Network, v: Vocabulary, outputs: np.ndarray, starts: np.n
 def train_stream(net: Network, v: Vocabulary, stream: np.ndarray, *, lanes: int = 64, window: int = 20, rate: float = 0.01) -> Network:
     """Truncated backpropagation over one long stream of outputs, cut into lanes that run side by side."""
     lanes = max(1, min(lanes, len(stream) // (2 * window)))
-    length = len(stream) // lanes
-    target = stream[: lanes * length].reshape(lanes, length)
-    source = np.concatenate([np.full(1, v.end), stream[: lanes * length - 1]]).reshape(lanes, length)
+    length = -(-len(stream) // lanes)
+    filled = np.concatenate([stream, np.full(lanes * length - len(stream), v.end)])  # the filling isn't learned
+    target = filled.reshape(lanes, length)
+    source = np.concatenate([np.full(1, v.end), filled[:-1]]).reshape(lanes, length)
+    learned = (np.arange(lanes * length) < len(stream)).reshape(lanes, length)
     params = [x.copy() for x in net.arrays()]
     net = Network(*params)
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
@@ -277,10 +279,11 @@ def train_stream(net: Network, v: Vocabulary, stream: np.ndarray, *, lanes: int
         s = states.reshape(-1, k)
         slot = v.slot[dst.T.reshape(-1)]
         klass, member = slot // v.members, slot % v.members
-        n = np.float32(len(slot))
+        live = learned[:, begin : begin + window].T.reshape(-1)
+        n = np.float32(live.sum())
         p = np.exp(log_softmax(s @ net.class_w.T + net.class_b))
         p[np.arange(len(slot)), klass] -= 1
-        p /= n
+        p *= (live / n)[:, None].astype(np.float32)
         grads = [np.zeros_like(y) for y in params]
         g = Network(*grads)
         g.class_w[...], g.class_b[...] = p.T @ s, p.sum(0)
@@ -291,7 +294,7 @@ def train_stream(net: Network, v: Vocabulary, stream: np.ndarray, *, lanes: int
             own = order[ends[c] : ends[c + 1]]
             q = np.exp(log_softmax(s[own] @ net.member_w[c].T + net.member_b[c]))
             q[np.arange(len(own)), member[own]] -= 1
-            q /= n
+            q *= (live[own] / n)[:, None].astype(np.float32)
             g.member_w[c], g.member_b[c] = q.T @ s[own], q.sum(0)
             ds[own] += q @ net.member_w[c]
         ds = ds.reshape(steps, lanes, k)
@@ -333,8 +336,8 @@ class Recurrent:
     network: Network
 
 
-def fit_network(train: DataFrame, v: Vocabulary, *, rounds: int = 2, share: int = 16, hidden: int = 16, embed: int = 16, seed: int = 23) -> Recurrent:
-    """Train on one in ``share`` texts a round, a different part in each; weights are averaged over tasks."""
+def fit_network(train: DataFrame, v: Vocabulary, *, rounds: int = 2, hidden: int = 16, embed: int = 16, seed: int = 23) -> Recurrent:
+    """Train on every text once, one part of them in each round; weights are averaged over tasks."""
     net = new_network(v, hidden, embed, seed)
     sc = train.sparkSession.sparkContext
     for r in range(rounds):
@@ -348,9 +351,8 @@ def fit_network(train: DataFrame, v: Vocabulary, *, rounds: int = 2, share: int
             def step():
                 nonlocal net, total, seen
                 stream = np.concatenate(ids)
-                if len(stream) >= 64:
-                    net = train_stream(net, v, stream)
-                    seen += len(stream)
+                net = train_stream(net, v, stream)
+                seen += len(stream)
                 ids.clear()
 
             for batch in parts:
@@ -372,7 +374,7 @@ def fit_network(train: DataFrame, v: Vocabulary, *, rounds: int = 2, share: int
                     own = slice(a, a + (1 << 15))
                     yield batches(("i", part[own]), ("w", flat[own] * seen), ("n", np.full(len(part[own]), float(seen))))
 
-        chosen = train.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(share)) == r).select("text")
+        chosen = train.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(rounds)) == r).select("text")
         rows = chosen.mapInArrow(learn, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
         if rows.num_rows:  # one row for each weight of the model
             flat = np.empty(rows.num_rows)

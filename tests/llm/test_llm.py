@@ -209,6 +209,20 @@ def test_state_is_carried_over_windows_and_backpropagation_is_right():
     assert gru_lm.score_streams(trained, v, stream, starts, sizes).sum() > wide.sum()
 
 
+def test_every_training_text_reaches_the_network(spark):
+    """Each of 40 short texts, dealt over partitions, has a word of its own whose embedding must move."""
+    words = [f"w{i}" for i in range(40)]
+    train = spark.createDataFrame([(i, f"{w} {w}") for i, w in enumerate(words)], "doc_id long, text string").repartition(4)
+    v = gru_lm.fit_vocabulary(gru_lm.count_words(train), 40)
+    net = gru_lm.fit_network(train, v).network
+    moved = np.abs(net.embed - gru_lm.new_network(v, 16, 16, 23).embed).max(1)
+    assert sorted(v.words) == sorted(words) and (moved[:40] > 1e-4).all()
+    # the last targets of a stream that lanes don't divide are learned, too
+    stream = np.append(np.zeros(2 * 40, np.int64), 1)
+    old, new = (gru_lm.train_stream(gru_lm.new_network(v, 16, 16, 23), v, x, lanes=2) for x in (stream[:-1], stream))
+    assert not np.allclose(old.member_b[v.slot[1] // v.members], new.member_b[v.slot[1] // v.members])
+
+
 # ---------------------------------------------------------------- quality rules
 
 
