@@ -8,7 +8,7 @@ groups grows with the number of documents, so a group stays small at any scale;
 descriptors (no text, no ids) are shuffled.
 
 Ids are those of the ``tokenizers`` file; a faster encoder is made from the same file's
-vocabulary (its merge rank is its id) and the file's own encoder stands in wherever that one fails.
+vocabulary (its merge rank is its id) and the file's own encoder stands in wherever that one fails or a text holds an added token.
 
 Cases: null or empty text: one piece of one end id; a text of any length: as many pieces as it
 takes; ties: by doc_id, then start, then checksum; repeated rows: packed as often as they come
@@ -34,33 +34,33 @@ GROUP_DOCS = 8192
 
 @lru_cache(maxsize=2)
 def encoders(path: str):
-    """The file's encoder, and a faster one with the same vocabulary (None if it has another form)."""
+    """The file's encoder, a faster one with the same vocabulary (None if it has another form), and
+    the file's added tokens, which only its own encoder finds in a text."""
     import tiktoken
     from public_tokenizers import PATTERN
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    special = {x["content"] for x in spec.get("added_tokens", [])}
     if spec["model"]["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or spec.get("normalizer"):
-        return exact, None
+        return exact, None, special
     # byte-level files write each byte as a printable character: bytes that print stand for themselves, others follow from 256 on
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     as_char = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(printable))}
     as_byte = {c: b for b, c in as_char.items()}
-    special = {x["content"] for x in spec.get("added_tokens", [])}
     ranks = {bytes(as_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
     ids = [spec["model"]["vocab"][a + b] for a, b in merges]
     if ids != sorted(ids):
-        return exact, None
-    return exact, tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return exact, None, special
+    return exact, tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
 
 def encode(text: str, path: str) -> np.ndarray:
-    exact, fast = encoders(path)
-    if fast is not None and len(text) < 1 << 20:
+    exact, fast, special = encoders(path)
+    if fast is not None and len(text) < 1 << 20 and not any(x in text for x in special):
         try:
             return np.array(fast.encode_ordinary(text), np.uint32)
         except Exception:  # a pattern that backtracks too far

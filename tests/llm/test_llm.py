@@ -342,6 +342,16 @@ def test_packing(spark, docs, odd):
     assert len(by_sequence) <= total / 2048 * 1.1 + 2
 
 
+def test_added_tokens_within_texts():
+    """Ids are those of the file's encoder as it comes, where a text holds an added token, too."""
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(token_file(BYTE_BPE))
+    for t in ("<|endoftext|>", "one <|endoftext|> two<|endoftext|>", "<|endoftext", "plain text"):
+        assert packing.encode(t, token_file(BYTE_BPE)).tolist() == exact.encode(t, add_special_tokens=False).ids
+    assert 50256 in packing.encode("one <|endoftext|> two", token_file(BYTE_BPE))
+
+
 def test_first_fit_decreasing_equals_a_plain_scan():
     rng = np.random.default_rng(5)
     lengths = np.sort(rng.integers(1, 100, 300))[::-1]
