@@ -91,24 +91,32 @@ SENTENCE_END = r"[.!?;]? *\n+ *|[.!?;] +"
 TRIM = r"^[ \t\r/*#.!?;]+|[ \t\r*.!?;]+$"
 
 
+#: A blank of a known sentence: blanks, or a line's end and the comment signs of the next line. Fixed value.
+GAP = r"(?:[ \t\r]*+\n[ \t\r/*#]*+|[ \t]++)"
+#: Words of all of SENTENCES that rules use, of which a text must have one to be cut at all ("All rights
+#: reserved" and a © alone name no licence). Fixed value.
+GATE = (MORE + r"|neither the name of|permission to use, copy|[23]-clause").replace("^", "").replace(" ", GAP)
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text that speak of licences."""
+    """Normalised sentences of a text that may speak of licences."""
+    low = F.lower(text)
     # texts without any such word, which are most, aren't cut at all
-    cut = F.when(F.lower(text).rlike(MENTION), F.split(F.lower(text), SENTENCE_END)).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.filter(cut, lambda s: s.rlike(MORE)), lambda s: F.regexp_replace(F.regexp_replace(s, TRIM, ""), r"[ \t\r]+", " "))
+    cut = F.when(low.rlike(GATE), F.split(low, SENTENCE_END)).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.filter(cut, lambda s: s.rlike(GATE)), lambda s: F.regexp_replace(F.regexp_replace(s, TRIM, ""), "[ \t\r]+", " "))
 
 
 def sentence_id(sentence: Column) -> Column:
+    """Identifier of a sentence; null if it doesn't speak of licences."""
     out = None
     for name, pattern in SENTENCES:
         hit = sentence.rlike(pattern)
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-    return out.otherwise(F.lit("unknown"))
+    return out.when(sentence.rlike(MORE), F.lit("unknown"))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
     """doc_id, licences (sorted, one string), n_sentences, n_known, n_unknown, status of every text."""
-    ids = docs.select("doc_id", F.transform(sentences(F.coalesce(F.col("text"), F.lit(""))), sentence_id).alias("ids"))
+    ids = docs.select("doc_id", F.array_compact(F.transform(sentences(F.coalesce(F.col("text"), F.lit(""))), sentence_id)).alias("ids"))
     rest = F.concat(F.lit("<"), F.array_join("ids", "><"), F.lit(">"))
     out = ids.withColumn("rest", F.when(F.size("ids") == 0, F.lit("")).otherwise(rest))
     for i, (_, pattern) in enumerate(RULES):

@@ -395,6 +395,20 @@ def test_licences(spark):
     assert got == [("MIT", "known"), ("MIT", "known"), ("Apache-2.0,CC-BY-NC", "known"), ("GPL-3.0", "known"), ("LGPL", "known"), ("", "unknown"), ("", "none"), ("", "none"), ("", "none")]
 
 
+def licences_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    return [(r["licences"], r["status"]) for r in licenses.scan_licences(df).orderBy("doc_id").collect()]
+
+
+def test_licences_without_another_licence_word(spark):
+    """One text for each known sentence that needs no word of MENTION."""
+    known = {"Available under CC BY-SA 4.0.": "CC-BY-SA", "Creative Commons Attribution-ShareAlike 4.0 International": "CC-BY-SA", "CC0 1.0 Universal": "CC0-1.0", "CC BY 4.0": "CC-BY", "CC BY-ND 4.0": "CC-BY-ND"}
+    known |= {"CC BY-NC 4.0": "CC-BY-NC", "CC BY-NC-SA 4.0": "CC-BY-NC-SA", "CC BY-NC-ND 4.0": "CC-BY-NC-ND", "Code: BSD 3-Clause": "BSD-3-Clause", "A 2-clause BSD work": "BSD-2-Clause"}
+    known |= {"Permission to use, copy, modify, and/or distribute this software for any purpose": "ISC"}
+    assert licences_of(spark, known) == [(x, "known") for x in known.values()]
+    assert licences_of(spark, ["Neither the name of X", "All rights reserved.", "A 3-clause sentence here"]) == [("", "unknown"), ("", "none"), ("", "none")]
+
+
 def test_licences_equal_sql(spark, sf_dir):
     import duckdb
 
