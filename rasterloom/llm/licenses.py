@@ -96,13 +96,24 @@ GAP = r"(?:[ \t\r]*+\n[ \t\r/*#]*+|[ \t]++)"
 #: Words of all of SENTENCES that rules use, of which a text must have one to be cut at all ("All rights
 #: reserved" and a © alone name no licence). Fixed value.
 GATE = (MORE + r"|neither the name of|permission to use, copy|[23]-clause").replace("^", "").replace(" ", GAP)
+#: Known sentences of several words, wherever lines are wrapped in them. Fixed value.
+WRAPPED = "|".join(p.replace("^", "").replace(" ", GAP) for n, p in SENTENCES if " " in p and not n.startswith("spdx"))
+
+
+def unwrapped(text: Column) -> Column:
+    """Text whose known sentences stand on one line and hold no mark at which they would be cut."""
+    marked = F.regexp_replace(F.translate(text, "\1\2\3", "   "), f"({WRAPPED})", "\1$1\2")
+    whole = lambda x: F.regexp_replace(F.regexp_replace(x, GAP, " "), "([.!?;]) ", "$1\3")
+    # every second part is a known sentence
+    return F.array_join(F.transform(F.split(marked, "[\1\2]"), lambda x, i: F.when(i % 2 == 1, whole(x)).otherwise(x)), "")
+
 
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text that may speak of licences."""
     low = F.lower(text)
     # texts without any such word, which are most, aren't cut at all
-    cut = F.when(low.rlike(GATE), F.split(low, SENTENCE_END)).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.filter(cut, lambda s: s.rlike(GATE)), lambda s: F.regexp_replace(F.regexp_replace(s, TRIM, ""), "[ \t\r]+", " "))
+    cut = F.when(low.rlike(GATE), F.split(unwrapped(low), SENTENCE_END)).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.filter(cut, lambda s: s.rlike(GATE)), lambda s: F.regexp_replace(F.regexp_replace(s, TRIM, ""), "[ \t\r\3]+", " "))
 
 
 def sentence_id(sentence: Column) -> Column:
@@ -118,6 +129,8 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     """doc_id, licences (sorted, one string), n_sentences, n_known, n_unknown, status of every text."""
     ids = docs.select("doc_id", F.array_compact(F.transform(sentences(F.coalesce(F.col("text"), F.lit(""))), sentence_id)).alias("ids"))
     rest = F.concat(F.lit("<"), F.array_join("ids", "><"), F.lit(">"))
+    # what a notice says of the GPL after its version, its text's whereabouts for one, means that version
+    rest = F.regexp_replace(rest, "(<gpl[23]_name>)((<unknown>)*<gpl_name>)+", "$1")
     out = ids.withColumn("rest", F.when(F.size("ids") == 0, F.lit("")).otherwise(rest))
     for i, (_, pattern) in enumerate(RULES):
         hit = F.col("rest").rlike(pattern)

@@ -409,6 +409,23 @@ def test_licences_without_another_licence_word(spark):
     assert licences_of(spark, ["Neither the name of X", "All rights reserved.", "A 3-clause sentence here"]) == [("", "unknown"), ("", "none"), ("", "none")]
 
 
+def test_wrapped_licence_headers(spark):
+    """Standard headers with their line ends, plain and as comments."""
+    more = "\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License\nalong with this program.\n"
+    start = "This program is free software; you can redistribute it and/or modify\nit under the terms of the "
+    heads = [
+        start + "GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n" + more,
+        start + "GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n" + more,
+        start.replace("program", "library") + "GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n" + more.replace("General", "Lesser General"),
+    ]
+    want = [("GPL-2.0", "known"), ("GPL-3.0", "known"), ("LGPL", "known")]
+    for sign in ("", " * ", "# ", "// "):
+        assert licences_of(spark, ["\n".join(sign + x for x in h.split("\n")) for h in heads]) == want
+    one_line = "GNU General Public License as published by the Free Software Foundation; either version 2"
+    two = "Licensed under the MIT License\nLicensed under the Apache License, Version 2.0"
+    assert licences_of(spark, [one_line, two]) == [("GPL-2.0", "known"), ("Apache-2.0,MIT", "known")]
+
+
 def test_licences_equal_sql(spark, sf_dir):
     import duckdb
 
