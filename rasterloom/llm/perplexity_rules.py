@@ -7,8 +7,9 @@ probabilities in sorted hash arrays, and every text is scored under its language
 rejected if its log-perplexity lies outside its language's band, below (machine-like) or above
 (noise). Bands are the mean of the reference texts plus or minus a width that grows for short texts.
 
-Model size is bounded: symbols are 12-bit hashes of code points, at most ``max_ngrams`` n-grams of
-the highest order are kept (the rarest go first, and back-off covers them), and languages beyond
+Model size is bounded: symbols are 12-bit hashes of code points, at most ``max_ngrams`` n-grams of an
+order are kept by count (the rarest of each language go first; kept ones have the probabilities of
+the whole model, and back-off, with the weight set free, covers the others), and languages beyond
 the ``max_languages`` largest share one model.
 
 Cases: null or empty text: no words, base_failed; null lang: language ``und``; a language without
@@ -163,6 +164,8 @@ class HashArray:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 where there is none."""
+        if not len(self.hashes):
+            return np.full(len(keys), -1, np.int32)
         hashed = keys.astype(np.uint64) * self.FACTOR
         top = (hashed >> np.uint64(64 - self.bits)).astype(np.int64)
         at, end = self.first[top], self.first[top + 1]
@@ -182,7 +185,11 @@ class HashArray:
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
+    return discounts_of(*(float((counts == k).sum()) for k in (1, 2, 3, 4)))
+
+
+def discounts_of(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
+    """The same from the numbers of n-grams that occur once, twice, three and four times."""
     if not n1 or not n2:
         return np.array([0.5, 0.75, 1.0])
     y = n1 / (n1 + 2 * n2)
@@ -219,6 +226,27 @@ class KneserNey:
             self.tables.append(below)
             self.contexts.append(HashArray(context, np.log(gamma).astype(np.float32)))
 
+    @classmethod
+    def pruned(cls, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> "KneserNey":
+        """From a part of the n-grams of each order: keys, own share of the probability, and the back-off
+        weight of the context, all by counts of every n-gram. A kept n-gram's shorter one is kept, too, so
+        its probability is that of the whole model; what pruning sets free goes to the context's back-off."""
+        self = cls.__new__(cls)
+        self.tables, self.contexts = [], []
+        below: HashArray | None = None
+        for n, (k, own, gamma) in enumerate(levels, 1):
+            lower = np.full(len(k), 1 / (1 << SYMBOL_BITS))
+            if below is not None:
+                lower = np.exp(below.values[0][below.find(k & ((1 << (SYMBOL_BITS * (n - 1))) - 1))].astype(np.float64))
+            context, first, inverse = np.unique(k >> SYMBOL_BITS, return_index=True, return_inverse=True)
+            free = 1 - gamma[first] - np.bincount(inverse, weights=own, minlength=len(context))
+            rest = np.maximum(1 - np.bincount(inverse, weights=lower, minlength=len(context)), 1e-6)
+            weight = gamma[first] + np.where(free > 1e-9, free / rest, 0)
+            below = HashArray(k, np.log(own + gamma * lower).astype(np.float32))
+            self.tables.append(below)
+            self.contexts.append(HashArray(context, np.log(weight).astype(np.float32)))
+        return self
+
     def score(self, keys: np.ndarray) -> np.ndarray:
         """log p of the last symbol of each ORDER-gram given those before."""
         out = np.zeros(len(keys), np.float32)
@@ -248,6 +276,54 @@ def language() -> F.Column:
     return F.coalesce(F.col("lang"), F.lit("und"))
 
 
+def least_counts(sizes: dict[int, dict[int, int]], room: int) -> dict[int, int]:
+    """For each language the least count class whose n-grams, with all greater ones, fit its room.
+    Languages share the room evenly, and what a small one leaves goes to the larger ones."""
+    out, left = {}, len(sizes)
+    for k in sorted(sizes, key=lambda k: (sum(sizes[k].values()), k)):
+        mine, taken, least = room // left, 0, max(sizes[k]) + 1
+        for c in sorted(sizes[k], reverse=True):
+            if taken + sizes[k][c] > mine:
+                break
+            taken, least = taken + sizes[k][c], c
+        out[k], room, left = least, room - taken, left - 1
+    return out
+
+
+def prune(grams: DataFrame, max_ngrams: int) -> dict[int, KneserNey]:
+    """Models of at most max_ngrams n-grams by count of each order, and those a longer one needs.
+    Continuation counts, discounts and totals are of all n-grams, before any goes."""
+    spark = grams.sparkSession
+    levels: dict[int, list] = {}
+    level, need = grams, None
+    for n in range(ORDER, 0, -1):
+        if n < ORDER:
+            mask = F.lit((1 << (SYMBOL_BITS * n)) - 1)
+            level = stored(level.groupBy("k", F.col("g").bitwiseAND(mask).alias("g")).agg(F.count(F.lit(1)).alias("c")), "ngrams")
+            need = need.select("k", F.col("g").bitwiseAND(mask).alias("g")).distinct().withColumn("needed", F.lit(True))
+        # counts below 1024 are classes of their own, greater ones share classes of 0.3 %
+        size = F.when(F.col("c") < 1024, F.col("c")).otherwise(F.lit(1024) + F.floor(F.log2(F.col("c") / 1024) * 256))
+        sizes: dict[int, dict[int, int]] = {}
+        for r in level.groupBy("k", size.alias("s")).count().collect():  # a few thousand classes for each language
+            sizes.setdefault(r["k"], {})[r["s"]] = r["count"]
+        least = least_counts(sizes, max_ngrams)
+        told = [(k, least[k], *map(float, discounts_of(*(float(of.get(i, 0)) for i in (1, 2, 3, 4))))) for k, of in sizes.items()]
+        told = F.broadcast(spark.createDataFrame(told, "k int, least long, d1 double, d2 double, d3 double"))  # a row for each model
+        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        each = level.join(told, "k").withColumns({"h": F.shiftright("g", SYMBOL_BITS), "d": cut})
+        context = each.groupBy("k", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
+        chosen = F.col("least") <= size
+        if need is not None:
+            each, chosen = each.join(need, ["k", "g"], "left"), chosen | F.col("needed")
+        made = each.where(chosen).join(context, ["k", "h"]).select("k", "g", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("gamma"))
+        need = stored(made, "kept")
+        table = need.toArrow()  # bounded by max_ngrams, whatever the corpus
+        k, g, own, gamma = (table[x].to_numpy() for x in ("k", "g", "own", "gamma"))
+        for x in sizes:
+            levels.setdefault(x, []).insert(0, (g[k == x], own[k == x], gamma[k == x]))
+    return {x: KneserNey.pruned(y) for x, y in levels.items()}
+
+
 def fit_rules(docs: DataFrame, *, max_ngrams: int = 3_000_000, max_languages: int = 64) -> PerplexityRules:
     """Count n-grams of all reference texts of docs (text, lang) by language."""
     spark = prepare(docs.sparkSession)
@@ -294,16 +370,12 @@ def fit_rules(docs: DataFrame, *, max_ngrams: int = 3_000_000, max_languages: in
 
     grams = source.mapInArrow(count, "k int, g long, c long").groupBy("k", "g").agg(F.sum("c").alias("c"))
     grams = stored(grams, "ngrams")
-    least = 1
-    if grams.count() > max_ngrams:  # keep the most frequent: the least count whose n-grams fit
-        by_count = grams.groupBy(F.least("c", F.lit(1000)).alias("c")).count().orderBy(F.desc("c")).collect()
-        room = max_ngrams
-        for r in by_count:
-            room -= r["count"]
-            if room < 0:
-                break
-            least = r["c"]
-        grams = grams.where(F.col("c") >= least)
+    if grams.count() > max_ngrams:
+        found = {r["k"] for r in grams.select("k").distinct().collect()}
+        if -1 not in found and len(found) < len(big):
+            grams = grams.union(grams.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit(-1).alias("k"), "g", "c"))
+        models = {big[x] if x >= 0 else POOLED: m for x, m in prune(grams, max_ngrams).items()}
+        return PerplexityRules({x: x for x in models}, models)
     table = grams.toArrow()  # at most max_ngrams rows, whatever the corpus
     k, g, c = (table[x].to_numpy() for x in ("k", "g", "c"))
     models, names = {}, {}
