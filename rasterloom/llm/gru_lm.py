@@ -15,7 +15,9 @@ Word counts come to the scorer by joins: texts are dealt into chunks of bounded
 asks for its distinct words once, and the answers meet the chunk's texts again by its number.
 
 Cases: null or empty text: the end token alone; no training text: every count is zero and the
-network is uniform; repeated rows: each gets its own result; extra columns: ignored.
+network is as it began; ties among frequent words: the first in order of the alphabet; texts of any
+length: scored in windows with the state carried on; repeated rows: each gets its own result; empty
+table: no rows; extra columns, whatever their names: ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ from .shared import Words, batches, mix64, plain, prepare, quantity, stored, tex
 
 END = "\n"  # no word is a line end
 KINDS = 18
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
+MOST_PARTITIONS = 1 << 14
+WEIGHTS = 4096  # of the network, in one row
 
 
 def lower_words(texts: pa.Array) -> Words:
@@ -204,10 +208,11 @@ def log_prob(net: Network, v: Vocabulary, state: np.ndarray, target: np.ndarray)
     out = log_softmax(state @ net.class_w.T + net.class_b)[np.arange(len(state)), klass]
     order = np.argsort(klass, kind="stable")
     ends = np.searchsorted(klass[order], np.arange(v.classes + 1))
-    for c in range(v.classes):
-        own = order[ends[c] : ends[c + 1]]
-        if len(own):
-            out[own] += log_softmax(state[own] @ net.member_w[c].T + net.member_b[c])[np.arange(len(own)), member[own]]
+    state, member, inner = state[order], member[order], np.empty(len(order), np.float32)
+    for c in np.flatnonzero(np.diff(ends)):
+        a, b = ends[c], ends[c + 1]
+        inner[a:b] = log_softmax(state[a:b] @ net.member_w[c].T + net.member_b[c])[np.arange(b - a), member[a:b]]
+    out[order] += inner
     return out
 
 
@@ -248,14 +253,16 @@ def score_streams(net: Network, v: Vocabulary, outputs: np.ndarray, starts: np.n
     return back
 
 
-def train_stream(net: Network, v: Vocabulary, stream: np.ndarray, *, lanes: int = 64, window: int = 20, rate: float = 0.01) -> Network:
-    """Truncated backpropagation over one long stream of outputs, cut into lanes that run side by side."""
-    lanes = max(1, min(lanes, len(stream) // (2 * window)))
+def train_stream(net: Network, v: Vocabulary, stream: np.ndarray, *, lanes: int = 256, window: int = 20, rate: float = 0.02, updates: int = 150) -> Network:
+    """Truncated backpropagation over one long stream of outputs, cut into lanes that run side by side;
+    short streams get fewer lanes, so that they make about ``updates`` steps."""
+    lanes = max(1, min(lanes, max(len(stream) // (updates * window), 16), len(stream) // (2 * window)))
     length = -(-len(stream) // lanes)
     filled = np.concatenate([stream, np.full(lanes * length - len(stream), v.end)])  # the filling isn't learned
-    target = filled.reshape(lanes, length)
-    source = np.concatenate([np.full(1, v.end), filled[:-1]]).reshape(lanes, length)
-    learned = (np.arange(lanes * length) < len(stream)).reshape(lanes, length)
+    # time by lanes, so that a step's rows lie side by side
+    target = np.ascontiguousarray(filled.reshape(lanes, length).T)
+    source = np.ascontiguousarray(np.concatenate([np.full(1, v.end), filled[:-1]]).reshape(lanes, length).T)
+    learned = np.ascontiguousarray((np.arange(lanes * length) < len(stream)).reshape(lanes, length).T)
     params = [x.copy() for x in net.arrays()]
     net = Network(*params)
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
@@ -263,69 +270,83 @@ def train_stream(net: Network, v: Vocabulary, stream: np.ndarray, *, lanes: int
     h = np.zeros((lanes, k), np.float32)
     real = net.member_b > -1e8
     for update, begin in enumerate(range(0, length, window), 1):
-        src, dst = source[:, begin : begin + window], target[:, begin : begin + window]
-        steps = src.shape[1]
-        x = net.embed[src] @ net.w + net.b  # lanes x steps x 3h
-        keep, states = [], np.empty((steps, lanes, k), np.float32)
+        src, dst = source[begin : begin + window], target[begin : begin + window]
+        steps = len(src)
+        rows = src.reshape(-1)
+        read = net.embed[rows]
+        x = (read @ net.w + net.b).reshape(steps, lanes, 3 * k)
+        before, states, new, back_new = (np.empty((steps, lanes, k), np.float32) for _ in range(4))
+        gates = np.empty((steps, lanes, 2 * k), np.float32)
+        fresh_text = src == v.end
         for t in range(steps):
-            h = np.where((src[:, t] == v.end)[:, None], np.float32(0), h)  # a new text begins
+            if fresh_text[t].any():
+                h[fresh_text[t]] = 0  # a new text begins
+            before[t] = h
             back = h @ net.u
-            gates = sigmoid(x[:, t, : 2 * k] + back[:, : 2 * k])
-            z, r = gates[:, :k], gates[:, k:]
-            fresh = np.tanh(x[:, t, 2 * k :] + r * back[:, 2 * k :])
-            keep.append((h, z, r, fresh, back[:, 2 * k :]))
-            h = fresh + z * (h - fresh)
-            states[t] = h
+            gates[t] = sigmoid(x[t, :, : 2 * k] + back[:, : 2 * k])
+            back_new[t] = back[:, 2 * k :]
+            new[t] = np.tanh(x[t, :, 2 * k :] + gates[t, :, k:] * back_new[t])
+            states[t] = new[t] + gates[t, :, :k] * (h - new[t])
+            h = states[t].copy()
+        # outputs: what each state is told by its target, class by class
         s = states.reshape(-1, k)
-        slot = v.slot[dst.T.reshape(-1)]
+        slot = v.slot[dst.reshape(-1)]
         klass, member = slot // v.members, slot % v.members
-        live = learned[:, begin : begin + window].T.reshape(-1)
-        n = np.float32(live.sum())
+        share = learned[begin : begin + window].reshape(-1).astype(np.float32)
+        share /= max(share.sum(), 1)
         p = np.exp(log_softmax(s @ net.class_w.T + net.class_b))
         p[np.arange(len(slot)), klass] -= 1
-        p *= (live / n)[:, None].astype(np.float32)
+        p *= share[:, None]
         grads = [np.zeros_like(y) for y in params]
         g = Network(*grads)
         g.class_w[...], g.class_b[...] = p.T @ s, p.sum(0)
         ds = p @ net.class_w
         order = np.argsort(klass, kind="stable")
         ends = np.searchsorted(klass[order], np.arange(v.classes + 1))
+        own_s, own_member, own_share, own_ds = s[order], member[order], share[order], np.empty((len(order), k), np.float32)
         for c in np.flatnonzero(np.diff(ends)):
-            own = order[ends[c] : ends[c + 1]]
-            q = np.exp(log_softmax(s[own] @ net.member_w[c].T + net.member_b[c]))
-            q[np.arange(len(own)), member[own]] -= 1
-            q *= (live[own] / n)[:, None].astype(np.float32)
-            g.member_w[c], g.member_b[c] = q.T @ s[own], q.sum(0)
-            ds[own] += q @ net.member_w[c]
+            a, b = ends[c], ends[c + 1]
+            q = np.exp(log_softmax(own_s[a:b] @ net.member_w[c].T + net.member_b[c]))
+            q[np.arange(b - a), own_member[a:b]] -= 1
+            q *= own_share[a:b, None]
+            g.member_w[c], g.member_b[c] = q.T @ own_s[a:b], q.sum(0)
+            own_ds[a:b] = q @ net.member_w[c]
+        ds[order] += own_ds
         ds = ds.reshape(steps, lanes, k)
+        # how a change of the new state reaches each gate, for all steps at once
+        z, r = gates[:, :, :k], gates[:, :, k:]
+        to_new = (1 - z) * (1 - new**2)
+        to_z = (before - new) * z * (1 - z)
+        to_r = back_new * r * (1 - r)
+        dx, dback = np.empty_like(x), np.empty_like(x)
         dh = np.zeros((lanes, k), np.float32)
-        dx = np.empty_like(x)
+        ut = np.ascontiguousarray(net.u.T)
         for t in range(steps - 1, -1, -1):
-            prev, z, r, fresh, back_n = keep[t]
             d = dh + ds[t]
-            d_fresh = d * (1 - z) * (1 - fresh**2)
-            d_z = d * (prev - fresh) * z * (1 - z)
-            d_r = d_fresh * back_n * r * (1 - r)
-            d_back = np.concatenate([d_z, d_r, d_fresh * r], 1)
-            dx[:, t] = np.concatenate([d_z, d_r, d_fresh], 1)
-            g.u[...] += prev.T @ d_back
-            dh = d * z + d_back @ net.u.T
-            dh[src[:, t] == v.end] = 0
+            d_new = d * to_new[t]
+            dback[t, :, :k] = d * to_z[t]
+            dback[t, :, k : 2 * k] = d_new * to_r[t]
+            dback[t, :, 2 * k :] = d_new * r[t]
+            dx[t, :, 2 * k :] = d_new
+            dh = d * z[t] + dback[t] @ ut
+            if fresh_text[t].any():
+                dh[fresh_text[t]] = 0
+        dx[:, :, : 2 * k] = dback[:, :, : 2 * k]
         flat = dx.reshape(-1, 3 * k)
+        g.u[...] = before.reshape(-1, k).T @ dback.reshape(-1, 3 * k)
         g.b[...] = flat.sum(0)
-        rows = src.reshape(-1)
-        g.w[...] = net.embed[rows].T @ flat
-        de = flat @ net.w.T
-        u, inverse = np.unique(rows, return_inverse=True)
-        g.embed[u] = np.stack([np.bincount(inverse, weights=de[:, i]) for i in range(de.shape[1])], 1)
-        norm = np.sqrt(sum(float((y.astype(np.float64) ** 2).sum()) for y in grads))
+        g.w[...] = read.T @ flat
+        turn = np.argsort(rows, kind="stable")
+        at = np.flatnonzero(np.diff(rows[turn], prepend=-1))
+        g.embed[rows[turn[at]]] = np.add.reduceat((flat @ net.w.T)[turn], at, axis=0)
+        norm = np.sqrt(sum(float(np.vdot(y, y)) for y in grads))
         clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-        scale = rate * np.sqrt(1 - 0.999**update) / (1 - 0.9**update)
+        scale = np.float32(rate * np.sqrt(1 - 0.999**update) / (1 - 0.9**update))
         for y, dy, m1, m2 in zip(params, grads, first, second):
             dy *= clip
             m1 += np.float32(0.1) * (dy - m1)
-            m2 += np.float32(0.001) * (dy**2 - m2)
-            y -= np.float32(scale) * m1 / (np.sqrt(m2) + np.float32(1e-8))
+            m2 += np.float32(0.001) * (dy * dy - m2)
+            y -= scale * m1 / (np.sqrt(m2) + np.float32(1e-8))
         net.member_b[~real] = -1e9
     return net
 
@@ -336,7 +357,23 @@ class Recurrent:
     network: Network
 
 
-def fit_network(train: DataFrame, v: Vocabulary, *, rounds: int = 2, hidden: int = 16, embed: int = 16, seed: int = 23) -> Recurrent:
+def averaged(sums: DataFrame) -> list[tuple[int, np.ndarray]]:
+    """Weights by block from rows of tasks (block, task, w: sums of weight times words, n: words), added up in a tree of two steps."""
+
+    def add(table: pa.Table) -> pa.Table:
+        order = pc.sort_indices(table, [("task", "ascending")])  # alike, however rows arrive
+        total = sum(np.frombuffer(x.as_py(), "<f8") for x in table["w"].take(order))
+        one = {"block": table["block"].slice(0, 1), "task": pa.array([pc.min(table["task"]).as_py()], pa.int32())}
+        return pa.table(one | {"w": pa.array([total.tobytes()], pa.binary()), "n": pa.array([float(np.sum(table["n"].take(order).to_numpy()))])})
+
+    kind = "block int, task int, w binary, n double"
+    groups = max(1, int(sums.rdd.getNumPartitions() ** 0.5))
+    part = sums.withColumn("part", F.col("task") % groups).groupBy("block", "part").applyInArrow(lambda t: add(t.drop_columns(["part"])), kind)
+    rows = part.groupBy("block").applyInArrow(add, kind).orderBy("block").collect()  # one row for each block of the model
+    return [(r["block"], np.frombuffer(r["w"], "<f8") / r["n"]) for r in rows]
+
+
+def fit_network(train: DataFrame, v: Vocabulary, *, rounds: int = 2, hidden: int = 24, embed: int = 16, seed: int = 23) -> Recurrent:
     """Train on every text once, one part of them in each round; weights are averaged over tasks."""
     net = new_network(v, hidden, embed, seed)
     sc = train.sparkSession.sparkContext
@@ -344,12 +381,13 @@ def fit_network(train: DataFrame, v: Vocabulary, *, rounds: int = 2, hidden: int
         shared = sc.broadcast((net, v))
 
         def learn(parts, shared=shared):
+            from pyspark import TaskContext
+
             net, v = shared.value
-            ids, part, size = [], [], 0
-            total, seen = np.zeros(len(net.flat())), 0
+            ids, size, seen = [], 0, 0
 
             def step():
-                nonlocal net, total, seen
+                nonlocal net, seen
                 stream = np.concatenate(ids)
                 net = train_stream(net, v, stream)
                 seen += len(stream)
@@ -368,18 +406,15 @@ def fit_network(train: DataFrame, v: Vocabulary, *, rounds: int = 2, hidden: int
             if ids:
                 step()
             if seen:
-                flat = net.flat()
-                part = np.arange(len(flat), dtype=np.int32)
-                for a in range(0, len(flat), 1 << 15):
-                    own = slice(a, a + (1 << 15))
-                    yield batches(("i", part[own]), ("w", flat[own] * seen), ("n", np.full(len(part[own]), float(seen))))
+                flat, task = net.flat() * seen, TaskContext.get().partitionId()
+                own = [flat[a : a + WEIGHTS].astype("<f8").tobytes() for a in range(0, len(flat), WEIGHTS)]
+                n = np.full(len(own), float(seen))
+                yield batches(("block", np.arange(len(own), dtype=np.int32)), ("task", np.full(len(own), task, np.int32)), ("w", pa.array(own, pa.binary())), ("n", n))
 
         chosen = train.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(rounds)) == r).select("text")
-        rows = chosen.mapInArrow(learn, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
-        if rows.num_rows:  # one row for each weight of the model
-            flat = np.empty(rows.num_rows)
-            flat[rows["i"].to_numpy()] = rows["w"].to_numpy()
-            net = net.filled(flat)
+        found = averaged(chosen.mapInArrow(learn, "block int, task int, w binary, n double"))
+        if found:
+            net = net.filled(np.concatenate([w for _, w in found]))
     return Recurrent(v, net)
 
 
@@ -414,7 +449,7 @@ def score_chunk(model: Recurrent, texts: pa.Array, told: pa.Table) -> dict[str,
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, *, frequent: int = 1000) -> DataFrame:
+def score_documents(docs: DataFrame, *, frequent: int = 2000) -> DataFrame:
     """Count, train and score; learns from rows whose crc32(doc_id) mod 7 is not 2."""
     spark = prepare(docs.sparkSession)
     marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(7, 2).alias("held_out"))
@@ -424,7 +459,7 @@ def score_documents(docs: DataFrame, *, frequent: int = 1000) -> DataFrame:
     shared = spark.sparkContext.broadcast(fit_network(train, vocabulary))
     rows, size = quantity(marked)
     chunks = max(1, -(-size // CHUNK_BYTES), -(-rows // 50_000))
-    keyed = marked.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition(max(chunks, 1), "chunk")
+    keyed = marked.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition(min(chunks, MOST_PARTITIONS), "chunk")
 
     def ask(table: pa.Table) -> pa.Table:
         text = plain(table["text"].combine_chunks())
