@@ -14,12 +14,14 @@ def quantised(values, top: int) -> Column:
 
 
 def display_lut(samples, *, black=0.0, white=255.0, contrast=1.0, brightness=0.0, channel_offset=0.0, gamma=1.0) -> Column:
-    """Vendor display curve: normalise, contrast around one half, offsets, gamma, round half to even."""
+    """Vendor display curve: normalise, contrast around one half (none below zero), offsets, gamma, round half to even."""
+    if not white > black or not gamma > 0:
+        raise ValueError(f"display curve from {black} to {white} with gamma {gamma}")
 
     def one(v: Column) -> Column:
-        x = (v.cast("double") - black) / max(white - black, 1.0)
+        x = (v.cast("double") - black) / (white - black)
         x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-        x = (x - 0.5) * contrast + 0.5 + brightness + channel_offset
+        x = (x - 0.5) * max(contrast, 0.0) + 0.5 + brightness + channel_offset
         x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
         return F.rint(F.pow(x, F.lit(1.0 / gamma)) * 255).cast("bigint")
 

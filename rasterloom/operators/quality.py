@@ -10,12 +10,12 @@ C1, C2 = 6.5025, 58.5225
 
 
 def roi_quality(pixels: DataFrame, key: str, reference: str, candidate: str) -> DataFrame:
-    """Mean squared error, peak signal-to-noise ratio (null where there is no error) and structural
+    """Mean squared error, peak signal-to-noise ratio (infinite where there is no error) and structural
     similarity over all samples of each key, from one pass of means, variances and covariance."""
     a, b = F.col(reference).cast("double"), F.col(candidate).cast("double")
     s = pixels.groupBy(key).agg(F.avg((a - b) * (a - b)).alias("mse"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"), F.covar_pop(a, b).alias("cab"))
     ssim = (2 * F.col("ma") * F.col("mb") + C1) * (2 * F.col("cab") + C2) / ((F.col("ma") ** 2 + F.col("mb") ** 2 + C1) * (F.col("va") + F.col("vb") + C2))
-    psnr = F.when(F.col("mse") > 0, F.round(10 * F.log10(F.lit(65025.0) / F.col("mse")), 6))
+    psnr = F.when(F.col("mse") > 0, F.round(10 * F.log10(F.lit(65025.0) / F.col("mse")), 6)).when(F.col("mse") == 0, float("inf"))
     return s.select(key, F.round("mse", 6).alias("mse"), psnr.alias("psnr"), F.round(ssim, 6).alias("ssim"))
 
 

@@ -107,7 +107,7 @@ def reduce_level(tiles: DataFrame, *, tile: int, factor: int = 2, bands: int = 1
         return pa.table({**{k: pa.array([v], pa.int64()) for k, v in out.items()}, "payload": pa.array([encoded(mean)], pa.binary())})
 
     cols = ["slide_id", "level", "x", "y", "w", "h", "px", "py", "payload"]
-    return up.select(*cols).groupBy("slide_id", "px", "py").applyInArrow(shrink, "slide_id long, level long, x long, y long, w long, h long, payload binary")
+    return up.select(*cols).groupBy("slide_id", "level", "px", "py").applyInArrow(shrink, "slide_id long, level long, x long, y long, w long, h long, payload binary")
 
 
 def pixels_of(df: DataFrame, payload: str = "pixels", *, width: str = "w", height: str = "h") -> DataFrame:

@@ -21,7 +21,7 @@ from ..operators.windows import greedy_names
 from ..sources import afi, ibl, image_container, kfb, tiff
 from ..sources.listing import inspectable_files
 from .options import Options
-from .session import ship
+from .session import ship, store_path
 
 FACTS = "idx long, path string, format string, container string, version string, codec string, width long, height long, bit_depth long, modality string, native_planes boolean, n_field long, n_channels long, n_z long, n_t long, n_levels long, mpp double, file_size long, mtime_ns string, error_code string, error_stage string, error string"
 RESULT = "idx long, input_path string, output_path string, status string, success boolean, width long, height long, pyramid_levels long, duration_sec double, failure_stage string, error_code string, error string"
@@ -112,7 +112,7 @@ Converter = Callable[[dict], dict]
 def convert_folder(spark: SparkSession, folder: str, out_folder: str, options: Options, convert: Converter, *, expected: DataFrame | None = None) -> DataFrame:
     """Run ``convert`` on each compatible file of a folder; results, in order of the plan.
 
-    convert gets the plan's row and writes to its output_path with ``.part``, which is renamed when it
+    convert gets the plan's row and writes to its output_path, a file of this attempt that is renamed when it
     returns; what it returns (width, height, pyramid_levels) goes to the result. With
     ``continue_on_error`` off, files after the first failure of their task count as not started, so use
     one task (parallel_wsi = 1) for a strict order.
@@ -130,11 +130,13 @@ def convert_folder(spark: SparkSession, folder: str, out_folder: str, options: O
     def run(parts):
         import time
 
-        failed = False
+        from pyspark import TaskContext
+
+        failed, attempt = False, TaskContext.get().taskAttemptId()
         for pdf in parts:
             for row in pdf.sort_values("idx").to_dict("records"):
                 out = {"idx": row["idx"], "input_path": row["path"], "output_path": row["output_path"], "status": "not_started", "success": False, "duration_sec": 0.0}
-                part = row["output_path"] + ".part"
+                part = f"{row['output_path']}.{attempt}.part"
                 begin = time.monotonic()
                 try:
                     if not failed or go_on:
@@ -154,8 +156,10 @@ def convert_folder(spark: SparkSession, folder: str, out_folder: str, options: O
     good = plan.where("status = 'compatible'").select("idx", "path", "format", "output_path", "width", "height", "modality", "mpp").repartition(options.parallel(), "path")
     done = good.sortWithinPartitions("idx").mapInPandas(run, RESULT)
     skipped = bad.select("idx", F.col("path").alias("input_path"), F.lit("skipped_incompatible").alias("status"), F.lit(False).alias("success"), F.coalesce("error_code", "status").alias("error_code"), F.coalesce("error", "reason", "status").alias("error"))
-    # converted once: the results are kept before anyone counts or reports them
-    return done.unionByName(skipped, allowMissingColumns=True).orderBy("idx").persist()
+    # converted once: the results are written before anyone counts or reports them, so no lost executor converts again
+    path = store_path(spark, "results")
+    done.unionByName(skipped, allowMissingColumns=True).write.parquet(path)
+    return spark.read.parquet(path).orderBy("idx")
 
 
 def counts_of(results: DataFrame) -> dict:

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.arithmetic import bounded_int
 from ..functions.text import (
     LENGTH_UNITS,
+    MAGNIFICATION_KEYS,
     OUTPUT_SUFFIX,
     TIME_UNITS,
+    aperio_associated_description,
     aperio_description,
+    aperio_level_description,
+    aperio_thumbnail_description,
     blank_zero,
     channel_suffix,
     converted,
@@ -18,12 +22,13 @@ from ..functions.text import (
     objective_power,
     output_path,
     parent_folder,
+    pixel_size,
     safe_component,
     suffix,
 )
 from ..operators.events import job_timing as timing_of, log_tail as tail_of, monotone_progress, phase_matrix as matrix_of, progress_fields
 from ..operators.planner import allowed_outputs, batch_counts as counts_of, channel_overrides, codec_summary, compatibility, omitted_planes, resolved_resources, without_referenced
-from ..operators.windows import latest, numbered, suffixed_names
+from ..operators.windows import greedy_names, latest, numbered, suffixed_names
 from .registry import Registry, table
 
 registry = Registry()
@@ -129,7 +134,14 @@ def batch_counts(spark, sf_dir):
 @query("SELECT p_partkey, p_name || CASE WHEN n > 0 THEN '_' || n ELSE '' END || '.svs' AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) - 1 AS n FROM part)")
 def name_dedup(spark, sf_dir):
     rows = table(spark, sf_dir, "part").withColumn("suffix", F.lit(".svs"))
-    return suffixed_names(rows, folder="p_brand", stem="p_name", suffix="suffix", order=["p_partkey"]).select("p_partkey", "name")
+    return greedy_names(rows.select("p_partkey", "p_brand", "p_name", "suffix"), folder="p_brand", stem="p_name", suffix="suffix", order="p_partkey").select("p_partkey", "name")
+
+
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) || CASE WHEN n > 0 THEN '_' || n ELSE '' END || '.afi' AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) - 1 AS n FROM part)")
+def name_numbering(spark, sf_dir):
+    """Names whose stems no suffix can collide with, numbered by a window without bringing a folder to one task."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("string").alias("stem"), F.lit(".afi").alias("suffix"))
+    return suffixed_names(rows, folder="p_brand", stem="stem", suffix="suffix", order=["p_partkey"]).select("p_partkey", "name")
 
 
 @query("SELECT o_orderkey AS idx, 'converted' AS status, o_totalprice AS size FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'skipped_incompatible', NULL FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'not_started', NULL FROM orders WHERE o_orderstatus = 'P'")
@@ -196,25 +208,26 @@ def unit_convert(spark, sf_dir):
 
 
 @query(
-    f"""WITH d AS (SELECT p_partkey, 'Lib v1' || chr(10) || 'size|AppMag = ' || printf('%.1f', p_size / 2.0) || '|Dye=' || p_name || '|mpp = 0.' || p_size AS text FROM part)
+    f"""WITH d AS (SELECT p_partkey, p_size, 'Lib v1' || chr(10) || 'size|AppMag = ' || printf('%.1f', p_size / 2.0) || '|Dye=' || p_name || '|mpp = 0.' || p_size AS text FROM part)
  SELECT p_partkey, trim(regexp_extract(text, '(?i)(?:^|[|\n])\\s*MPP\\s*=\\s*([^|\\r\\n]+)', 1)) AS mpp, trim(regexp_extract(text, '(?i)(?:^|[|\n])\\s*Dye\\s*=\\s*([^|\\r\\n]+)', 1)) AS dye,
-   CAST(round_even(CAST(regexp_extract(text, '(?i)(?:AppMag|Objective\\s?Power|Magnification|Objective)\\s*[=:]\\s*([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE), 0) AS BIGINT) AS magnification FROM d"""
+   CAST(round_even(p_size / 2.0, 0) AS BIGINT) AS magnification, CAST('0.' || p_size AS DOUBLE) AS pixel_size FROM d"""
 )
 def description_properties(spark, sf_dir):
     s = F.col("p_size")
-    text = F.concat(F.lit("Lib v1\nsize|AppMag = "), F.format_string("%.1f", s / F.lit(2.0)), F.lit("|Dye="), "p_name", F.lit("|mpp = 0."), s.cast("string"))
+    key = F.element_at(F.array(*map(F.lit, MAGNIFICATION_KEYS)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("Lib v1\nsize|"), key, F.lit(" = "), F.format_string("%.1f", s / F.lit(2.0)), F.lit("|Dye="), "p_name", F.lit("|mpp = 0."), s.cast("string"))
     rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
-    return rows.select("p_partkey", description_property("text", "MPP").alias("mpp"), description_property("text", "Dye").alias("dye"), objective_power("text").alias("magnification"))
+    return rows.select("p_partkey", description_property("text", "MPP").alias("mpp"), description_property("text", "Dye").alias("dye"), objective_power("text").alias("magnification"), pixel_size("text").alias("pixel_size"))
 
 
 @query(
-    r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(source || ' <' || lang || '>: ' || coalesce(text, ''), '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '\s+', '_', 'g') AS name FROM documents)
- SELECT doc_id, md5(regexp_replace(regexp_replace(name, '^[._]+', ''), '[._]+$', '')) AS name_md5, 'C' || printf('%02d', CAST(doc_id % 100 AS INT)) || '_' || source AS channel FROM d JOIN documents USING (doc_id)"""
+    r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(source || ' <' || lang || '>: ' || coalesce(text, ''), '[<>:"/\\|?*\x00-\x1f]+', '_', 'g'), '\s+', '_', 'g') AS name FROM documents)
+ SELECT doc_id, md5(regexp_replace(regexp_replace(name, '^[._]+', ''), '[._]+$', '')) AS name_md5, 'C' || printf('%02d', CAST(doc_id % 100 + 1 AS INT)) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '_' || source END AS channel FROM d JOIN documents USING (doc_id)"""
 )
 def safe_component_names(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     raw = F.concat("source", F.lit(" <"), "lang", F.lit(">: "), F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", F.md5(safe_component(raw).cast("binary")).alias("name_md5"), channel_suffix(F.col("doc_id") % 100, F.concat(F.lit(" ."), "source", F.lit("_ "))).alias("channel"))
+    return docs.select("doc_id", F.md5(safe_component(raw).cast("binary")).alias("name_md5"), channel_suffix(F.col("doc_id") % 100, F.concat(F.lit(" ."), "source", F.lit("_ ")), F.when(F.col("doc_id") % 3 == 0, "unknown").otherwise("source_metadata")).alias("channel"))
 
 
 @query("SELECT p_partkey, greatest(1, least(8, coalesce(TRY_CAST(v AS BIGINT), 1))) AS parallel, greatest(1024, least(65536, coalesce(TRY_CAST(v || '00' AS BIGINT), 6144))) AS memory_mb FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'many' WHEN p_partkey % 7 = 0 THEN '-' || p_size ELSE CAST(p_size AS VARCHAR) END AS v FROM part)")
@@ -232,12 +245,28 @@ def json_round_trip(spark, sf_dir):
     return rows.select("event_id", F.col("r.type").alias("event_type"), "r.k", "r.mtime_ns")
 
 
+SIZES = "printf('%dx%d', p_size * 100, p_size * 80)"
+PARTS = "printf('AppMag = %d|Filename = %s|MPP = %.6f|DisplayColor = 0|OriginalWidth = %d|OriginalHeight = %d|ICC Profile = sRGB', p_size % 3 * 20, p_name, (p_size % 4) / 8.0, p_size * 100, p_size * 80)"
+
+
 @query(
-    "SELECT p_partkey, 'Image Library' || chr(13) || chr(10) || printf('%dx%d [0,0 %dx%d] (%dx%d) JPEG/RGB Q=%d', p_size * 100, p_size * 80, p_size * 100, p_size * 80, 240, 240, 90) || CASE WHEN p_size % 3 > 0 THEN '|AppMag = ' || (p_size % 3) * 20 ELSE '' END || CASE WHEN p_size % 4 > 0 THEN printf('|MPP = %.6f', (p_size % 4) / 8.0) ELSE '' END AS description FROM part"
+    f"""SELECT p_partkey, 'Image Library ' || chr(13) || chr(10) || {SIZES} || ' [0,0 ' || {SIZES} || '] (240x240) JPEG/RGB Q=90|' || {PARTS} AS main,
+  'Image Library ' || chr(13) || chr(10) || {SIZES} || ' [0,0 ' || {SIZES} || '] (240x240) -> ' || printf('%dx%d', p_size * 25, p_size * 20) || ' JPEG/RGB Q=90' AS level,
+  'Image Library ' || chr(10) || {SIZES} || ' -> ' || printf('%dx%d', p_size, p_size) || ' - |' || {PARTS} AS thumbnail, 'Image Library ' || chr(10) || 'label ' || p_size || 'x100' AS label, 'Image Library ' || chr(10) || 'macro 100x' || p_size AS macro FROM part"""
 )
 def description_build(spark, sf_dir):
-    s = F.col("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", aperio_description(s * 100, s * 80, F.lit(240), F.lit(90), (s % 4) / F.lit(8.0), (s % 3) * 20, "Image Library").alias("description"))
+    """Descriptions of every kind of page."""
+    s, library = F.col("p_size"), "Image Library"
+    w, h, tile, codec = s * 100, s * 80, F.lit(240), F.lit("JPEG/RGB Q=90")
+    named = ((s % 3) * 20, F.col("p_name"), (s % 4) / F.lit(8.0), F.lit("sRGB"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        aperio_description(library, w, h, tile, codec, *named).alias("main"),
+        aperio_level_description(library, w, h, tile, codec, s * 25, s * 20).alias("level"),
+        aperio_thumbnail_description(library, w, h, s, s, *named).alias("thumbnail"),
+        aperio_associated_description(library, "label", s, F.lit(100)).alias("label"),
+        aperio_associated_description(library, "macro", F.lit(100), s).alias("macro"),
+    )
 
 
 # ---------------------------------------------------------------- events

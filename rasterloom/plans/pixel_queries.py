@@ -93,7 +93,7 @@ CANDIDATE = "least(255, v + i % (label + 1))"
 @query(
     f"""WITH {Q8}, {EACH}, p AS (SELECT vec_id, CAST(v AS DOUBLE) AS a, CAST({CANDIDATE} AS DOUBLE) AS b FROM e),
  s AS (SELECT vec_id, avg((a - b) * (a - b)) AS mse, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS cab FROM p GROUP BY vec_id)
- SELECT vec_id, round(mse, 6) AS mse, CASE WHEN mse > 0 THEN round(10 * log10(65025.0 / mse), 6) END AS psnr,
+ SELECT vec_id, round(mse, 6) AS mse, CASE WHEN mse > 0 THEN round(10 * log10(65025.0 / mse), 6) WHEN mse = 0 THEN CAST('Infinity' AS DOUBLE) END AS psnr,
         round((2 * ma * mb + 6.5025) * (2 * cab + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225)), 6) AS ssim FROM s"""
 )
 def roi_quality(spark, sf_dir):

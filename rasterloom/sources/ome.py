@@ -10,6 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import UNSAFE
 from .sinks import write_tiff
 from .storage import FormatError, split_uri
 
@@ -47,15 +48,21 @@ def ome_xml(name: str, *, width: int, height: int, channels: Iterable[dict], z:
 
 
 def safe_name(value: str) -> str:
-    return re.sub(r"\s+", "_", re.sub(r'[<>:"/\\|?*\x00-\x1f]', "_", value)).strip("._")
+    return re.sub(r"\s+", "_", re.sub(UNSAFE, "_", value)).strip("._")
 
 
-def reserve(folder: str, stem: str, names: list[str]) -> tuple[str, list[str]]:
+def channel_name(number: int, channel: dict) -> str:
+    """Cnn_name, counted from 1; Cnn for a channel without a name of its own."""
+    known = "" if channel.get("identity_source") == "unknown" else safe_name(str(channel.get("fluor") or channel.get("name") or ""))
+    return f"C{number:02d}" + (f"_{known}" if known else "")
+
+
+def reserve(folder: str, stem: str, channels: list[dict]) -> tuple[str, list[str]]:
     """Names of a set that are all free: the description's, and one for each channel. The set as a whole gets a suffix if any is taken."""
     n = 0
     while True:
         base = stem if not n else f"{stem}_{n}"
-        parts = [f"{base}_C{i:02d}" + (f"_{safe_name(x)}" if safe_name(x) else "") + ".tif" for i, x in enumerate(names)]
+        parts = [f"{base}_{channel_name(i, x)}.svs" for i, x in enumerate(channels, 1)]
         every = [f"{base}.afi", *parts]
         if not any(os.path.exists(os.path.join(folder, x)) for e in every for x in (e, e + ".part")):
             return every[0], parts
@@ -71,13 +78,14 @@ def write_channel_set(tiles: DataFrame, path: str, channels: list[dict]) -> list
     if system is not None:
         raise FormatError("remote_sink", "write", "file sets are written to mounted folders")
     folder, stem = os.path.dirname(local) or ".", os.path.basename(local).removesuffix(".afi")
-    shape = F.sort_array(F.collect_list(F.struct("level", "y", "x", "w", "h")))
-    shapes = tiles.groupBy("channel").agg(F.hash(shape).alias("shape"), F.count(F.lit(1)).alias("n"))
-    facts = shapes.agg(F.count_distinct("shape", "n").alias("kinds"), F.count(F.lit(1)).alias("channels")).first()
+    # two independent sums of hashes tell apart sets of places, without bringing a channel's tiles together
+    place = [F.sum(F.xxhash64("level", "y", "x", "w", "h", F.lit(s)).cast("decimal(38,0)")).alias(f"shape{s}") for s in (1, 2)]
+    shapes = tiles.groupBy("channel").agg(*place, F.count(F.lit(1)).alias("n"))
+    facts = shapes.agg(F.count_distinct("shape1", "shape2", "n").alias("kinds"), F.count(F.lit(1)).alias("channels")).first()
     if facts["kinds"] != 1 or facts["channels"] != len(channels):
         raise FormatError("afi_channels_disagree", "geometry")
     os.makedirs(folder, exist_ok=True)
-    xml_name, names = reserve(folder, stem, [c["name"] for c in channels])
+    xml_name, names = reserve(folder, stem, channels)
     staging = os.path.join(folder, f".{xml_name}.staging")
     placed: list[str] = []
     try:

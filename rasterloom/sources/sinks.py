@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,8 +116,12 @@ class TiffWriter(DataSourceArrowWriter):
         self.description = options.get("description", "")
 
     def write(self, iterator) -> Done:
+        from pyspark import TaskContext
+
         os.makedirs(self.folder, exist_ok=True)
-        files, current, out = [], None, None
+        # a retried or speculative task has files of its own; only those of the attempt that counts are renamed
+        attempt = TaskContext.get().taskAttemptId()
+        files, current, out = [], object(), None
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
@@ -124,7 +129,7 @@ class TiffWriter(DataSourceArrowWriter):
                         if out:
                             out.close()
                         current = row["slide_id"]
-                        name = os.path.join(self.folder, re.sub(r"[^\w.-]", "_", str(current)) + ".tif.part")
+                        name = os.path.join(self.folder, f"{file_stem(current)}.tif.{attempt}.part")
                         files.append(name)
                         out = TiffFile(name, self.bands, self.description)
                     out.add(row)
@@ -140,7 +145,7 @@ class TiffWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Done | None]) -> None:
         for m in messages:
             for f in m.files if m else []:
-                os.replace(f, f.removesuffix(".part"))
+                os.replace(f, f.rsplit(".", 2)[0])
 
     def abort(self, messages: list[Done | None]) -> None:
         for m in messages:
@@ -149,6 +154,15 @@ class TiffWriter(DataSourceArrowWriter):
                     os.unlink(f)
 
 
+def file_stem(slide_id) -> str:
+    """A file name for a slide; one that had to be changed gets a checksum, so that two ids don't share a file."""
+    if slide_id is None:
+        raise FormatError("slide_without_id", "write")
+    name = str(slide_id)
+    safe = re.sub(r"[^\w.-]", "_", name)
+    return safe if safe == name else f"{safe}-{zlib.crc32(name.encode()):08x}"
+
+
 class TiffFile:
     """Tiles go to the file as they come; directories follow at the end. BigTIFF throughout, so no size has to be guessed."""
 
@@ -158,8 +172,6 @@ class TiffFile:
         self.levels: dict[int, dict] = {}
 
     def add(self, row: dict) -> None:
-        import zlib
-
         import numpy as np
 
         size = row["tile"]
@@ -172,8 +184,6 @@ class TiffFile:
         self.out.write(blob)
 
     def close(self) -> None:
-        import zlib
-
         link = 8
         for number in sorted(self.levels):
             v = self.levels[number]

@@ -12,7 +12,7 @@ import struct
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-from ..functions.text import LENGTH_UNITS, TIME_UNITS
+from ..functions.text import LENGTH_UNITS, MAGNIFICATION_KEYS, PIXEL_SIZE_KEYS, TIME_UNITS, numbered_property
 from .storage import Bytes, FormatError, open_bytes
 
 SUFFIXES = (".tif", ".tiff", ".svs")
@@ -167,6 +167,7 @@ class Tiff:
         self.samples, self.bits = main.one(SAMPLES, 1), main.one(BITS, 8)
         self.channels: list[tuple] = []
         self.n_c, self.n_z, self.n_t, self.modality, self.vendor = 1, 1, 1, "unknown", "generic"
+        self.axis_mpp: list[float] = []
         text = main.description
         if text.lstrip().startswith("<") and "OME" in text[:4000]:
             self.vendor = "ome"
@@ -189,6 +190,7 @@ class Tiff:
         if pixels is None:
             return
         self.n_c, self.n_z, self.n_t = (int(pixels.get(f"Size{a}", 1)) for a in "CZT")
+        self.axis_mpp = [unit_value(pixels.get(f"PhysicalSize{a}") or "0", pixels.get(f"PhysicalSize{a}Unit", "µm"), LENGTH_UNITS) for a in "XY"]
         named = [e for e in pixels if plain(e) == "Channel"]
         exposure: dict[int, float] = {}
         for e in pixels:
@@ -213,24 +215,23 @@ class Tiff:
             number = lambda k: float(property_of(text, k)) if property_of(text, k) else None
             self.modality = "fluorescence"
             known = "unknown" if re.fullmatch(r"C\d+", dye) else "source_metadata"
-            self.channels = [(0, dye, dye, color >> 16 & 255, color >> 8 & 255, color & 255, number("ExcitationWavelength"), number("EmissionWavelength"), number("Exposure Time"), known)]
+            self.channels = [(0, dye, dye, color >> 16 & 255, color >> 8 & 255, color & 255, number("Excitation Wavelength"), number("Emission Wavelength"), number("Exposure Time"), known)]
 
     @property
     def mpp(self) -> float:
-        """Micrometres per pixel: from the description, else from the resolution tags, else 0."""
-        said = property_of(self.pages[0].description, "MPP")
-        if said:
-            return float(said)
+        """Micrometres per pixel: of the axes that say so, else from the description, else from the resolution tags, else 0."""
+        axes = [v for v in self.axis_mpp if v > 0]
+        if axes:
+            return sum(axes) / len(axes)
+        if said := re.search(numbered_property(PIXEL_SIZE_KEYS), self.pages[0].description):
+            return float(said[1])
         res, unit = self.pages[0].one(XRES, 0.0), self.pages[0].one(RES_UNIT, 2)
         return {2: 25400.0, 3: 10000.0}.get(unit, 0.0) / res if res else 0.0
 
     @property
     def magnification(self) -> int:
-        for key in ("AppMag", "ObjectivePower", "Objective Power", "Magnification"):
-            said = property_of(self.pages[0].description, key)
-            if said and re.fullmatch(r"[0-9.]+", said):
-                return round(float(said))
-        return 0
+        said = re.search(numbered_property(MAGNIFICATION_KEYS), self.pages[0].description)
+        return round(float(said[1])) if said else 0
 
     def kind(self, i: int) -> str:
         """What a page is: main, level (tiled, full resolution family), or an associated image by name."""
@@ -252,8 +253,13 @@ def unit_value(value: str, unit: str, factors: dict[str, float]) -> float:
 
 
 def property_of(text: str, key: str) -> str:
-    m = re.search(rf"(?:^|[|\n])\s*{key}\s*=\s*([^|\r\n]+)", text, re.I)
-    return m[1].strip() if m else ""
+    """Value of a named part; parts lie between bars and line ends, and the first equals sign ends a name."""
+    for line in text.splitlines():
+        for part in line.split("|"):
+            name, found, value = part.partition("=")
+            if found and name.strip().lower() == key.lower() and value.strip():
+                return value.strip()
+    return ""
 
 
 def rows_of(path: str, table: str, *, with_payload: bool = True, page: int | None = None) -> Iterator[tuple]:

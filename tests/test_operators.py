@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions.pixels import display_lut, over_white, pack_rgba, padded, transposed, unpack_rgba
-from rasterloom.functions.text import LENGTH_UNITS, TIME_UNITS, channel_suffix, converted, file_format, little_endian, objective_power, output_path, payload_codec, safe_component
+from rasterloom.functions.text import LENGTH_UNITS, TIME_UNITS, aperio_description, channel_suffix, converted, file_format, little_endian, number_or_null, objective_power, output_path, payload_codec, pixel_size, safe_component
 from rasterloom.functions.geometry import bytes_estimate
 from rasterloom.operators.joins import nearest_of, overlap_join
 from rasterloom.operators.levels import fixed_levels, halving_levels, level_extents, preview_choice
@@ -108,9 +109,38 @@ def test_units(spark):
     assert [round(x, 9) for x in got] == [0.25, 0.25, 405.0, 461.0, 0.012, 2.0]
 
 
+def test_names_and_descriptions(spark):
+    safe = ["a<>b", " DAPI / Hoechst ", "..", "x\t\ty"]
+    got = one(spark, *(safe_component(F.lit(x)) for x in safe), channel_suffix(F.lit(0), F.lit("DAPI")), channel_suffix(F.lit(1), F.lit("FITC"), F.lit("unknown")))
+    assert tuple(got) == ("a_b", "DAPI___Hoechst", "", "x_y", "C01_DAPI", "C02")
+    texts = ["openslide.objective-power = 20", "Objective = 40", "AppMag: 40", "x|magnification=2.5", "AppMag = 39.6|MPP = 0.25 um", "  MPP=0.5", "XMPP = 0.5", ""]
+    got = [one(spark, objective_power(F.lit(x)), pixel_size(F.lit(x))) for x in texts]
+    assert [tuple(r) for r in got] == [(20, 0.0), (0, 0.0), (0, 0.0), (2, 0.0), (40, 0.25), (0, 0.5), (0, 0.0), (0, 0.0)]
+    sizes = [(0.2, 0.4), (0.2, 0.0), (0.0, 0.4), (0.0, 0.0)]
+    assert [round(one(spark, pixel_size(F.lit("MPP = 1"), F.lit(x), F.lit(y)))[0], 9) for x, y in sizes] == [0.3, 0.2, 0.4, 1.0]
+    assert tuple(one(spark, *(number_or_null(F.lit(x)) for x in ("", "0", "0.0", "1.5", None)))) == (None, None, None, 1.5, None)
+    named = (F.lit(40), F.lit("a b"), F.lit(0.25), F.lit("sRGB"))
+    main = one(spark, aperio_description("Lib", F.lit(10), F.lit(20), F.lit(240), F.lit("JPEG/RGB Q=90"), *named))[0]
+    assert main == "Lib \r\n10x20 [0,0 10x20] (240x240) JPEG/RGB Q=90|AppMag = 40|Filename = a b|MPP = 0.250000|DisplayColor = 0|OriginalWidth = 10|OriginalHeight = 20|ICC Profile = sRGB"
+
+
+def test_display_curve_refuses_nonsense(spark):
+    for bad in ({"black": 5, "white": 5}, {"gamma": 0}):
+        with pytest.raises(ValueError):
+            display_lut(F.array(F.lit(1)), **bad)
+    got = one(spark, display_lut(F.array(F.lit(0), F.lit(255)), contrast=-2.0), display_lut(F.array(F.lit(0.0), F.lit(0.25)), white=0.5))
+    assert got[0] == [128, 128] and got[1] == [0, 128]
+
+
+def test_levels_of_a_slide_stay_apart(spark):
+    tiles = encode_tiles(spark.createDataFrame([(1, level, 0, 0, 2, 2, [10 * level] * 4) for level in (1, 2)], "slide_id long, level long, x long, y long, w long, h long, px array<long>"), "px")
+    got = rows(reduce_level(tiles, tile=2).select("level", "payload"), "level")
+    assert [(level, decoded(p, 1, 1).ravel().tolist()) for level, p in got] == [(2, [10]), (3, [20])]
+
+
 def test_text_functions(spark):
     got = one(spark, safe_component(F.lit(" ._a<b>  c?._")), channel_suffix(F.lit(3), F.lit("..")), channel_suffix(F.lit(3), F.lit("DA PI")), output_path(F.lit("o"), F.lit("d/s.ome.tif"), F.lit(".svs")), output_path(F.lit("o"), F.lit("d/.tif"), F.lit(".svs")), file_format(F.lit("A.KFBX")), objective_power(F.lit("x|AppMag = 20.5|")), objective_power(F.lit("none")))
-    assert tuple(got) == ("a_b__c", "C03", "C03_DA_PI", "o/d/s.ome.svs", "o/d/.tif.svs", "kfb", 20, None)
+    assert tuple(got) == ("a_b__c", "C04", "C04_DA_PI", "o/d/s.ome.svs", "o/d/.tif.svs", "kfb", 20, 0)
     raw = F.lit(bytearray(b"\xff\xd8\x01\x02\x03\x04"))
     assert tuple(one(spark, little_endian(raw, 2, 4), payload_codec(raw), payload_codec(F.lit(bytearray(b"\xff\x0a"))), payload_codec(F.lit(bytearray(b"ab"))))) == (0x04030201, "JPEG", "JXL", None)
 
@@ -126,7 +156,7 @@ def test_pixel_functions(spark):
 
 def test_quality_of_equal_images(spark):
     df = spark.createDataFrame([(0, i, i) for i in range(64)], "k int, a int, b int")
-    assert tuple(roi_quality(df, "k", "a", "b").first()) == (0, 0.0, None, 1.0)
+    assert tuple(roi_quality(df, "k", "a", "b").first()) == (0, 0.0, float("inf"), 1.0)
     empty = spark.createDataFrame([(0, 128, 128)], "k int, a int, b int")
     assert tuple(geometry_overlap(empty, "k", "a", "b", background=128).first()) == (0, 1.0, 0.0, True)
 

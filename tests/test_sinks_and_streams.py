@@ -90,7 +90,7 @@ def test_channel_set(spark, tmp_path):
     both = tiles(spark).withColumn("channel", F.col("slide_id") - 1)
     channels = [{"name": "DA PI", "color": (0, 0, 255), "exposure_s": 1.5}, {"name": "?", "color": (0, 255, 0)}]
     files = write_channel_set(both, str(tmp_path / "set.afi"), channels)
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["set.afi", "set_C00_DA_PI.tif", "set_C01.tif"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["set.afi", "set_C01_DA_PI.svs", "set_C02.svs"]
     assert next(afi.rows_of(files[0], "header"))[1:] == (40, 24, 2, 8, "deflate", 1)
     again = write_channel_set(both, str(tmp_path / "set.afi"), channels)
     assert again[0].endswith("set_1.afi")
