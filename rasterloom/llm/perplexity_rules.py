@@ -1,26 +1,28 @@
 """Quality rules: perplexity under a modified Kneser-Ney model of character n-grams.
 
 Word, symbol, line and repetition counts give the base rule. The verdict proper comes from a
-character model for each language: Spark counts n-grams of the whole corpus's reference texts
-(those which pass simple shape rules), the counts become interpolated modified Kneser-Ney
-probabilities in sorted hash arrays, and every text is scored under its language's model. A text is
-rejected if its log-perplexity lies outside its language's band, below (machine-like) or above
-(noise). Bands are the mean of the reference texts plus or minus a width that grows for short texts.
-
-Model size is bounded: symbols are 12-bit hashes of code points, at most ``max_ngrams`` n-grams of an
-order are kept by count (the rarest of each language go first; kept ones have the probabilities of
-the whole model, and back-off, with the weight set free, covers the others), and languages beyond
-the ``max_languages`` largest share one model.
+character model for each language: Spark counts n-grams of all reference texts (those which pass
+simple shape rules); discounts, continuation counts, totals and interpolated probabilities are
+relational, over every n-gram and every language, with no bound on either. N-grams that occur only
+in other texts are carried along with a count of zero, so that each n-gram of any text ends with its
+probability, back-off included. A text is rejected if its log-perplexity lies outside its language's
+band, below (machine-like) or above (noise). Bands are the middle of the reference texts plus or
+minus a width that grows for short texts; reference texts are judged by a model that has seen them.
+
+Probabilities come to the texts in sorted hash arrays. Up to ``BROADCAST_NGRAMS`` n-grams they are one
+broadcast array; beyond that the array lies in shards by ranges of the hash: texts are dealt into
+chunks of bounded size, each chunk asks every shard for its distinct n-grams once, and answers come
+back in the order asked. Both ways give the same scores.
 
 Cases: null or empty text: no words, base_failed; null lang: language ``und``; a language without
-reference texts: its texts take the pooled model of all languages; no reference text at all: no
-text is rejected by the bands; repeated rows: each is judged; a table without rows: no rows; extra
-columns: ignored.
+reference texts: its texts aren't rejected by a band (their log_ppl is that of equal chances); texts
+of any length: read in whole, by slices of several texts; ties: a text at a band's very edge is kept;
+repeated rows: each is judged; a table without rows: no rows; extra columns, whatever their names:
+ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -29,11 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, batches, code_points, extended, framed, has_text, mix64, prepare, stored, text_of, text_slices
+from .shared import ROW, Words, batches, code_points, extended, framed, has_text, mix64, plain, prepare, stored, text_of, text_slices
 
 ORDER = 5
-SYMBOL_BITS = 12
-POOLED = "*"
+CODE_BITS, CODE_MASK, CODE_POINTS = 21, (1 << 21) - 1, 0x110000
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BROADCAST_NGRAMS, SHARD_NGRAMS, CHUNK_BYTES = 4_000_000, 1_000_000, 16 << 20
 START = 1  # stands before a text; no text has it as a code point of its own but \x01
 
 
@@ -115,61 +118,66 @@ def is_reference(c: dict[str, np.ndarray]) -> np.ndarray:
 # ---------------------------------------------------------------- n-grams
 
 
-def symbol_ids(points: np.ndarray) -> np.ndarray:
-    """12-bit symbols: code points below 2048 stand for themselves, others are hashed above them."""
-    half = 1 << (SYMBOL_BITS - 1)
-    out = points.astype(np.int64)
-    high = np.flatnonzero(points >= half)
-    if len(high):
-        out[high] = half + (mix64(points[high]) >> np.uint64(64 - SYMBOL_BITS + 1)).astype(np.int64)
-    return out
+@lru_cache(maxsize=1)
+def symbol_numbers() -> np.ndarray:
+    """A mixed number for each code point."""
+    return mix64(np.arange(CODE_POINTS, dtype=np.uint64) + np.uint64(1))
+
 
+def numbers_of_grams(high: np.ndarray, low: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """Hash of each n-gram of a language from its packed code points (see ``text_grams``)."""
+    symbols, mask, bits = symbol_numbers(), np.int64(CODE_MASK), np.int64(CODE_BITS)
+    out = symbols[high >> bits] * BASE + symbols[high & mask]
+    for part in (low >> (2 * bits), (low >> bits) & mask, low & mask):
+        out = out * BASE + symbols[part]
+    return mix64(out + lang.astype(np.uint64))
 
-def ngram_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram of the highest order that ends at each character, and each character's text.
 
-    ORDER - 1 start symbols stand before a text; their own n-grams are left out."""
-    pad = chr(START) * (ORDER - 1)
-    points, at = code_points(framed(texts, pad))
-    ids = symbol_ids(points)
-    n = len(ids) - ORDER + 1
+def text_grams(texts: pa.Array, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each character of the texts: hash of the n-gram of the highest order that ends there, its
+    place in the returned code points, and its text. ORDER - 1 start symbols stand before a text."""
+    points, at = code_points(framed(texts, chr(START) * (ORDER - 1)))
+    n = len(points) - ORDER + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = ids[:n].copy()
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), points
+    symbols = symbol_numbers()[points]
+    key = symbols[:n].copy()
     for k in range(1, ORDER):
-        key = (key << SYMBOL_BITS) | ids[k : n + k]
+        key *= BASE
+        key += symbols[k : n + k]
     # n-grams that end in the start symbols of a text are left out
     real = np.ones(n, bool)
     for k in range(ORDER - 1):
         ends = at[:-1] + k - (ORDER - 1)
         real[ends[(ends >= 0) & (ends < n)]] = False
+    place = np.flatnonzero(real)
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(at) - (ORDER - 1))
-    return key[real], doc
+    return mix64(key[place] + lang.astype(np.uint64)[doc]), place, doc, points
 
 
-class HashArray:
-    """Sorted hashes with values beside them; an index over the upper bits bounds each search.
+def packed_points(points: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the n-grams at ``place``: the first two in one number, the last three in another."""
+    p = [points[place + i].astype(np.int64) for i in range(ORDER)]
+    return p[0] << CODE_BITS | p[1], p[2] << (2 * CODE_BITS) | p[3] << CODE_BITS | p[4]
 
-    The hash is a product with an odd number, so different keys have different hashes."""
 
-    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+class HashArray:
+    """Sorted hashes with values beside them; an index over the upper bits bounds each search."""
 
-    def __init__(self, keys: np.ndarray, *values: np.ndarray):
-        hashed = keys.astype(np.uint64) * self.FACTOR
-        order = np.argsort(hashed)
-        self.hashes, self.values = hashed[order], [v[order] for v in values]
-        self.bits = max(1, int(np.ceil(np.log2(max(2, len(keys))))) + 1)
+    def __init__(self, hashes: np.ndarray, *values: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.values = hashes[order], [v[order] for v in values]
+        self.bits = max(1, int(np.ceil(np.log2(max(2, len(hashes))))) + 1)
         top = (self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(top, minlength=1 << self.bits))]).astype(np.int32)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key, -1 where there is none."""
+    def find(self, hashed: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where there is none."""
         if not len(self.hashes):
-            return np.full(len(keys), -1, np.int32)
-        hashed = keys.astype(np.uint64) * self.FACTOR
+            return np.full(len(hashed), -1, np.int32)
         top = (hashed >> np.uint64(64 - self.bits)).astype(np.int64)
         at, end = self.first[top], self.first[top + 1]
-        # most keys stand first in their range
+        # most stand first in their range
         hit = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashed
         out = np.where(hit, at, np.int32(-1))
         live = np.flatnonzero(~hit & (at + 1 < end))
@@ -183,265 +191,256 @@ class HashArray:
         return out
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
-    return discounts_of(*(float((counts == k).sum()) for k in (1, 2, 3, 4)))
-
-
-def discounts_of(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
-    """The same from the numbers of n-grams that occur once, twice, three and four times."""
-    if not n1 or not n2:
-        return np.array([0.5, 0.75, 1.0])
-    y = n1 / (n1 + 2 * n2)
-    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / max(n3, 1)]
-    return np.clip(d, [0.05, 0.1, 0.15], [0.95, 1.9, 2.85])
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney probabilities (natural logarithms) from counts of ORDER-grams."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        grams, c = [keys], [counts.astype(np.int64)]
-        for n in range(ORDER - 1, 0, -1):  # lower orders count the distinct symbols that stand before
-            k, m = np.unique(grams[-1] & ((1 << (SYMBOL_BITS * n)) - 1), return_counts=True)
-            grams.append(k)
-            c.append(m)
-        grams, c = grams[::-1], c[::-1]
-        symbols = 1 << SYMBOL_BITS
-        self.tables, self.contexts = [], []
-        below: HashArray | None = None
-        for n, (k, m) in enumerate(zip(grams, c), 1):
-            d = discounts(m)
-            context, inverse = np.unique(k >> SYMBOL_BITS, return_inverse=True)
-            total = np.bincount(inverse, weights=m)
-            left = sum(d[i] * np.bincount(inverse, weights=(m == i + 1) if i < 2 else (m >= 3)) for i in range(3))
-            gamma = left / total
-            own = (m - d[np.minimum(m, 3) - 1]) / total[inverse]
-            if below is None:
-                p = own + gamma[inverse] / symbols
-            else:
-                # the shorter n-gram was counted from this one, so it is there
-                p = own + gamma[inverse] * np.exp(below.values[0][below.find(k & ((1 << (SYMBOL_BITS * (n - 1))) - 1))])
-            below = HashArray(k, np.log(p).astype(np.float32))
-            self.tables.append(below)
-            self.contexts.append(HashArray(context, np.log(gamma).astype(np.float32)))
-
-    @classmethod
-    def pruned(cls, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> "KneserNey":
-        """From a part of the n-grams of each order: keys, own share of the probability, and the back-off
-        weight of the context, all by counts of every n-gram. A kept n-gram's shorter one is kept, too, so
-        its probability is that of the whole model; what pruning sets free goes to the context's back-off."""
-        self = cls.__new__(cls)
-        self.tables, self.contexts = [], []
-        below: HashArray | None = None
-        for n, (k, own, gamma) in enumerate(levels, 1):
-            lower = np.full(len(k), 1 / (1 << SYMBOL_BITS))
-            if below is not None:
-                lower = np.exp(below.values[0][below.find(k & ((1 << (SYMBOL_BITS * (n - 1))) - 1))].astype(np.float64))
-            context, first, inverse = np.unique(k >> SYMBOL_BITS, return_index=True, return_inverse=True)
-            free = 1 - gamma[first] - np.bincount(inverse, weights=own, minlength=len(context))
-            rest = np.maximum(1 - np.bincount(inverse, weights=lower, minlength=len(context)), 1e-6)
-            weight = gamma[first] + np.where(free > 1e-9, free / rest, 0)
-            below = HashArray(k, np.log(own + gamma * lower).astype(np.float32))
-            self.tables.append(below)
-            self.contexts.append(HashArray(context, np.log(weight).astype(np.float32)))
-        return self
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """log p of the last symbol of each ORDER-gram given those before."""
-        out = np.zeros(len(keys), np.float32)
-        live, part = np.arange(len(keys)), keys
-        for n in range(ORDER, 0, -1):
-            at = self.tables[n - 1].find(part)
-            hit = at >= 0
-            out[live[hit]] += self.tables[n - 1].values[0][at[hit]]
-            live, part = live[~hit], part[~hit]
-            if not len(live):
-                return out
-            at = self.contexts[n - 1].find(part >> SYMBOL_BITS)
-            known = at >= 0
-            out[live[known]] += self.contexts[n - 1].values[0][at[known]]
-            part = part & ((1 << (SYMBOL_BITS * (n - 1))) - 1)
-        out[live] -= np.float32(np.log(1 << SYMBOL_BITS))
-        return out
-
-
-@dataclass
-class PerplexityRules:
-    names: dict[str, str]  # language -> name of its model
-    models: dict[str, KneserNey]
+# ---------------------------------------------------------------- the model, in Spark
 
 
 def language() -> F.Column:
     return F.coalesce(F.col("lang"), F.lit("und"))
 
 
-def least_counts(sizes: dict[int, dict[int, int]], room: int) -> dict[int, int]:
-    """For each language the least count class whose n-grams, with all greater ones, fit its room.
-    Languages share the room evenly, and what a small one leaves goes to the larger ones."""
-    out, left = {}, len(sizes)
-    for k in sorted(sizes, key=lambda k: (sum(sizes[k].values()), k)):
-        mine, taken, least = room // left, 0, max(sizes[k]) + 1
-        for c in sorted(sizes[k], reverse=True):
-            if taken + sizes[k][c] > mine:
-                break
-            taken, least = taken + sizes[k][c], c
-        out[k], room, left = least, room - taken, left - 1
-    return out
-
-
-def prune(grams: DataFrame, max_ngrams: int) -> dict[int, KneserNey]:
-    """Models of at most max_ngrams n-grams by count of each order, and those a longer one needs.
-    Continuation counts, discounts and totals are of all n-grams, before any goes."""
-    spark = grams.sparkSession
-    levels: dict[int, list] = {}
-    level, need = grams, None
-    for n in range(ORDER, 0, -1):
-        if n < ORDER:
-            mask = F.lit((1 << (SYMBOL_BITS * n)) - 1)
-            level = stored(level.groupBy("k", F.col("g").bitwiseAND(mask).alias("g")).agg(F.count(F.lit(1)).alias("c")), "ngrams")
-            need = need.select("k", F.col("g").bitwiseAND(mask).alias("g")).distinct().withColumn("needed", F.lit(True))
-        # counts below 1024 are classes of their own, greater ones share classes of 0.3 %
-        size = F.when(F.col("c") < 1024, F.col("c")).otherwise(F.lit(1024) + F.floor(F.log2(F.col("c") / 1024) * 256))
-        sizes: dict[int, dict[int, int]] = {}
-        for r in level.groupBy("k", size.alias("s")).count().collect():  # a few thousand classes for each language
-            sizes.setdefault(r["k"], {})[r["s"]] = r["count"]
-        least = least_counts(sizes, max_ngrams)
-        told = [(k, least[k], *map(float, discounts_of(*(float(of.get(i, 0)) for i in (1, 2, 3, 4))))) for k, of in sizes.items()]
-        told = F.broadcast(spark.createDataFrame(told, "k int, least long, d1 double, d2 double, d3 double"))  # a row for each model
-        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        each = level.join(told, "k").withColumns({"h": F.shiftright("g", SYMBOL_BITS), "d": cut})
-        context = each.groupBy("k", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-        chosen = F.col("least") <= size
-        if need is not None:
-            each, chosen = each.join(need, ["k", "g"], "left"), chosen | F.col("needed")
-        made = each.where(chosen).join(context, ["k", "h"]).select("k", "g", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("gamma"))
-        need = stored(made, "kept")
-        table = need.toArrow()  # bounded by max_ngrams, whatever the corpus
-        k, g, own, gamma = (table[x].to_numpy() for x in ("k", "g", "own", "gamma"))
-        for x in sizes:
-            levels.setdefault(x, []).insert(0, (g[k == x], own[k == x], gamma[k == x]))
-    return {x: KneserNey.pruned(y) for x, y in levels.items()}
-
-
-def fit_rules(docs: DataFrame, *, max_ngrams: int = 3_000_000, max_languages: int = 64) -> PerplexityRules:
-    """Count n-grams of all reference texts of docs (text, lang) by language."""
-    spark = prepare(docs.sparkSession)
-    source = docs.select("text", language().alias("lang"))
-    big = [r["lang"] for r in source.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    index = {x: i for i, x in enumerate(big)}
+def count_grams(docs: DataFrame) -> DataFrame:
+    """k (hash of the language), hi, lo (code points), c: how often each n-gram of any text occurs in
+    reference texts, zero for those which occur in other texts only. Tasks sum before they emit."""
 
     def count(parts):
-        held: dict[int, list] = {}
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def merged(k):
-            keys = np.concatenate([x for x, _ in held[k]])
-            n = np.concatenate([x for _, x in held[k]])
-            u, inverse = np.unique(keys, return_inverse=True)
-            return u, np.bincount(inverse, weights=n).astype(np.int64)
+        def merged() -> tuple[np.ndarray, ...]:
+            key, k, hi, lo, c = (np.concatenate(x) for x in zip(*held))
+            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            return key[first], k[first], hi[first], lo[first], np.bincount(inverse, weights=c).astype(np.int64)
 
         def rows():
-            for k in list(held):
-                u, n = merged(k)
-                for a in range(0, len(u), 1 << 17):
-                    yield batches(("k", np.full(len(u[a : a + (1 << 17)]), k, np.int32)), ("g", u[a : a + (1 << 17)]), ("c", n[a : a + (1 << 17)]))
+            _, k, hi, lo, c = merged()
+            for a in range(0, len(k), 1 << 17):
+                own = slice(a, a + (1 << 17))
+                yield batches(("k", k[own]), ("hi", hi[own]), ("lo", lo[own]), ("c", c[own]))
             held.clear()
 
         size = 0
         for batch in parts:
-            text, lang = batch.column(0), batch.column(1)
+            text, lang = batch.column(0), batch.column(1).to_numpy()
             for a, b in text_slices(text, 1 << 21):
-                part = text.slice(a, b - a)
+                part, own = text.slice(a, b - a), lang[a:b]
                 good = is_reference(text_counts(part))
-                key, doc = ngram_keys(part.filter(pa.array(good)))
-                label = np.array([index.get(x, -1) for x in lang.slice(a, b - a).to_pylist()], np.int64)[good][doc]
-                for k in np.unique(label):
-                    u, n = np.unique(key[label == k], return_counts=True)
-                    held.setdefault(int(k), []).append((u, n))
-                    size += len(u)
-                if size > 3_000_000:
-                    for k in list(held):
-                        held[k] = [merged(k)]
-                    size = sum(len(x[0][0]) for x in held.values())
-                    if size > 2_000_000:
+                key, place, doc, points = text_grams(part, own)
+                if not len(key):
+                    continue
+                unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+                c = np.bincount(inverse, weights=good[doc], minlength=len(unique)).astype(np.int64)
+                held.append((unique, own[doc[first]], *packed_points(points, place[first]), c))
+                size += len(unique)
+                if size > 2_000_000:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > 1_200_000:
                         yield from rows()
                         size = 0
-        yield from rows()
-
-    grams = source.mapInArrow(count, "k int, g long, c long").groupBy("k", "g").agg(F.sum("c").alias("c"))
-    grams = stored(grams, "ngrams")
-    if grams.count() > max_ngrams:
-        found = {r["k"] for r in grams.select("k").distinct().collect()}
-        if -1 not in found and len(found) < len(big):
-            grams = grams.union(grams.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit(-1).alias("k"), "g", "c"))
-        models = {big[x] if x >= 0 else POOLED: m for x, m in prune(grams, max_ngrams).items()}
-        return PerplexityRules({x: x for x in models}, models)
-    table = grams.toArrow()  # at most max_ngrams rows, whatever the corpus
-    k, g, c = (table[x].to_numpy() for x in ("k", "g", "c"))
-    models, names = {}, {}
-    for x in np.unique(k):
-        name = big[x] if x >= 0 else POOLED
-        models[name] = KneserNey(g[k == x], c[k == x])
-        names[name] = name
-    if models and POOLED not in models and len(models) < len(big):
-        u, inverse = np.unique(g, return_inverse=True)
-        models[POOLED] = KneserNey(u, np.bincount(inverse, weights=c).astype(np.int64))
-    return PerplexityRules(names, models)
-
-
-def score_documents(docs: DataFrame, rules: PerplexityRules, keep: list[str]) -> DataFrame:
-    """Columns keep of docs with the counts and the log-perplexity of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(rules)
-    def score(parts):
-        r = shared.value
-        for batch in parts:
-            text, lang = text_of(batch, keep, len(keep) + 1), batch.column(len(keep))
-            for a, b in text_slices(text, 1 << 21):
-                part = text.slice(a, b - a)
-                c = text_counts(part)
-                names = [r.names.get(x, POOLED) for x in lang.slice(a, b - a).to_pylist()]
-                key, doc = ngram_keys(part)
-                n = np.bincount(doc, minlength=b - a)
-                total = np.zeros(b - a)
-                for name in set(names):
-                    if name in r.models:
-                        mine = np.array([x == name for x in names])[doc]
-                        total += np.bincount(doc[mine], weights=r.models[name].score(key[mine]), minlength=b - a)
-                own = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
-                made = [c[x] for x in COUNTS] + [base_failed(c), is_reference(c), n.astype(np.int64), -total / np.maximum(n, 1)]
-                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, made), pa.array(names, pa.string())], names=[*keep, *COUNTS, *VERDICT])
+        if held:
+            yield from rows()
+
+    found = docs.select("text", F.xxhash64(language()).alias("k")).mapInArrow(count, "k long, hi long, lo long, c long")
+    return found.groupBy("k", "hi", "lo").agg(F.sum("c").alias("c"))
 
+
+def discount(n1, n2, n3, n4) -> list[F.Column]:
+    """Modified Kneser-Ney discounts for counts of one, two, and three or more, from the numbers of
+    n-grams that occur once, twice, three and four times; fixed ones where there are none."""
+    y = n1 / (n1 + 2 * n2)
+    bounded = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
+    made = [bounded(1 - 2 * y * n2 / n1, 0.05, 0.95), bounded(2 - 3 * y * n3 / n2, 0.1, 1.9), bounded(3 - 4 * y * n4 / F.greatest(n3, F.lit(1)), 0.15, 2.85)]
+    return [F.when((n1 > 0) & (n2 > 0), d).otherwise(F.lit(x)) for d, x in zip(made, (0.5, 0.75, 1.0))]
+
+
+def gram_log_probabilities(docs: DataFrame) -> DataFrame:
+    """k, hi, lo, logp (natural) of each n-gram of the highest order that occurs in any text."""
+    levels = {ORDER: stored(count_grams(docs), "ngrams")}
+    mask = lambda n: F.col("lo").bitwiseAND(F.lit((1 << (CODE_BITS * n)) - 1))
+    #: an n-gram without its first symbol, and without its last
+    shorter = lambda n: [F.col("k"), F.col("hi").bitwiseAND(F.lit(CODE_MASK)).alias("hi") if n == 4 else F.lit(0).cast("long").alias("hi"), mask(min(n, 3)).alias("lo")]
+    for n in range(ORDER - 1, 0, -1):  # lower orders count the distinct symbols that stand before
+        level = levels[n + 1].select(*shorter(n), "c").groupBy("k", "hi", "lo").agg(F.count_if(F.col("c") > 0).alias("c"))
+        levels[n] = stored(level, "ngrams") if n == ORDER - 1 else level
+    below = None
+    for n in range(1, ORDER + 1):
+        level = levels[n]
+        ones = [F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
+        # a row for each language, read from a file whose size decides whether it is broadcast
+        told = stored(level.groupBy("k").agg(*ones).select("k", *(d.alias(f"d{i}") for i, d in enumerate(discount(*(F.col(f"n{i}") for i in (1, 2, 3, 4))), 1))), "discounts")
+        each = level.withColumn("h", F.shiftright("lo", CODE_BITS)).join(told, "k")
+        # sums of whole numbers, so that no order of rows changes a bit
+        by = [F.count_if(F.col("c") == 1).alias("m1"), F.count_if(F.col("c") == 2).alias("m2"), F.count_if(F.col("c") > 2).alias("m3")]
+        context = level.withColumn("h", F.shiftright("lo", CODE_BITS)).groupBy("k", "hi", "h").agg(F.sum("c").alias("total"), *by)
+        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        own = F.when(F.col("c") > 0, (F.col("c") - cut) / F.col("total")).otherwise(0.0)
+        left = F.col("m1") * F.col("d1") + F.col("m2") * F.col("d2") + F.col("m3") * F.col("d3")
+        gamma = F.when(F.col("total") > 0, left / F.col("total")).otherwise(1.0)
+        made = each.join(context, ["k", "hi", "h"]).select("k", "hi", "lo", own.alias("own"), gamma.alias("gamma"))
+        if below is None:
+            p = F.col("own") + F.col("gamma") / F.lit(float(CODE_POINTS))
+        else:
+            key = [x.alias(f"b_{c}") for x, c in zip(shorter(n - 1), ("k", "hi", "lo"))]
+            made = made.select("*", *key[1:]).join(below, ["k", "b_hi", "b_lo"])
+            p = F.col("own") + F.col("gamma") * F.col("b_p")
+        made = made.select("k", "hi", "lo", p.alias("p"))
+        below = made.select("k", F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), F.col("p").alias("b_p"))
+    return stored(made.select("k", "hi", "lo", F.log("p").cast("float").alias("logp")), "logps")
+
+
+# ---------------------------------------------------------------- scores
+
+
+def judged_slice(text: pa.Array, lang: np.ndarray, log_p) -> list[np.ndarray]:
+    """Columns COUNTS and VERDICT of a slice; log_p tells the log-probability of hashed n-grams."""
+    c = text_counts(text)
+    key, _, doc, _ = text_grams(text, lang)
+    n = np.bincount(doc, minlength=len(text))
+    total = np.bincount(doc, weights=log_p(key), minlength=len(text)) if len(key) else np.zeros(len(text))
+    return [c[x] for x in COUNTS] + [base_failed(c), is_reference(c), n.astype(np.int64), -total / np.maximum(n, 1)]
+
+
+def looked_up(table: HashArray):
+    def log_p(key: np.ndarray) -> np.ndarray:
+        at = table.find(key)
+        if len(at) and at.min() < 0:
+            raise ValueError("an n-gram of a text wasn't counted")
+        return table.values[0][at]
+
+    return log_p
+
+
+def score_documents(docs: DataFrame, keep: list[str], *, broadcast_ngrams: int = BROADCAST_NGRAMS, chunk_bytes: int = CHUNK_BYTES, shard_ngrams: int = SHARD_NGRAMS) -> DataFrame:
+    """Columns keep of docs with the counts and the log-perplexity of each text under the model of all of docs."""
+    prepare(docs.sparkSession)
+    grams = gram_log_probabilities(docs)
     kinds = extended(docs, keep, ", ".join([*(f"{x} long" for x in COUNTS), "base_failed boolean, reference boolean, n_scored long, log_ppl double, model string"]))
     more = [] if has_text(keep) else [F.col("text").alias("__text")]
-    return docs.select(*keep, language().alias("__lang"), *more).mapInArrow(score, kinds)
-
-
-def fit_bands(scored: DataFrame) -> dict[str, tuple[float, float, float]]:
-    """For each model the middle and the spread of the reference texts' log-perplexity, and how far
-    one character strays, from all reference texts."""
-    x, n = F.col("log_ppl"), F.col("n_scored")
-    sums = scored.where("reference and n_scored > 0").groupBy("model").agg(
-        F.percentile_approx(x, 0.5, 10000).alias("mid"),
-        F.percentile_approx(F.when(n >= 1000, x), [0.16, 0.84], 10000).alias("long"),
-        F.percentile_approx(F.when(n < 400, x), [0.16, 0.84], 10000).alias("short"),
-        F.avg(F.when(n < 400, 1 / n)).alias("inverse"),
+    wide = docs.select(*keep, language().alias("__lang"), F.xxhash64(language()).alias("__k"), *more)
+    n = grams.count()
+    if n <= broadcast_ngrams:
+        return whole_scores(wide, grams, keep, kinds)
+    return sharded_scores(wide, grams, keep, kinds, max(1, -(-n // shard_ngrams)), chunk_bytes)
+
+
+def whole_scores(wide: DataFrame, grams: DataFrame, keep: list[str], kinds) -> DataFrame:
+    """With one array for all n-grams, whose number the caller checked."""
+    t = grams.toArrow()
+    k, hi, lo, logp = (t[x].to_numpy() for x in ("k", "hi", "lo", "logp"))
+    table = HashArray(numbers_of_grams(hi, lo, k), logp)
+    shared = wide.sparkSession.sparkContext.broadcast(table)
+
+    def score(parts):
+        log_p = looked_up(shared.value)
+        for batch in parts:
+            text, lang = text_of(batch, keep, len(keep) + 2), batch.column(len(keep) + 1).to_numpy()
+            for a, b in text_slices(text, 1 << 21):
+                made = judged_slice(text.slice(a, b - a), lang[a:b], log_p)
+                own = [batch.column(i).slice(a, b - a) for i in range(len(keep) + 1)]
+                yield pa.RecordBatch.from_arrays([*own[:-1], *map(pa.array, made), own[-1].cast(pa.string())], names=[*keep, *COUNTS, *VERDICT])
+
+    return wide.mapInArrow(score, kinds)
+
+
+def sharded_scores(wide: DataFrame, grams: DataFrame, keep: list[str], kinds, shards: int, chunk_bytes: int) -> DataFrame:
+    """With arrays in shards by ranges of the hash, of which each chunk of texts asks what it needs."""
+    text_column = F.col(f"{ROW}.text") if ROW in keep else F.col("text" if "text" in keep else "__text")
+    size = wide.agg(F.sum(F.octet_length(text_column) + 64).alias("b")).first()["b"] or 0
+    chunks = max(1, -(-size // chunk_bytes))
+    parts = max(1, -(-chunks // 64))  # the asks of at most about 64 chunks meet a shard in one task
+    width = len(wide.columns)
+    cuts = np.array([(i << 64) // shards for i in range(1, shards)], dtype=np.uint64)
+    names = wide.columns
+    keyed = wide.withColumn("__chunk", F.pmod(F.xxhash64(text_column, *(F.col(c) for c in keep if c != ROW), F.col("__k"), *([F.col(f"{ROW}.doc_id")] if ROW in keep else [])), F.lit(chunks)))
+    keyed = keyed.repartition(min(chunks, 1 << 14), "__chunk")
+
+    def deal(batch_list):
+        for batch in batch_list:
+            k, hi, lo = (batch.column(i).to_numpy() for i in range(3))
+            key = numbers_of_grams(hi, lo, k)
+            shard = np.searchsorted(cuts, key, side="right")
+            yield batches(("shard", shard.astype(np.int64)), ("key", key.view(np.int64)), ("logp", batch.column(3)))
+
+    def pack(t: pa.Table) -> pa.Table:
+        key, logp = t["key"].to_numpy().view(np.uint64), t["logp"].to_numpy()
+        order = np.argsort(key)
+        return pa.table({"shard": t["shard"].slice(0, 1), "keys": pa.array([key[order].astype("<u8").tobytes()], pa.binary()), "logps": pa.array([logp[order].astype("<f4").tobytes()], pa.binary())})
+
+    arrays = grams.select("k", "hi", "lo", "logp").mapInArrow(deal, "shard long, key long, logp float").groupBy("shard").applyInArrow(pack, "shard long, keys binary, logps binary")
+    arrays = stored(arrays, "shards").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def texts_of(t: pa.Table) -> tuple[pa.Array, np.ndarray]:
+        columns = [plain(t[c].combine_chunks()) for c in names]
+        batch = pa.RecordBatch.from_arrays(columns, names=names)
+        return text_of(batch, keep, width - 1), t["__k"].to_numpy()
+
+    def distinct(text: pa.Array, lang: np.ndarray) -> np.ndarray:
+        held = [np.unique(text_grams(text.slice(a, b - a), lang[a:b])[0]) for a, b in text_slices(text, 1 << 21)]
+        return np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+
+    def ask(t: pa.Table) -> pa.Table:
+        key, chunk = distinct(*texts_of(t)), t["__chunk"][0].as_py()
+        ends = np.concatenate([[0], np.searchsorted(key, cuts), [len(key)]])
+        rows = [(chunk, i, key[a:b].astype("<u8").tobytes()) for i, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+        c, i, x = zip(*rows) if rows else ((), (), ())
+        return pa.table({"chunk": pa.array(c, pa.int64()), "shard": pa.array(i, pa.int64()), "part": pa.array([v % parts for v in c], pa.int64()), "keys": pa.array(x, pa.binary())})
+
+    asks = keyed.groupBy("__chunk").applyInArrow(ask, "chunk long, shard long, part long, keys binary")
+
+    def answer(arrays: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows:
+            key, logp = np.frombuffer(arrays["keys"][0].as_buffer(), "<u8"), np.frombuffer(arrays["logps"][0].as_buffer(), "<f4")
+            for x in asked["keys"]:
+                want = np.frombuffer(x.as_buffer(), "<u8")
+                at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+                if not (key[at] == want).all():
+                    raise ValueError("an n-gram of a text wasn't counted")
+                out.append(logp[at].astype("<f4").tobytes())
+        return pa.table({"__chunk": asked["chunk"], "shard": asked["shard"], "logps": pa.array(out, pa.binary())})
+
+    answers = arrays.groupBy("shard", "part").cogroup(asks.groupBy("shard", "part")).applyInArrow(answer, "__chunk long, shard long, logps binary")
+
+    def score(t: pa.Table, told: pa.Table) -> pa.Table:
+        text, lang = texts_of(t)
+        key = distinct(text, lang)
+        turn = pc.sort_indices(told["shard"]) if told.num_rows else None
+        logp = np.concatenate([np.frombuffer(x.as_buffer(), "<f4") for x in told["logps"].take(turn)]) if told.num_rows else np.zeros(0, np.float32)
+        log_p = looked_up(HashArray(key, logp))
+        made = [judged_slice(text.slice(a, b - a), lang[a:b], log_p) for a, b in text_slices(text, 1 << 21)]
+        columns = [pa.array(np.concatenate(x)) for x in zip(*made)]
+        return pa.Table.from_arrays([*(t[c] for c in keep), *columns, t["__lang"].cast(pa.string())], names=[*keep, *COUNTS, *VERDICT])
+
+    return keyed.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(score, kinds)
+
+
+# ---------------------------------------------------------------- bands
+
+
+def fit_bands(scored: DataFrame) -> DataFrame:
+    """For each language (model) the middle and the spread of the reference texts' log-perplexity, and
+    how far one character strays, from all reference texts. Exact percentiles of values rounded to a
+    thousandth, whose numbers are added up first, so the result doesn't depend on partitions."""
+    n = F.col("n_scored")
+    size = F.when(n < 400, "short").when(n >= 1000, "long").otherwise("other")
+    inverse = (1 / n).cast("decimal(20,12)")
+    tally = scored.where("reference and n_scored > 0").groupBy("model", F.round("log_ppl", 3).alias("x"), size.alias("size")).agg(F.count(F.lit(1)).alias("f"), F.sum(inverse).alias("inverse"))
+    of = lambda name: F.when(F.col("size") == name, F.col("x"))
+    sums = tally.groupBy("model").agg(
+        F.percentile("x", F.lit(0.5), F.col("f")).alias("mid"),
+        F.percentile(of("long"), F.array(F.lit(0.16), F.lit(0.84)), F.col("f")).alias("long"),
+        F.percentile(of("short"), F.array(F.lit(0.16), F.lit(0.84)), F.col("f")).alias("short"),
+        (F.sum(F.when(F.col("size") == "short", F.col("inverse"))) / F.sum(F.when(F.col("size") == "short", F.col("f")))).cast("double").alias("inverse"),
     )
-    out = {}
-    for r in sums.collect():  # a row for each model
-        spread = lambda q: (q[1] - q[0]) / 2 if q and q[0] is not None else 0.0
-        long, short = spread(r["long"]), spread(r["short"])
-        one = np.sqrt(max(short**2 - long**2, 0.25) / r["inverse"]) if r["inverse"] else 3.0
-        out[r["model"]] = (r["mid"], max(long, 0.005), float(one))
-    return out
+    half = lambda q: F.coalesce((F.col(q)[1] - F.col(q)[0]) / 2, F.lit(0.0))
+    one = F.sqrt(F.greatest(half("short") ** 2 - half("long") ** 2, F.lit(0.25)) / F.col("inverse"))
+    return sums.select("model", "mid", F.greatest(half("long"), F.lit(0.005)).alias("spread"), F.coalesce(one, F.lit(3.0)).alias("one"))
 
 
-def judge(scored: DataFrame, bands: dict[str, tuple[float, float, float]], *, width: float = 3.0) -> DataFrame:
+def judge(scored: DataFrame, bands: DataFrame, *, width: float = 3.0) -> DataFrame:
     """The verdict: outside the band of its language, which is wider for short texts, a text is rejected."""
-    rows = [(k, *v) for k, v in bands.items()] or [("", 0.0, 0.0, 0.0)]
-    table = scored.sparkSession.createDataFrame(rows, "model string, mid double, spread double, one double")
     reach = width * F.sqrt(F.pow("spread", 2) + F.pow("one", 2) / F.greatest("n_scored", F.lit(1)))
-    # a row for each model, at most max_languages + 1
-    out = scored.join(F.broadcast(table), "model", "left").withColumns({"band_low": F.col("mid") - reach, "band_high": F.col("mid") + reach})
+    # a row for each language, read from a file whose size decides whether it is broadcast
+    out = scored.join(bands, "model", "left").withColumns({"band_low": F.col("mid") - reach, "band_high": F.col("mid") + reach})
     inside = F.coalesce(F.col("log_ppl").between(F.col("band_low"), F.col("band_high")), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & inside).drop("mid", "spread", "one")
 
@@ -452,7 +451,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 VERDICT = ("base_failed", "reference", "n_scored", "log_ppl", "model")
 
 
-def apply_quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def apply_quality_rules(docs: DataFrame, keep: list[str] | None = None, **limits: int) -> DataFrame:
     """Fit on all of docs, score every row once, set the bands by the scores, and judge every row."""
-    scored = stored(score_documents(docs, fit_rules(docs), keep or ["doc_id"]), "scored")
-    return judge(scored, fit_bands(scored))
+    scored = stored(score_documents(docs, keep or ["doc_id"], **limits), "scored")
+    return judge(scored, stored(fit_bands(scored), "bands"))
