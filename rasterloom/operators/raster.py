@@ -1,19 +1,21 @@
 """Pixels of tiles: encoding, region reads, reduced levels, tile streams.
 
-A tile row is slide_id, level, x, y, w, h, payload: a byte that tells the coding, then row-major
-samples of one byte and ``bands`` bands, raw or zlib-packed. Regions and reduced tiles are groups of a few neighbouring tiles, so a
+A tile row is slide_id, level, x, y, w, h, payload: a baseline JPEG, or a byte that tells the coding and
+row-major samples of one byte and ``bands`` bands, raw or zlib-packed. Regions and reduced tiles are groups of a few neighbouring tiles, so a
 group stays small however large a slide is.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import jpeg_codec
 from ..functions.arithmetic import ceil_div, col, div
 from ..plans.session import ship
 from .joins import overlap_join
@@ -41,8 +43,20 @@ def encode_tiles(df: DataFrame, pixels: str, *, packed: bool = True) -> DataFram
     return df.select(*keep, pixels).mapInArrow(encode, kinds)
 
 
+@lru_cache(maxsize=64)
+def jpeg_samples(payload: bytes) -> np.ndarray:
+    """Samples of a JPEG payload; a task keeps the last few, since neighbouring regions share tiles."""
+    return jpeg_codec.decode(payload)
+
+
 def decoded(payload: bytes, h: int, w: int, bands: int = 1) -> np.ndarray:
     """Samples of a payload as rows x columns x bands; a wrong size is an error."""
+    if payload[:2] == b"\xff\xd8":
+        out = jpeg_samples(payload)
+        if out.shape[:2] != (h, w):
+            raise ValueError(f"payload is {out.shape[1]} x {out.shape[0]}, {w} x {h} was expected")
+        # grey and colour stand for each other: by repeating, and by the green band
+        return out if out.shape[2] == bands else out.repeat(bands, 2) if out.shape[2] == 1 else out[:, :, 1:2]
     raw = zlib.decompress(payload[1:]) if payload[:1] == PACKED else payload[1:]
     if len(raw) != h * w * bands:
         raise ValueError(f"payload has {len(raw)} samples, {h * w * bands} were expected")

@@ -95,6 +95,11 @@ class Tiff:
             seen.add(at)
             page, at = self.directory(at)
             pages.append(page)
+            # parts of a page, as its reduced levels, follow it
+            for sub in page.get(SUB_IFDS) or []:
+                if sub not in seen:
+                    seen.add(sub)
+                    pages.append(self.directory(sub)[0])
         return pages
 
     def directory(self, stored: int) -> tuple[Page, int]:
