@@ -99,3 +99,28 @@ def modality(tiles: DataFrame) -> DataFrame:
     fluorescence, three or more packed samples are brightfield, anything else is unknown."""
     facts = tiles.groupBy("slide_id").agg(F.max("n_channels").alias("c"), F.count_distinct("channel").alias("planes"), F.max("samples").alias("samples"))
     return facts.select("slide_id", F.when((F.col("c") > 0) & (F.col("planes") == F.col("c")) & (F.col("samples") == 1), "fluorescence").when(F.col("samples") >= 3, "brightfield").otherwise("unknown").alias("modality"))
+
+
+def found_by_text(files: DataFrame, path: str, text: str) -> DataFrame:
+    """Files whose path holds a text, whatever the case; blanks around it don't count, and a blank text finds all."""
+    wanted = text.strip().lower()
+    return files.where(F.contains(F.lower(path), F.lit(wanted))) if wanted else files
+
+
+def with_unknown_channel(channels: str) -> Column:
+    """Whether any channel of a list has no known identity."""
+    return F.exists(channels, lambda c: c["identity_source"] == "unknown")
+
+
+def capability_columns(*, levels: Column, planes: Column) -> list[Column]:
+    """What a slide's container offers: its own levels for one field, those as 8-bit output, and planes
+    of several channels whose encoded tiles can pass."""
+    native = levels & (F.col("n_field") == 1)
+    eight = F.col("bit_depth") == 8
+    return [native.alias("native_source"), (native & eight).alias("native_output_ready"), (planes & eight & (F.col("n_channels") > 1)).alias("plane_passthrough")]
+
+
+def work_units(*, segments: Column, label: Column, macro: Column, finalise: Column, validate: Column) -> dict[str, Column]:
+    """Units of a file's work by stage: a segment, an associated page and a step of the tail are one each."""
+    one = lambda c: c.cast("int")
+    return {"segments": segments, "associated": one(label) + one(macro), "tail": F.lit(1) + one(finalise) + one(validate)}

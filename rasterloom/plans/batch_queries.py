@@ -27,8 +27,9 @@ from ..functions.text import (
     suffix,
 )
 from ..operators.events import job_timing as timing_of, log_tail as tail_of, monotone_progress, phase_matrix as matrix_of, progress_fields
-from ..operators.planner import allowed_outputs, batch_counts as counts_of, channel_overrides, codec_summary, compatibility, omitted_planes, resolved_resources, without_referenced
+from ..operators.planner import allowed_outputs, batch_counts as counts_of, capability_columns, channel_overrides, codec_summary, compatibility, found_by_text, omitted_planes, resolved_resources, with_unknown_channel, without_referenced, work_units
 from ..operators.windows import greedy_names, latest, numbered, suffixed_names
+from ..sources.slide_pages import CLASSIC_LIMIT, bytes_per_pixel, estimated_bytes
 from .registry import Registry, table
 
 registry = Registry()
@@ -324,6 +325,58 @@ def folder_groups(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(parent_folder("url").alias("folder")).agg(F.count(F.lit(1)).alias("n_files"), F.min("page_id").alias("first_page"), F.count_if(F.contains(F.lower("url"), F.lower(F.trim(F.lit(" BLOG "))))).alias("n_found"))
 
 
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'a') AND NOT contains(url, 'zz')")
+def path_search(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return found_by_text(pages, "url", "  A ").exceptAll(found_by_text(pages, "url", "zz"))
+
+
+@query(
+    """SELECT conv_id, count(*) AS n_channels, CAST(count_if(role = 'system') AS BIGINT) AS n_unknown FROM conversations GROUP BY conv_id HAVING count_if(role = 'system') > 0 OR count(*) > 6"""
+)
+def unknown_channels(spark, sf_dir):
+    """Slides with a channel whose identity isn't known, or with many channels."""
+    listed = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(F.when(F.col("role") == "system", "unknown").otherwise("source_metadata").alias("identity_source"))).alias("channels"))
+    unknown = F.size(F.filter("channels", lambda c: c["identity_source"] == "unknown"))
+    return listed.where(with_unknown_channel("channels") | (F.size("channels") > 6)).select("conv_id", F.size("channels").cast("bigint").alias("n_channels"), unknown.cast("bigint").alias("n_unknown"))
+
+
+@query(
+    f"""WITH {SLIDES} SELECT slide_id, modality = 'brightfield' AND native_planes AND n_field = 1 AS native_source, modality = 'brightfield' AND native_planes AND n_field = 1 AND bit_depth = 8 AS native_output_ready, native_planes AND bit_depth = 8 AND n_channels > 1 AS plane_passthrough FROM s"""
+)
+def capabilities(spark, sf_dir):
+    return slides_of(spark, sf_dir).select("slide_id", *capability_columns(levels=(F.col("modality") == "brightfield") & F.col("native_planes"), planes=F.col("native_planes")))
+
+
+@query(
+    """WITH s AS (SELECT p_partkey AS slide_id, 20000 + p_size * 3000 AS w, 15000 + (p_partkey % 70) * 1300 AS h, 60 + p_partkey % 40 AS q, p_partkey % 2 = 0 AS j2k FROM part),
+ l AS (SELECT *, unnest([1, 4, 16, 32]) AS f FROM s),
+ b AS (SELECT slide_id, sum(ceil((w // f) / 240.0) * ceil((h // f) / 240.0) * 57600 * (CASE WHEN j2k THEN 0.50::DOUBLE + 0.035::DOUBLE * q ELSE 0.15::DOUBLE + 0.010::DOUBLE * q END)) + 67108864 AS b FROM l GROUP BY slide_id)
+ SELECT slide_id, CAST(round(b / 1000000) AS BIGINT) AS megabytes, b > 3.2e9 AS big FROM b"""
+)
+def bigtiff_decision(spark, sf_dir):
+    """Whether a file needs 64-bit offsets, by codec and quality of its tiles."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("bigint")
+    slides = table(spark, sf_dir, "part").select(k.alias("slide_id"), (size * 3000 + 20000).alias("w"), ((k % 70) * 1300 + 15000).alias("h"), (k % 40 + 60).alias("q"))
+    levels = slides.withColumn("f", F.explode(F.array(*(F.lit(x).cast("bigint") for x in (1, 4, 16, 32))))).select("slide_id", "q", F.call_function("div", "w", "f").alias("width"), F.call_function("div", "h", "f").alias("height"))
+    density = F.when(F.col("slide_id") % 2 == 0, bytes_per_pixel("j2k", F.col("q"))).otherwise(bytes_per_pixel("jpeg", F.col("q")))
+    sized = estimated_bytes(levels, 240, density)
+    return sized.select("slide_id", F.round(F.col("bytes") / 1000000).cast("bigint").alias("megabytes"), (F.col("bytes") > CLASSIC_LIMIT).alias("big"))
+
+
+@query(
+    f"""WITH {SLIDES}, f AS (SELECT s.*, f.format, CAST(n_channels * 100 + 50 AS BIGINT) AS segments, CASE WHEN f.format = 'svs' THEN CAST(n_z = 2 AS BIGINT) + CAST(n_field = 2 AS BIGINT) ELSE 0 END AS associated, 1 + CAST(native_planes AS BIGINT) AS tail FROM s, (VALUES ('svs'), ('ome_tiff')) f(format))
+ SELECT slide_id, format, segments, associated, tail, round(100.0::DOUBLE * (n_channels * 50) / (segments + associated + tail), 6) AS percent FROM f"""
+)
+def progress_units(spark, sf_dir):
+    """Weighted units of a file's work, and the share done when half of its first segments are."""
+    slides = slides_of(spark, sf_dir).withColumn("format", F.explode(F.array(F.lit("svs"), F.lit("ome_tiff"))))
+    svs = F.col("format") == "svs"
+    units = work_units(segments=F.col("n_channels") * 100 + 50, label=svs & (F.col("n_z") == 2), macro=svs & (F.col("n_field") == 2), finalise=F.col("native_planes"), validate=F.lit(False))
+    rows = slides.select("slide_id", "format", "n_channels", *(v.cast("bigint").alias(k) for k, v in units.items()))
+    return rows.select("slide_id", "format", "segments", "associated", "tail", F.round(F.lit(100.0) * (F.col("n_channels") * 50) / (F.col("segments") + F.col("associated") + F.col("tail")), 6).alias("percent"))
+
+
 @query(
     f"""WITH {SLIDES} SELECT slide_id, CASE WHEN modality = 'fluorescence' OR n_field > 1 OR n_channels > 1 OR n_z > 1 OR n_t > 1 OR bit_depth > 8
   THEN printf('fields=%d, C=%d, Z=%d, T=%d, bit_depth=%d', n_field, n_channels, n_z, n_t, bit_depth) ELSE '' END AS omitted FROM s"""

@@ -8,6 +8,7 @@ reader, so other payloads are never read; the payload column is read only with
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -32,7 +33,9 @@ class SlideReader(DataSourceReader):
 
     def __init__(self, module, schema: StructType, options: dict, default: str, pushed: dict[str, str]):
         self.module, self.schema = module, schema
-        self.path, self.table = options["path"], options.get("table", default)
+        # a folder or file, or a JSON list of them
+        self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
+        self.table = options.get("table", default)
         self.payload = options.get("payload", "true").lower() == "true"
         self.errors = options.get("errors", "fail")
         self.pushed, self.arguments = pushed, {}
@@ -48,7 +51,7 @@ class SlideReader(DataSourceReader):
             yield f  # Spark checks every row again
 
     def partitions(self) -> list[FilePartition]:
-        return [FilePartition(p) for p in files_below(self.path, self.module.SUFFIXES)]
+        return [FilePartition(p) for path in self.paths for p in files_below(path, self.module.SUFFIXES)]
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         arguments = dict(self.arguments)

@@ -246,3 +246,10 @@ def acceptance_markdown(structure: DataFrame, geometry: dict) -> str:
     for r in structure.orderBy("path").toLocalIterator():
         lines += ["", f"## {r['path']}", "", f"- Pages: `{r['page_count']}`", f"- Levels: `{r['levels']}`", f"- Label: `{r['label'] or ''}`", f"- Macro: `{r['macro'] or ''}`"]
     return "\n".join(lines) + "\n"
+
+
+def acceptance_json(structure: DataFrame, geometry: dict) -> str:
+    """The same facts as one JSON text."""
+    import json
+
+    return json.dumps({"geometry": geometry, "files": [r.asDict() for r in structure.orderBy("path").toLocalIterator()]}, ensure_ascii=False, indent=2)

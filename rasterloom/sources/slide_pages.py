@@ -36,6 +36,10 @@ JPEG, DEFLATE, GREY, RGB, YCBCR = 7, 8, 1, 2, 6
 CLASSIC_LIMIT, BESIDE_PIXELS = 3_200_000_000, 64 << 20
 
 
+#: Estimated bytes of a pixel of an encoded tile: a base, and what each step of quality adds. Fixed values.
+DENSITY = {"jpeg": (0.15, 0.010), "j2k": (0.50, 0.035)}
+
+
 class PageFile:
     """Appends the segments of one file and writes its directories at the end."""
 
@@ -233,10 +237,15 @@ def blank_tile(tile: int, bands: int, background: int) -> Column:
     return F.lit(bytearray(encode(np.full((tile, tile, bands), background, np.uint8), 100)))
 
 
-def estimated_bytes(levels: DataFrame, tile: int, per_pixel: float) -> DataFrame:
+def bytes_per_pixel(codec: str, quality) -> Column:
+    base, step = DENSITY[codec]
+    return F.lit(base) + F.lit(step) * (quality if isinstance(quality, Column) else F.lit(quality))
+
+
+def estimated_bytes(levels: DataFrame, tile: int, per_pixel) -> DataFrame:
     """slide_id, bytes: pixels of whole tiles of all levels at so many bytes a pixel, and what files hold beside."""
     padded = (ceil_div("width", tile) * tile).cast("double") * (ceil_div("height", tile) * tile)
-    return levels.groupBy("slide_id").agg((F.sum(padded) * per_pixel + BESIDE_PIXELS).alias("bytes"))
+    return levels.groupBy("slide_id").agg((F.sum(padded * per_pixel) + BESIDE_PIXELS).alias("bytes"))
 
 
 def page_facts(df: DataFrame, **facts: Column) -> DataFrame:
@@ -355,7 +364,7 @@ def write_svs(levels: DataFrame, tiles: DataFrame, path: str, *, tile: int, band
     small = fit_inside("width", "height", thumbnail)
     named = (F.col("mag"), F.col("stem"), F.col("mpp"), F.col("icc"))
     colour = {"samples": F.lit(bands), "photometric": F.lit(GREY if bands == 1 else YCBCR)}
-    size = estimated_bytes(main.select("slide_id", "width", "height").unionByName(wanted.select("slide_id", "width", "height")), tile, {1: 0.35, 3: 1.0}[bands])
+    size = estimated_bytes(main.select("slide_id", "width", "height").unionByName(wanted.select("slide_id", "width", "height")), tile, bytes_per_pixel("jpeg", quality))
     whole = main.join(size, "slide_id").withColumn("large", F.col("bytes") > CLASSIC_LIMIT)
     blank = blank_tile(tile, bands, background)
     facts = [
