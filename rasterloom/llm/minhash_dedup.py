@@ -6,21 +6,30 @@ Consistent weighted sampling draws ``bands * rows`` samples from each node, so t
 a sample with the probability of their weighted Jaccard similarity; equal bands of samples make
 nodes candidates, and candidates are verified by the similarity itself.
 
+A shingle's inverse document frequency depends on the share of texts that hold it, down to one in
+``1 / LEAST_SHARE``; rarer ones weigh alike. So weights are the same for a corpus of any size, and a
+sketch of fixed size, whose error is a share of the texts, too, tells them (its mean load is taken
+off). The frequency is damped: in a group of near copies that makes a third of the corpus, undamped
+weights (ln 3 for what copies share, ln of a million for what differs) would bring two copies with 85 %
+of their shingles in common down to a similarity of 0.31, so they would no longer be found.
+
 Within a bucket of candidates not all pairs are formed. Small buckets are compared throughout. In a
 large one two leaders are compared with the rest, which makes one component of true copies. Where
 that leaves several components (texts that resemble each other less than the threshold), the bucket's
-nodes are packed into blocks, and blocks meet blocks: a task compares the nodes of two blocks by one
-matrix product and emits only the links it verified. Blocks of nodes that are one component already
-don't meet each other. So every similar pair of a bucket ends in one component, and no bucket is
-capped. Components come from alternating star contractions; edges, labels and texts stay distributed.
+nodes are packed into blocks of bounded number and weight, and blocks meet blocks: a task compares the
+nodes of two blocks by one matrix product over the shingles they share and emits only the links it
+verified. Blocks of nodes that are one component already don't meet each other. So every similar pair
+of a bucket ends in one component, and no bucket is capped. Joins by bucket are salted: a bucket of
+many nodes is dealt over as many tasks as its size asks for. Components come from alternating star
+contractions; edges, labels and texts stay distributed.
 
-Document frequencies are counted over all texts in a sketch of fixed size, and the filter that
-keeps texts without candidates from being shuffled is a Bloom filter of fixed size (an exact join
-follows it): those two are all that is broadcast.
+What is broadcast is of fixed size: the sketch, a Bloom filter that keeps texts without candidates
+from being shuffled (an exact join follows it), and a table of at most ``CELLS`` salts.
 
 Cases: null text: a class of its own; a text without words: near to none, equal texts are copies;
-fewer than five words: one shingle of all; ties: the smallest doc_id names a class; repeated rows:
-copies of each other; empty table: no rows; extra columns: ignored.
+fewer than five words: one shingle of all; texts of any length: whole, one at a time; ties: the
+smallest doc_id names a class; repeated rows: copies of each other; empty table: no rows; extra
+columns, whatever their names: ignored.
 """
 
 from __future__ import annotations
@@ -40,11 +49,13 @@ from .shared import Words, hash_forms, mix64, prepare, stored, text_slices
 SHINGLE = 5
 SKETCH_BITS, SKETCH_ROWS, BLOCK = 18, 2, 4096
 #: Weights of shingles range from 1 to 1 + DAMPED between shingles of all texts and rare ones.
-DAMPED = 0.25
+DAMPED, LEAST_SHARE = 0.25, 1 / 256
 DRAW_BITS = 14
+#: Rows of a bucket in one task, and classes of buckets that share a number of salts.
+HOT_ROWS, CELLS = 512, 1 << 16
 BLOOM_BITS = 25
 #: Buckets of up to SMALL nodes are compared throughout; larger ones by blocks of about BLOCK_NODES.
-SMALL, BLOCK_NODES = 9, 128
+SMALL, BLOCK_NODES, BLOCK_WEIGHT = 9, 128, 1 << 18
 
 
 def node_key() -> Column:
@@ -136,9 +147,18 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def weights(key: np.ndarray, counts: np.ndarray, sketch: np.ndarray, n: int) -> np.ndarray:
     """Count times damped inverse document frequency."""
-    df = np.minimum.reduce([sketch[s] for s in sketch_slots(key)]) if len(key) else np.zeros(0)
-    scale = np.log(max(n, 2))
-    return counts * (1 + DAMPED * np.clip(np.log(max(n, 2) / np.maximum(df, 1)) / scale, 0, 1))
+    if not len(key):
+        return np.zeros(0)
+    load = sketch.reshape(SKETCH_ROWS, -1).sum(1)
+    width = (1 << SKETCH_BITS) - 1
+    # what a cell holds of other shingles is about the mean of all other cells
+    df = np.minimum.reduce([sketch[s] - (t - sketch[s]) / width for s, t in zip(sketch_slots(key), load)])
+    return counts * (1 + DAMPED * inverse_frequency(df / max(n, 1)))
+
+
+def inverse_frequency(share: np.ndarray) -> np.ndarray:
+    """From 0 for shingles of all texts to 1 for those of at most LEAST_SHARE of them."""
+    return np.clip(np.log(np.clip(share, LEAST_SHARE, 1)) / np.log(LEAST_SHARE), 0, 1)
 
 
 # ---------------------------------------------------------------- samples
@@ -146,7 +166,8 @@ def weights(key: np.ndarray, counts: np.ndarray, sketch: np.ndarray, n: int) ->
 
 @lru_cache(maxsize=2)
 def draws(samples: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Random numbers for each class of shingles and each sample: r and ln c are gamma (2, 1), beta is uniform."""
+    """Random numbers for each sample in three tables: r and c are gamma (2, 1), beta is uniform. A
+    shingle has a place of its own in each table, so a triple is drawn for each shingle out of 2**(3 * DRAW_BITS)."""
     rng = np.random.default_rng(seed)
     shape = (1 << DRAW_BITS, samples)
     r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
@@ -157,10 +178,10 @@ def sample_bands(key: np.ndarray, weight: np.ndarray, bands: int, rows: int, see
     """Hash of each band of consistent weighted samples of one text."""
     samples = bands * rows
     r, inverse, beta, log_c = draws(samples, seed)
-    place = (key >> np.uint64(64 - DRAW_BITS)).astype(np.int64)  # shingles come sorted, so a class's least wins its ties
-    b, step = beta[place], r[place]
-    t = np.floor(np.log(weight).astype(np.float32)[:, None] * inverse[place] + b)
-    cost = log_c[place] - step * (t - b + 1)
+    places = [((key >> np.uint64(64 - DRAW_BITS * (i + 1))) & np.uint64((1 << DRAW_BITS) - 1)).astype(np.int64) for i in range(3)]
+    b, step = beta[places[1]], r[places[0]]
+    t = np.floor(np.log(weight).astype(np.float32)[:, None] * inverse[places[0]] + b)
+    cost = log_c[places[2]] - step * (t - b + 1)
     best = cost.argmin(0)
     at = np.arange(samples)
     token = mix64(key[best] + mix64((t[best, at].astype(np.int64) + (at << 32)).astype(np.uint64)))
@@ -180,6 +201,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / high) if high > 0 else 0.0
 
 
+COLUMNS = 1 << 16  # of a matrix of shared shingles
 BLOCKS = "bucket long, block int, first int, blocks int, data binary"
 
 
@@ -206,15 +228,25 @@ def block_links(a: tuple, b: tuple, threshold: float) -> list[tuple[bytes, bytes
         return out
 
     one, two = expanded(a), expanded(b)
-    every = np.unique(np.concatenate([k for k, _ in one]))
-    left = np.zeros((len(one), len(every)), np.float32)
-    for i, (k, w) in enumerate(one):
-        left[i, np.searchsorted(every, k)] = w
-    right = np.zeros((len(two), len(every)), np.float32)
-    for i, (k, _) in enumerate(two):
-        at = np.minimum(np.searchsorted(every, k), len(every) - 1)
-        right[i, at[every[at] == k]] = 1
-    common = left @ right.T
+    # only shingles that two texts share count, a slice of them at a time
+    if a[0] == b[0]:
+        every, n = np.unique(np.concatenate([k for k, _ in one]), return_counts=True)
+        every = every[n > 1]
+    else:
+        every = np.intersect1d(np.concatenate([k for k, _ in one]), np.concatenate([k for k, _ in two]))
+    common = np.zeros((len(one), len(two)), np.float32)
+    for start in range(0, len(every), COLUMNS):
+        part = every[start : start + COLUMNS]
+        sides = []
+        for side, value in ((one, None), (two, 1)):
+            dense = np.zeros((len(side), len(part)), np.float32)
+            for i, (k, w) in enumerate(side):
+                at = np.searchsorted(part, k)
+                at[at == len(part)] = 0
+                hit = part[at] == k
+                dense[i, at[hit]] = w[hit] if value is None else value
+            sides.append(dense)
+        common += sides[0] @ sides[1].T
     sum_a, sum_b = (np.array([w.sum() for _, w in x]) for x in (one, two))
     with np.errstate(divide="ignore", invalid="ignore"):
         sim = common / (sum_a[:, None] + sum_b[None, :] - common)
@@ -271,6 +303,31 @@ def bloom_words(nodes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def shared_buckets(banded: DataFrame) -> DataFrame:
+    """bucket, node, m (nodes of the bucket) of buckets with several nodes. Buckets fall into CELLS
+    classes; those of a class with many rows are salted, so no bucket comes to one task."""
+    cell = F.pmod("bucket", F.lit(CELLS)).alias("cell")
+    total = F.sum("n").over(Window.partitionBy())
+    hot = banded.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).withColumn("room", F.greatest(F.lit(HOT_ROWS), 4 * total / CELLS, total / 8192))
+    # at most CELLS rows
+    hot = F.broadcast(stored(hot.where("n > room").select("cell", F.ceil(F.col("n") / F.col("room")).cast("int").alias("salts")), "salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    counts = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "m", cell).join(hot, "cell", "left")
+    counts = counts.select("bucket", "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    rows = banded.select("bucket", "node", cell).join(hot, "cell", "left").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    return rows.join(counts, ["bucket", "salt"]).select("bucket", "node", "m")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, node, m) with a salt by their bucket's size."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / HOT_ROWS)).cast("int"))
+
+
+def everywhere(buckets: DataFrame) -> DataFrame:
+    """Rows for whole buckets (bucket, m), once for each salt of ``dealt``."""
+    return buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("m") / HOT_ROWS) - 1).cast("int"))))
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 9, rows: int = 3) -> DataFrame:
     """doc_id, class_id (the least doc_id of all that are near, through others if need be), copy_of
     (the least doc_id with the same text), class_size, of every row of docs."""
@@ -315,8 +372,7 @@ def node_classes(docs: DataFrame, *, threshold: float, bands: int, rows: int) ->
 
     signed = nodes.select("node", "text").mapInArrow(sign, "node binary, bands array<bigint>")
     banded = stored(signed.groupBy("node").agg(F.first("bands").alias("bands")), "bands").select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = stored(banded.join(shared, "bucket").select("bucket", "node", "m"), "members")
+    members = stored(shared_buckets(banded), "members")
     candidates = members.select("node").distinct()
     bloom = sc.broadcast(bloom_words(candidates))
 
@@ -360,25 +416,32 @@ def node_classes(docs: DataFrame, *, threshold: float, bands: int, rows: int) ->
     def rooted(df: DataFrame) -> DataFrame:
         return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    # every node of a small bucket leads, and two of a large one
-    order = Window.partitionBy("bucket").orderBy("node")
-    sized = members.join(vector.select("node", "total"), "node")
-    turn = sized.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= F.when(F.col("m") <= SMALL, SMALL - 1).otherwise(2))
-    lead = turn.select("bucket", F.col("node").alias("leader"), F.col("total").alias("leader_total"))
-    like = F.least("total", "leader_total") >= (threshold - 1e-6) * F.greatest("total", "leader_total")
-    meet = sized.join(lead, "bucket").where((F.col("node") != F.col("leader")) & like)
+    sized = stored(members.join(vector.select("node", "total"), "node").select("bucket", "node", "m", "total"), "sized")
+    like = lambda x, y: F.least(x, y) >= (threshold - 1e-6) * F.greatest(x, y)
+    # nodes of a small bucket meet each other, those of a large one its least and its greatest
+    small, large = sized.where(F.col("m") <= SMALL), sized.where(F.col("m") > SMALL)
+    other = small.select("bucket", F.col("node").alias("leader"), F.col("total").alias("leader_total"))
+    within = small.join(other, "bucket").where((F.col("node") > F.col("leader")) & like(F.col("total"), F.col("leader_total")))
+    ends = F.explode(F.array(F.min(F.struct("node", "total")), F.max(F.struct("node", "total"))))
+    lead = large.groupBy("bucket", "m").agg(ends.alias("l")).select("bucket", "m", F.col("l.node").alias("leader"), F.col("l.total").alias("leader_total"))
+    led = dealt(large).join(everywhere(lead).drop("m"), ["bucket", "salt"]).where((F.col("node") != F.col("leader")) & like(F.col("total"), F.col("leader_total")))
+    meet = within.select("node", "leader").unionByName(led.select("node", "leader"))
     sims = verified(meet.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
     links = stored(sims.where(F.col("sim") >= threshold).select("a", "b"), "links")
     roots = components(links)
 
     # large buckets that aren't one component, by blocks; those of the most frequent component come first
-    large = rooted(members.where(F.col("m") > SMALL))
-    main = large.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", True).alias("main")).where("lo != hi").select("bucket", "main")
-    large = large.join(main, "bucket").withColumn("minor", F.col("root") != F.col("main"))
-    count = large.groupBy("bucket").agg(*(F.ceil(F.count_if(x) / F.lit(BLOCK_NODES)).cast("int").alias(n) for n, x in (("first", ~F.col("minor")), ("rest", F.col("minor")))))
+    large = rooted(large)
+    by_root = large.groupBy("bucket", "m", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("t"))
+    top = F.max(F.struct("n", "root", "t"))
+    main = by_root.groupBy("bucket", "m").agg(top.alias("top"), F.sum("n").alias("n"), F.sum("t").alias("t")).where("n > top.n")
+    blocks = lambda n, t: F.ceil(F.greatest(n / F.lit(BLOCK_NODES), t / F.lit(BLOCK_WEIGHT))).cast("int")
+    main = main.select("bucket", "m", F.col("top.root").alias("main"), blocks(F.col("top.n"), F.col("top.t")).alias("first"), blocks(F.col("n") - F.col("top.n"), F.col("t") - F.col("top.t")).alias("rest"))
+    main = main.withColumn("rest", F.greatest("rest", F.lit(1)))
+    large = dealt(large).join(everywhere(main).drop("m"), ["bucket", "salt"])
     spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    block = F.when(F.col("minor"), F.col("first") + spread("rest")).otherwise(spread("first"))
-    placed = large.join(count, "bucket").select("bucket", "node", "root", "first", (F.col("first") + F.col("rest")).alias("blocks"), block.alias("block"))
+    block = F.when(F.col("root") != F.col("main"), F.col("first") + spread("rest")).otherwise(spread("first"))
+    placed = large.select("bucket", "node", "root", "first", (F.col("first") + F.col("rest")).alias("blocks"), block.alias("block"))
     packed = stored(placed.join(vector, "node").groupBy("bucket", "block").applyInArrow(pack_block, BLOCKS), "blocks")
     other = packed.select("bucket", F.col("block").alias("with"), F.col("data").alias("other"))
     pairs = packed.withColumn("with", F.explode(F.expr("sequence(greatest(block, first), blocks - 1)"))).join(other, ["bucket", "with"])
