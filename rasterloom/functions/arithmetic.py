@@ -11,6 +11,18 @@ def col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)
 
 
+def bound(x, use) -> Column:
+    """use(x), where x is worked out once for a row however often use refers to it, within lambdas, too."""
+    return F.transform(F.array(col(x)), use)[0]
+
+
+def bag_digest(*columns: str) -> Column:
+    """An aggregate that is equal for equal bags of rows, whatever their order: their number and two sums
+    of independent hashes. Unlike a sorted list it has a fixed size and is summed up before a shuffle."""
+    sums = [F.sum(F.xxhash64(*columns, F.lit(seed)).cast("decimal(38,0)")) for seed in (1, 2)]
+    return F.struct(F.count(F.lit(1)).alias("n"), *(s.alias(f"h{i}") for i, s in enumerate(sums)))
+
+
 def div(a, b) -> Column:
     """Integer quotient of non-negative numbers, as bigint."""
     return F.call_function("div", col(a).cast("bigint"), col(b).cast("bigint"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arithmetic import col, div
+from .arithmetic import bound, col, div
 
 
 def quantised(values, top: int) -> Column:
@@ -46,14 +46,16 @@ def over_white(v, alpha) -> Column:
 
 def transposed(pixels, width: int, height: int) -> Column:
     """Row-major pixels with axes exchanged."""
-    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.get(col(pixels), ((i % height) * width + F.floor(i / height)).cast("int")))
+    places = F.sequence(F.lit(0), F.lit(width * height - 1))
+    return bound(pixels, lambda p: F.transform(places, lambda i: F.get(p, ((i % height) * width + F.floor(i / height)).cast("int"))))
 
 
 def padded(pixels, width, height, tile: int, background: int) -> Column:
     """Row-major pixels of an edge tile filled up to tile x tile."""
-    place = lambda i: F.get(col(pixels), (F.floor(i / tile) * col(width) + i % tile).cast("int"))
     inside = lambda i: ((i % tile) < col(width)) & (F.floor(i / tile) < col(height))
-    return F.transform(F.sequence(F.lit(0), F.lit(tile * tile - 1)), lambda i: F.when(inside(i), place(i)).otherwise(F.lit(background).cast("bigint")))
+    places = F.sequence(F.lit(0), F.lit(tile * tile - 1))
+    place = lambda p, i: F.get(p, (F.floor(i / tile) * col(width) + i % tile).cast("int"))
+    return bound(pixels, lambda p: F.transform(places, lambda i: F.when(inside(i), place(p, i)).otherwise(F.lit(background).cast("bigint"))))
 
 
 def pack_rgba(r, g, b, a=255) -> Column:

@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Used only in local mode, as in tests.
+LOCAL_STORE = "/tmp/checkpoints"
 _shipped: set[str] = set()
 
 
@@ -31,6 +33,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def store_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which the driver and all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A fresh folder below spark.checkpoint.dir, which the driver and all executors share. Where that is
+    unset, a folder of this machine's, which only a session that runs on one machine may use."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = LOCAL_STORE
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arithmetic import bag_digest
 from ..functions.text import UNSAFE
 from .sinks import write_tiff
 from .storage import FormatError, split_uri
@@ -78,11 +79,9 @@ def write_channel_set(tiles: DataFrame, path: str, channels: list[dict]) -> list
     if system is not None:
         raise FormatError("remote_sink", "write", "file sets are written to mounted folders")
     folder, stem = os.path.dirname(local) or ".", os.path.basename(local).removesuffix(".afi")
-    # two independent sums of hashes tell apart sets of places, without bringing a channel's tiles together
-    place = [F.sum(F.xxhash64("level", "y", "x", "w", "h", F.lit(s)).cast("decimal(38,0)")).alias(f"shape{s}") for s in (1, 2)]
-    shapes = tiles.groupBy("channel").agg(*place, F.count(F.lit(1)).alias("n"))
-    facts = shapes.agg(F.count_distinct("shape1", "shape2", "n").alias("kinds"), F.count(F.lit(1)).alias("channels")).first()
-    if facts["kinds"] != 1 or facts["channels"] != len(channels):
+    shapes = tiles.groupBy("channel").agg(bag_digest("level", "y", "x", "w", "h").alias("shape"))
+    facts = shapes.agg((F.min("shape") == F.max("shape")).alias("agree"), F.count(F.lit(1)).alias("channels")).first()
+    if not facts["agree"] or facts["channels"] != len(channels):
         raise FormatError("afi_channels_disagree", "geometry")
     os.makedirs(folder, exist_ok=True)
     xml_name, names = reserve(folder, stem, channels)
