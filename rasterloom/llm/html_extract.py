@@ -1,10 +1,15 @@
 """Main text of web pages: the maximum-scoring contiguous run of words and tags.
 
 A page is a sequence of tags and words. Words score above zero, tags below; how much is learned
-from labelled pages by what each kind of tag, in each kind of place, does there. One linear scan
-finds the contiguous stretch with the greatest sum. From that stretch, blocks that are marked as
-something else (menus, notices, adverts, forms, reader comments ...) are left out; what remains is
-the text, one line for each block.
+from labelled pages by what each kind of tag, in each kind of place, does there, and words in links
+apart from others. A place is what markup around it says: content, something else, nothing, or
+(where a page marks its content) beyond the content. One linear scan finds the contiguous stretch
+with the greatest sum. From that stretch, blocks that are marked as something else (menus, notices,
+adverts, forms, reader comments ...) are left out; what remains is the text, one line for each block.
+
+A class or id marks a block only if all of its name does: ``ad-box`` is an advert, ``ad-hoc-rules``
+isn't. Names mark no part of a sentence. A heading that only announces comments marks the rest of
+its element.
 
 Cases: null or empty html, or no words: empty text; html that breaks off anywhere, unclosed or
 stray tags: read as a browser would, roughly; ties: the stretch that begins first; texts of any
@@ -48,6 +53,16 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE_NAMES = frozenset("ad ads advert nav navbar menu header masthead footer aside promo banner gdpr notice signup login search share social widget popup modal tags pager pagination toolbar copyright legal topbar byline meta reply replies alert overlay".split())
 ASIDE_BEGINNINGS = ("comment", "sidebar", "advert", "cookie", "consent", "footer", "newsletter", "sponsor", "navig", "breadcrumb", "subscri", "related", "recommend", "promo", "banner", "disqus", "disclaim")
 CONTENT_NAMES = frozenset("content article post entry main story body text".split())
+#: What the other parts of such a name may be.
+SHAPE_NAMES = frozenset(
+    "site page global primary secondary top bottom left right inner outer wrap wrapper container box block section area slot unit list item items link links button buttons bar strip panel"
+    " group row col column grid content contents form field icon icons text title heading head body module component js mobile desktop sticky fixed float floating small large big new latest popular"
+    " post posts article articles entry news feed stories card cards image img logo user author media info count counter thread this us to the and your my of on in for main article page view role".split()
+)
+# Blocks that hold sentences; a name within a sentence marks nothing.
+SENTENCES = frozenset("p li td th dd dt h1 h2 h3 h4 h5 h6 blockquote figcaption caption pre".split())
+#: Headings that only announce what readers wrote.
+COMMENTS = re.compile(r"(\d+ |no |all |add a |post a |leave a |write a |reader |readers?['\u2019]s? |user |recent )*(comments?|responses|replies|reply)( \(?\d+\)?)?( (on|to|from) .*)?:?", re.I)
 LEFT_OUT = ("aside", "inset")
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
@@ -64,14 +79,29 @@ class Run:
     gold: bool = False  # for labelled pages
 
 
-def side_of(name: str, attributes: str, in_content: bool) -> str:
+def side_of(name: str, attributes: str, in_content: bool, in_sentence: bool) -> str:
     """What an element is by its name and attributes: aside, content, or nothing (''). Within
     content, aside parts are insets: they belong to its stretch, though not to its text."""
-    return {"aside": "inset"}.get(said, said) if (said := marked_side(name, attributes, in_content)) and in_content else said
-
-
-def marked_side(name: str, attributes: str, in_content: bool) -> str:
-    if name in ASIDE_TAGS or (name == "header" and not in_content):
+    said = marked_side(name, attributes, in_content, in_sentence)
+    return "inset" if said == "aside" and in_content else said
+
+
+def names_aside(value: str, name: str, in_content: bool) -> bool:
+    """Whether a class or an id marks something else than content. Parts of content and blocks of
+    sentences are marked by a whole name only, containers elsewhere by any part of one."""
+    for word in value.split():
+        parts = [x.lower() for x in NAME_PARTS.findall(word)]
+        if in_content and CONTENT_NAMES.intersection(parts):
+            parts = [x for x in parts if x not in ("header", "meta", "tags", "legal", "alert", "notice", "social")]
+        said = [x in ASIDE_NAMES or x.startswith(ASIDE_BEGINNINGS) for x in parts]
+        if any(said) and (all(y or x in SHAPE_NAMES or len(x) == 1 for x, y in zip(parts, said)) or not (in_content or name in SENTENCES)):
+            return True
+    return False
+
+
+def marked_side(name: str, attributes: str, in_content: bool, in_sentence: bool) -> str:
+    part_of_sentence = in_content and in_sentence and name not in BLOCK
+    if (name in ASIDE_TAGS and not (name == "label" and part_of_sentence)) or (name == "header" and not in_content):
         return "aside"
     said = "content" if name in CONTENT_TAGS else ""
     if attributes and not (name in HEADINGS or name in ("html", "body")):
@@ -84,12 +114,9 @@ def marked_side(name: str, attributes: str, in_content: bool) -> str:
             if key == "role" and value.lower() in ASIDE_ROLES:
                 return "aside"
             if key in ("class", "id"):
-                parts = {x.lower() for x in NAME_PARTS.findall(value)}
-                if in_content:
-                    parts -= {"header", "meta", "tags", "legal", "alert", "notice", "social"} if parts & CONTENT_NAMES else set()
-                if parts & ASIDE_NAMES or any(p.startswith(ASIDE_BEGINNINGS) for p in parts):
+                if not part_of_sentence and names_aside(value, name, in_content):
                     return "aside"
-                if parts & CONTENT_NAMES:
+                if CONTENT_NAMES.intersection(x.lower() for x in NAME_PARTS.findall(value)):
                     said = "content"
             if key == "role" and value.lower() in ("main", "article"):
                 said = "content"
@@ -135,15 +162,16 @@ class Tags:
 def runs_of(page: str) -> list[Run]:
     """The page as tags and texts in order. Scripts, styles and the like are tags without words."""
     out: list[Run] = []
-    # open elements: name, the side that holds within, whether content or a strict aside encloses it
-    stack: list[tuple[str, str, bool, bool]] = []
+    # open elements: name, the side that holds within, whether content, a strict aside, or a block of sentences encloses it
+    stack: list[tuple[str, str, bool, bool, bool]] = []
     opened: dict[str, int] = {}
     gold, at, size = False, 0, len(page)
-    side, within, strict = "", False, False
+    side, within, strict, sentence = "", False, False, False
+    heading = 0  # where the last heading begins
 
     def settle() -> None:
-        nonlocal side, within, strict
-        _, side, within, strict = stack[-1] if stack else ("", "", False, False)
+        nonlocal side, within, strict, sentence
+        _, side, within, strict, sentence = stack[-1] if stack else ("", "", False, False, False)
 
     def close(keep: int) -> None:
         for name, *_ in stack[keep:]:
@@ -153,7 +181,7 @@ def runs_of(page: str) -> list[Run]:
     def text(piece: str) -> None:
         if piece:
             words = len(piece.split())
-            out.append(Run("word:" + side, words, piece, False, side in LEFT_OUT, gold))
+            out.append(Run("word:" + side + ("/link" if opened.get("a") else ""), words, piece, False, side in LEFT_OUT, gold))
 
     last, tags = page.rfind(">"), Tags(page)
     while at < size:
@@ -178,19 +206,30 @@ def runs_of(page: str) -> list[Run]:
             # an end tag without a beginning ends nothing, and none but its own ends an article
             for i in range(len(stack) - 1, -1, -1) if opened.get(name) else ():
                 if stack[i][0] == name:
+                    if before == stack[i][1] == "content" != (stack[i - 1][1] if i else ""):
+                        before = "whole"
                     close(i)
                     break
                 if stack[i][0] in CONTENT_TAGS and name not in ("body", "html"):
                     break
             settle()
             out.append(Run(f"/{name}:{before}", 0, "", name in BLOCK, before in LEFT_OUT, gold))
+            if name in HEADINGS and stack and side not in LEFT_OUT:
+                said = " ".join(entities.unescape("".join(r.text for r in out[heading:])).split())
+                if said and len(said) < 200 and COMMENTS.fullmatch(said):
+                    own = "inset" if within else "aside"
+                    stack[-1] = (stack[-1][0], own, within, True, sentence)
+                    for r in out[heading:]:
+                        r.aside, r.key = True, r.key.partition(":")[0] + ":" + own
+                    settle()
             continue
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
             close(len(stack) - 1)
             settle()
-        own = side_of(name, attributes, within)
+        own = side_of(name, attributes, within, sentence)
         if own == "content" and side in LEFT_OUT and (strict or name not in CONTENT_TAGS):
             own = side
+        whole = own == "content" != side  # content begins with this element
         side = own or side
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
@@ -199,11 +238,19 @@ def runs_of(page: str) -> list[Run]:
             out.append(Run(f"raw:{side}", 0, " " if name not in OPAQUE else "", False, True, gold))
             settle()
             continue
-        out.append(Run(f"{name}:{side}", 0, " " if name == "br" else "", name in BLOCK, side in LEFT_OUT, gold))
+        if name in HEADINGS:
+            heading = len(out)
+        out.append(Run(f"{name}:{'whole' if whole else side}", 0, " " if name == "br" else "", name in BLOCK, side in LEFT_OUT, gold))
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, side, within or own == "content", strict or (own in LEFT_OUT and name in ASIDE_TAGS)))
+            stack.append((name, side, within or own == "content", strict or (own in LEFT_OUT and name in ASIDE_TAGS), name in SENTENCES or (sentence and name not in BLOCK)))
             opened[name] = opened.get(name, 0) + 1
         settle()
+    # where a page marks its content, what no mark encloses lies beyond it
+    inside = sum(r.words for r in out if r.key.startswith("word:content"))
+    plain = [r for r in out if r.key.partition(":")[2] in ("", "/link")]
+    if inside and 4 * inside >= sum(r.words for r in plain):
+        for r in plain:
+            r.key = r.key.replace(":", ":beyond", 1)
     return out
 
 
@@ -322,6 +369,8 @@ def labelled_pages() -> list[str]:
         f"<section id='comments'><h2>Comments</h2><div class='comment'><p>{say} I do not agree at all. {say}</p></div><div class='comment'><p>{say}</p></div></section>",
         f"<div class='sidebar'><p>{say} {say}</p></div><div class='footer'><p>Imprint and terms of use</p></div>",
         f"<div><ul>{menu}</ul></div><div><a href='/p'>Print</a> <a href='/m'>Mail</a></div>",
+        f"<div><h3>2 Comments</h3><div><b>Bob</b><p>{say}</p></div><div><b>Eve</b><p>I do not agree at all. {say}</p><a href='/r'>Reply</a></div></div>",
+        f"<div class='x7'><div class='x8'><p>{say} {say}</p></div><div class='x8'><p>I do not agree. {say}</p></div></div>",
     ]
     frames = [
         ("<article>", "</article>"),
@@ -337,13 +386,18 @@ def labelled_pages() -> list[str]:
         f"<p>{say}",
         f"<header><h1>Bridge</h1><p class='byline'>By Ann Smith</p></header><p>{say}</p><aside>Read more</aside><p>{say}</p><div class='share'>Share this</div><p>The end.</p>",
         f"<h2>Repair</h2><p>{say}</p><div class='ad'>{say}</div><p>{say} {say}</p><blockquote>{say}</blockquote><p>{say}</p>",
+        f"<h1>Bridge</h1><p>Yes.</p><p>{say}</p><table><tr><th>Year</th><th>Cost</th></tr><tr><td>2020</td><td>12</td></tr><tr><td>2021</td><td>14</td></tr></table><p>{say}</p>",
+        f"<h1>Bridge</h1><p>In short: no.</p><figure><img src='b.png'><figcaption>The bridge in May</figcaption></figure><p>{say}</p><h2>Costs</h2><p>{say}</p><pre>a b</pre><p>End.</p>",
     ]
     out = []
     for i, head in enumerate(heads):
         for j, tail in enumerate(tails):
             for k, (before, after) in enumerate(frames):
                 # parts that are left out stand within articles only where markup tells an article
-                body = bodies[(i + j + k) % (len(bodies) if k < 4 else 3)]
+                turn = (i + j + k) % (len(bodies) if k < 4 else 5)
+                body = bodies[turn if turn < 3 or k < 4 else turn + 2]
+                if k >= 4 and j == len(tails) - 1:
+                    continue  # without any mark, comments look like an article
                 out.append(f"<html><head><title>Bridge</title></head><body>{head}{before}<!--[-->{body}<!--]-->{after}{tail}</body></html>")
     return out
 
