@@ -7,9 +7,10 @@ numpy. Training takes at most ``max_train`` labelled documents (by a hash of the
 single task reads; scoring runs over all documents and looks up each distinct word of a slice once.
 
 Cases: null or empty text: the score of the bias alone; no labelled training document or only one
-class: every score is that class's share (0.5 without any); ties at 0.5: predicted 1; repeated
-rows: each gets its own result; labels that occur twice for a document: each counts; extra columns:
-ignored.
+class: every score is that class's share (0.5 without any); ties at 0.5: predicted 1; texts of any
+length: whole, by slices of several texts (training texts add up to at most ``max_bytes``, whole ones
+in order of the hash); repeated rows: each gets its own result; labels that occur twice for a document:
+each counts; empty tables: no rows; extra columns, whatever their names: ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import Words, code_points, framed, hash_forms, mix64, prepare, text_slices
 
@@ -145,8 +147,9 @@ def score_texts(model: SubwordModel, texts: pa.Array) -> np.ndarray:
     return softmax(hidden @ model.out + model.bias)[:, 1]
 
 
-def fit_classifier(labelled: DataFrame, *, max_train: int = 6000) -> SubwordModel:
-    """Train on at most max_train rows of labelled (text, label); one task does it, so that texts don't come to the driver."""
+def fit_classifier(labelled: DataFrame) -> SubwordModel:
+    """Train on all rows of labelled (text, label), which the caller bounded; one task does it, so that
+    texts don't come to the driver."""
     prepare(labelled.sparkSession)
 
     def train(parts):
@@ -179,13 +182,24 @@ def classify(docs: DataFrame, model: SubwordModel, keep: list[str]) -> DataFrame
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(score, f"{kinds}, score double, predicted int")
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, max_train: int = 6000) -> DataFrame:
+def bounded_sample(docs: DataFrame, labels: DataFrame, max_train: int, max_bytes: int) -> DataFrame:
+    """doc_id, label of the first max_train labelled rows by a hash of the id, as far as their texts add
+    up to at most max_bytes. Only ids, labels and sizes take part in the choice."""
+    chosen = labels.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "label").limit(max_train)
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+    sizes = sizes.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    # at most max_train rows
+    order = Window.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return chosen.join(sizes, "doc_id").withColumn("n", F.sum("n").over(order)).where(F.col("n") <= max_bytes).select("doc_id", "label")
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, *, max_train: int = 6000, max_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, by labels.quality of those that aren't held out."""
     from .langid import held_out
 
     marked = docs.select("doc_id", "text", held_out(3, 1).alias("held_out"))
-    # ids and labels only, the first max_train by a hash: a bounded sample of labelled rows
-    chosen = labels.where(~held_out(3, 1) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-    chosen = chosen.select("doc_id", F.col("quality").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "label").limit(max_train)
-    train = marked.where(~F.col("held_out")).join(F.broadcast(chosen), "doc_id")
-    return classify(marked, fit_classifier(train, max_train=max_train), ["doc_id", "held_out"])
+    known = labels.where(~held_out(3, 1) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label"))
+    learned = marked.where(~F.col("held_out"))
+    # at most max_train rows
+    train = learned.join(F.broadcast(bounded_sample(learned, known, max_train, max_bytes)), "doc_id")
+    return classify(marked, fit_classifier(train), ["doc_id", "held_out"])
