@@ -1,8 +1,8 @@
 """Packing of documents into token sequences: first-fit decreasing with a tournament tree.
 
 Every document becomes the token ids of its text and an end id. Ids are cut into full windows
-and a rest; windows that fill a sequence need no search. Documents fall into randomised groups by
-a hash of their id, and each group packs its rests independently by first-fit decreasing: a
+and a rest; windows that fill a sequence need no search. Documents fall into randomised groups by a hash
+of their id and number of tokens, and each group packs its pieces independently by first-fit decreasing: a
 tournament tree over bin capacities finds the first bin with room in O(log bins). The number of
 groups grows with the number of documents, so a group stays small at any scale; only piece
 descriptors (no text, no ids) are shuffled.
@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,15 +126,15 @@ def pack_pieces(pieces: DataFrame, groups: int, *, window: int = 2048, seed: int
     """Add sequence_id and offset; the upper part of a sequence_id is its group."""
 
     def pack(table: pa.Table) -> pa.Table:
-        length, crc = table["length"].to_numpy(), table["ids_crc32"].to_numpy()
-        doc = table["doc_id"].to_pandas().fillna(-1).to_numpy(np.int64)
-        order = np.lexsort((crc, table["start"].to_numpy(), doc, -length))
+        length = table["length"].to_numpy()
+        order = pc.sort_indices(table, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]).to_numpy()
         bins, offset = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         bins[order], offset[order] = first_fit_decreasing(length[order], window)
         sequence = (table["part"].to_numpy() << 32) + bins
         return table.drop_columns(["part"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(groups)).cast("long")
+    # the number of tokens tells apart documents that share an id, or have none
+    part = F.pmod(F.xxhash64("doc_id", "doc_tokens", F.lit(seed)), F.lit(groups)).cast("long")
     return pieces.withColumn("part", part).groupBy("part").applyInArrow(pack, f"{PIECES}, sequence_id long, offset long")
 
 

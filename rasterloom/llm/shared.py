@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,27 +9,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.session import ship
-
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
-LOCAL_STORE = "/tmp/checkpoints"
+from ..plans.session import ship, store_path
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Send the package to the executors, and bound what one Arrow batch may hold, so that long
-    texts don't add up in a Python worker."""
+    texts don't add up in a Python worker. The two settings stay with the session: other queries of it
+    get smaller batches, too, which changes no result."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     return spark
 
 
-def store_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which the driver and all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or LOCAL_STORE
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back."""
     path = store_path(df.sparkSession, name)
