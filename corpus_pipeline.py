@@ -21,23 +21,38 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what passes the base rule and lies within its language's perplexity band."""
+    """Keep what passes the base rule and lies within its language's perplexity band.
+
+    Null and empty texts go (they have no words); a null language is one of its own, ``und``; a language
+    without reference texts has no band; long texts are judged whole; a text at a band's edge stays;
+    repeated rows stay or go alike, each row whole with whatever columns it has; no rows: none."""
     return apply_quality_rules(carried(docs), [ROW]).where("kept").select(f"{ROW}.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a recognisable language."""
+    """Keep documents with a recognisable language.
+
+    Null texts and texts without a letter go; of languages alike in score the first by name counts;
+    labels may be null, and without any label nothing stays; long texts are read whole; repeated rows
+    stay or go alike, each row whole with whatever columns it has; no rows: none."""
     seen = identify_languages(carried(docs), [ROW])
     return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(f"{ROW}.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near-duplicates."""
+    """Keep one document of each class of near-duplicates, that of the least doc_id.
+
+    A null text is near to none but rows of the same id; of repeated rows one stays; a null id comes
+    after all others; long texts are compared whole; rows stay whole with whatever columns they have;
+    no rows: none."""
     return without_near_duplicates(docs).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, placed in token sequences."""
+    """Pieces of documents, placed in token sequences.
+
+    A null or empty text is one end id; long texts make many pieces; repeated rows are packed as often
+    as they come; ties go by id, start and checksum; other columns are left behind; no rows: none."""
     return pack_documents(docs, token_file(BYTE_BPE))
 
 
