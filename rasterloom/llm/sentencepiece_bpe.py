@@ -12,8 +12,8 @@ blanks; equal parts are encoded once for each worker (a bounded cache).
 
 Characters without a piece become byte pieces. Cases: null or empty text: the end id alone;
 texts of any length: linear in the number of parts; a part without blanks of any length: linear
-but for steps back; repeated rows: each gets its own result; empty table: no rows; extra columns:
-ignored.
+but for steps back; ties: merges of equal rank go from the left, as in the library; repeated rows:
+each gets its own result; empty table: no rows; extra columns, whatever their names: ignored.
 """
 
 from __future__ import annotations
