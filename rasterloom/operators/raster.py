@@ -1,7 +1,7 @@
 """Pixels of tiles: encoding, region reads, reduced levels, tile streams.
 
 A tile row is slide_id, level, x, y, w, h, payload: a baseline JPEG, or a byte that tells the coding and
-row-major samples of one byte and ``bands`` bands, raw or zlib-packed. Regions and reduced tiles are groups of a few neighbouring tiles, so a
+row-major samples of one or two bytes and ``bands`` bands, raw or zlib-packed. Regions and reduced tiles are groups of a few neighbouring tiles, so a
 group stays small however large a slide is.
 """
 
@@ -20,24 +20,27 @@ from ..functions.arithmetic import ceil_div, col, div
 from ..plans.session import ship
 from .joins import overlap_join
 
-#: First byte of a payload.
-RAW, PACKED = b"\x00", b"\x01"
+#: First byte of a payload: raw or packed samples of 8 bits, packed ones of 16 bits.
+RAW, PACKED, DEEP = b"\x00", b"\x01", b"\x02"
+SAMPLE = {8: np.uint8, 16: np.uint16}
 
 
 def encoded(samples: np.ndarray, *, packed: bool = True) -> bytes:
+    if samples.dtype == np.uint16:
+        return DEEP + zlib.compress(np.ascontiguousarray(samples, "<u2").tobytes(), 1)
     raw = np.ascontiguousarray(samples, np.uint8).tobytes()
     return PACKED + zlib.compress(raw, 1) if packed else RAW + raw
 
 
-def encode_tiles(df: DataFrame, pixels: str, *, packed: bool = True) -> DataFrame:
-    """The array column as payload bytes."""
+def encode_tiles(df: DataFrame, pixels: str, *, packed: bool = True, bits: int = 8) -> DataFrame:
+    """The array column as payload bytes, of samples of 8 or 16 bits."""
     ship(df.sparkSession)
     keep = [c for c in df.columns if c != pixels]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", payload binary"
 
     def encode(parts):
         for batch in parts:
-            payload = [encoded(np.asarray(x, np.uint8), packed=packed) for x in batch.column(len(keep)).to_pylist()]
+            payload = [encoded(np.asarray(x, SAMPLE[bits]), packed=packed) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(payload, pa.binary())], names=[*keep, "payload"])
 
     return df.select(*keep, pixels).mapInArrow(encode, kinds)
@@ -57,13 +60,14 @@ def decoded(payload: bytes, h: int, w: int, bands: int = 1) -> np.ndarray:
             raise ValueError(f"payload is {out.shape[1]} x {out.shape[0]}, {w} x {h} was expected")
         # grey and colour stand for each other: by repeating, and by the green band
         return out if out.shape[2] == bands else out.repeat(bands, 2) if out.shape[2] == 1 else out[:, :, 1:2]
-    raw = zlib.decompress(payload[1:]) if payload[:1] == PACKED else payload[1:]
-    if len(raw) != h * w * bands:
-        raise ValueError(f"payload has {len(raw)} samples, {h * w * bands} were expected")
-    return np.frombuffer(raw, np.uint8).reshape(h, w, bands)
+    raw = payload[1:] if payload[:1] == RAW else zlib.decompress(payload[1:])
+    samples = np.frombuffer(raw, "<u2" if payload[:1] == DEEP else np.uint8)
+    if len(samples) != h * w * bands:
+        raise ValueError(f"payload has {len(samples)} samples, {h * w * bands} were expected")
+    return samples.reshape(h, w, bands)
 
 
-def read_regions(tiles: DataFrame, regions: DataFrame, *, background: int = 255, bands: int = 1, bin_size: int = 256, owned: bool = False) -> DataFrame:
+def read_regions(tiles: DataFrame, regions: DataFrame, *, background: int = 255, bands: int = 1, bits: int = 8, bin_size: int = 256, owned: bool = False) -> DataFrame:
     """Pixels of each region (slide_id, region_id, rx0, ry0, rx1, ry1): the parts of tiles that lie in
     it, pasted on the background. With ``owned``, only the part own_x0 .. own_y1 of each tile counts,
     so where tiles overlap each pixel has one source.
@@ -81,7 +85,7 @@ def read_regions(tiles: DataFrame, regions: DataFrame, *, background: int = 255,
         rows = table.to_pylist()
         r = rows[0]
         w, h = r["rx1"] - r["rx0"], r["ry1"] - r["ry0"]
-        out = np.full((h, w, bands), background, np.uint8)
+        out = np.full((h, w, bands), background, SAMPLE[bits])
         for t in sorted((t for t in rows if t["payload"] is not None), key=lambda t: (t["y"], t["x"])):
             x0, x1 = max(r["rx0"], t["own_x0"]), min(r["rx1"], t["own_x1"])
             y0, y1 = max(r["ry0"], t["own_y0"]), min(r["ry1"], t["own_y1"])
@@ -94,7 +98,7 @@ def read_regions(tiles: DataFrame, regions: DataFrame, *, background: int = 255,
     return cells.unionByName(empty, allowMissingColumns=True).groupBy("region_id").applyInArrow(paste, kind)
 
 
-def reduce_level(tiles: DataFrame, *, tile: int, factor: int = 2, bands: int = 1, background: int = 255) -> DataFrame:
+def reduce_level(tiles: DataFrame, *, tile: int, factor: int = 2, bands: int = 1, bits: int = 8, background: int = 255) -> DataFrame:
     """The next level: every factor x factor pixels become their mean, rounded half to even.
 
     A reduced tile comes from factor x factor tiles of the grid, so one group by the reduced tile's
@@ -116,7 +120,7 @@ def reduce_level(tiles: DataFrame, *, tile: int, factor: int = 2, bands: int = 1
         for t in rows:
             big[t["y"] - y0 : t["y"] - y0 + t["h"], t["x"] - x0 : t["x"] - x0 + t["w"]] = decoded(t["payload"], t["h"], t["w"], bands)
         folded = lambda a: a.reshape(size[0], factor, size[1], factor, -1).sum((1, 3))
-        mean = np.rint(folded(big * weight[:, :, None]) / folded(weight)).astype(np.uint8)
+        mean = np.rint(folded(big * weight[:, :, None]) / folded(weight)).astype(SAMPLE[bits])
         out = {"slide_id": r["slide_id"], "level": r["level"] + 1, "x": r["px"], "y": r["py"], "w": size[1], "h": size[0]}
         return pa.table({**{k: pa.array([v], pa.int64()) for k, v in out.items()}, "payload": pa.array([encoded(mean)], pa.binary())})
 

@@ -132,6 +132,15 @@ def test_display_curve_refuses_nonsense(spark):
     assert got[0] == [128, 128] and got[1] == [0, 128]
 
 
+def test_deep_samples(spark):
+    tiles = encode_tiles(spark.createDataFrame([(1, 0, 0, 0, 2, 2, [0, 1000, 4095, 65535])], "slide_id long, level long, x long, y long, w long, h long, px array<long>"), "px", bits=16)
+    region = spark.createDataFrame([(1, 5, 1, 0, 3, 2)], "slide_id long, region_id long, rx0 long, ry0 long, rx1 long, ry1 long")
+    r = read_regions(tiles, region, background=7, bits=16).first()
+    assert decoded(bytes(r["pixels"]), 2, 2).ravel().tolist() == [1000, 7, 65535, 7]
+    small = reduce_level(tiles, tile=2, bits=16).first()
+    assert decoded(bytes(small["payload"]), 1, 1).ravel().tolist() == [17658]
+
+
 def test_levels_of_a_slide_stay_apart(spark):
     tiles = encode_tiles(spark.createDataFrame([(1, level, 0, 0, 2, 2, [10 * level] * 4) for level in (1, 2)], "slide_id long, level long, x long, y long, w long, h long, px array<long>"), "px")
     got = rows(reduce_level(tiles, tile=2).select("level", "payload"), "level")

@@ -15,6 +15,7 @@ from rasterloom.sources import samples, tiff
 from rasterloom.sources.sinks import acceptance_json
 from rasterloom.sources.slide_pages import write_svs
 from rasterloom.streaming.protocol import CONVERT, INSPECT, Slot, Throttle, Units, Worker, replayed, spark_worker, step
+from tests.test_jpeg import picture
 from tests.test_slide_pages import slide
 
 
@@ -122,6 +123,22 @@ def test_conversion_of_a_folder(spark, tmp_path, output):
     assert before[0, 0] == after[0, 0]  # complete tiles as they were
 
 
+def test_conversion_of_containers(spark, tmp_path, monkeypatch):
+    """KFB and .image files whose tiles have pixels."""
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    monkeypatch.setattr(samples, "jpeg", lambda w, h, comps=3, **more: jpeg_codec.encode(picture(h, w, comps), 95))
+    samples.write_kfb(str(folder / "a.kfb"))
+    samples.write_image(str(folder / "b.image"))
+    rows = convert_slides(spark, str(folder), str(out)).collect()
+    assert [(r["status"], os.path.basename(r["output_path"])) for r in rows] == [("converted", "a.ome.tif"), ("converted", "b.ome.tif")]
+    for r, sizes in zip(rows, ([(24, 18), (12, 9)], [(512, 512), (256, 256)])):
+        assert [(p[3], p[4]) for p in tiff.rows_of(r["output_path"], "pages")] == sizes
+    got = {(r[1], r[2]): r[9] for r in tiff.rows_of(rows[0]["output_path"], "segments")}
+    assert got[0, 0] == jpeg_codec.encode(picture(16, 16, 3), 95)
+    assert abs(jpeg_codec.decode(got[0, 1])[:16, :8].astype(int) - picture(16, 8, 3)).mean() < 4
+
+
 def test_dump_and_export(spark, tmp_path):
     samples.write_kfb(str(tmp_path / "b.kfb"))
     summary = json.loads(dump_container(spark, str(tmp_path / "b.kfb"), str(tmp_path / "out")))
