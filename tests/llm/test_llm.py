@@ -534,20 +534,6 @@ def test_hash_array_finds_keys():
 # ---------------------------------------------------------------- nearest neighbours
 
 
-def test_pruned_models_keep_the_probabilities_of_the_whole(spark, docs):
-    whole = perplexity_rules.fit_rules(docs)
-    part = perplexity_rules.fit_rules(docs, max_ngrams=20_000)
-    kept = {k: len(m.tables[-1].hashes) for k, m in part.models.items()}
-    assert set(kept) == set(whole.models) and 0 < min(kept.values()) and sum(kept.values()) <= 20_000
-    for name, m in part.models.items():
-        for mine, full in zip(m.tables, whole.models[name].tables):
-            at = np.searchsorted(full.hashes, mine.hashes)
-            assert (full.hashes[at] == mine.hashes).all() and np.allclose(mine.values[0], full.values[0][at], atol=1e-4)
-        context = perplexity_rules.ngram_keys(pa.array(["and the people "]))[0][-1] >> 12 << 12
-        assert abs(np.exp(m.score(context + np.arange(4096))).sum() - 1) < 1e-3
-    assert perplexity_rules.least_counts({0: {5000: 10}, 1: {1: 7, 2: 3}}, 8) == {0: 5001, 1: 2}  # too many of one class
-
-
 def neighbours_by_hand(rows, q, k):
     """The k best of distinct usable rows for the query row q = (id, vector)."""
     best = sorted({(-float(np.dot(q[1], v)), i) for i, v in rows if i != q[0]})[:k]
