@@ -260,7 +260,7 @@ def gram_log_probabilities(docs: DataFrame) -> DataFrame:
     shorter = lambda n: [F.col("k"), F.col("hi").bitwiseAND(F.lit(CODE_MASK)).alias("hi") if n == 4 else F.lit(0).cast("long").alias("hi"), mask(min(n, 3)).alias("lo")]
     for n in range(ORDER - 1, 0, -1):  # lower orders count the distinct symbols that stand before
         level = levels[n + 1].select(*shorter(n), "c").groupBy("k", "hi", "lo").agg(F.count_if(F.col("c") > 0).alias("c"))
-        levels[n] = stored(level, "ngrams") if n == ORDER - 1 else level
+        levels[n] = stored(level, "ngrams")  # each step is a small plan of its own, which the driver soon forgets
     below = None
     for n in range(1, ORDER + 1):
         level = levels[n]
@@ -282,9 +282,9 @@ def gram_log_probabilities(docs: DataFrame) -> DataFrame:
             key = [x.alias(f"b_{c}") for x, c in zip(shorter(n - 1), ("k", "hi", "lo"))]
             made = made.select("*", *key[1:]).join(below, ["k", "b_hi", "b_lo"])
             p = F.col("own") + F.col("gamma") * F.col("b_p")
-        made = made.select("k", "hi", "lo", p.alias("p"))
+        made = stored(made.select("k", "hi", "lo", p.alias("p")), "chances")
         below = made.select("k", F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), F.col("p").alias("b_p"))
-    return stored(made.select("k", "hi", "lo", F.log("p").cast("float").alias("logp")), "logps")
+    return made.select("k", "hi", "lo", F.log("p").cast("float").alias("logp"))
 
 
 # ---------------------------------------------------------------- scores
@@ -322,12 +322,22 @@ def score_documents(docs: DataFrame, keep: list[str], *, broadcast_ngrams: int =
     return sharded_scores(wide, grams, keep, kinds, max(1, -(-n // shard_ngrams)), chunk_bytes)
 
 
+def hashed_grams(grams: DataFrame) -> DataFrame:
+    """key, logp of each n-gram."""
+
+    def hashed(parts):
+        for batch in parts:
+            k, hi, lo = (batch.column(i).to_numpy() for i in range(3))
+            yield batches(("key", numbers_of_grams(hi, lo, k).view(np.int64)), ("logp", batch.column(3)))
+
+    return grams.select("k", "hi", "lo", "logp").mapInArrow(hashed, "key long, logp float")
+
+
 def whole_scores(wide: DataFrame, grams: DataFrame, keep: list[str], kinds) -> DataFrame:
     """With one array for all n-grams, whose number the caller checked."""
-    t = grams.toArrow()
-    k, hi, lo, logp = (t[x].to_numpy() for x in ("k", "hi", "lo", "logp"))
-    table = HashArray(numbers_of_grams(hi, lo, k), logp)
-    shared = wide.sparkSession.sparkContext.broadcast(table)
+    t = hashed_grams(grams).toArrow()
+    shared = wide.sparkSession.sparkContext.broadcast(HashArray(t["key"].to_numpy().view(np.uint64), t["logp"].to_numpy()))
+    del t
 
     def score(parts):
         log_p = looked_up(shared.value)
@@ -353,19 +363,17 @@ def sharded_scores(wide: DataFrame, grams: DataFrame, keep: list[str], kinds, sh
     keyed = wide.withColumn("__chunk", F.pmod(F.xxhash64(text_column, *(F.col(c) for c in keep if c != ROW), F.col("__k"), *([F.col(f"{ROW}.doc_id")] if ROW in keep else [])), F.lit(chunks)))
     keyed = keyed.repartition(min(chunks, 1 << 14), "__chunk")
 
-    def deal(batch_list):
-        for batch in batch_list:
-            k, hi, lo = (batch.column(i).to_numpy() for i in range(3))
-            key = numbers_of_grams(hi, lo, k)
-            shard = np.searchsorted(cuts, key, side="right")
-            yield batches(("shard", shard.astype(np.int64)), ("key", key.view(np.int64)), ("logp", batch.column(3)))
+    def deal(parts_of_grams):
+        for batch in parts_of_grams:
+            shard = np.searchsorted(cuts, batch.column(0).to_numpy().view(np.uint64), side="right")
+            yield batches(("shard", shard.astype(np.int64)), ("key", batch.column(0)), ("logp", batch.column(1)))
 
     def pack(t: pa.Table) -> pa.Table:
         key, logp = t["key"].to_numpy().view(np.uint64), t["logp"].to_numpy()
         order = np.argsort(key)
         return pa.table({"shard": t["shard"].slice(0, 1), "keys": pa.array([key[order].astype("<u8").tobytes()], pa.binary()), "logps": pa.array([logp[order].astype("<f4").tobytes()], pa.binary())})
 
-    arrays = grams.select("k", "hi", "lo", "logp").mapInArrow(deal, "shard long, key long, logp float").groupBy("shard").applyInArrow(pack, "shard long, keys binary, logps binary")
+    arrays = hashed_grams(grams).mapInArrow(deal, "shard long, key long, logp float").groupBy("shard").applyInArrow(pack, "shard long, keys binary, logps binary")
     arrays = stored(arrays, "shards").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def texts_of(t: pa.Table) -> tuple[pa.Array, np.ndarray]:

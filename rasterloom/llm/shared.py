@@ -14,11 +14,12 @@ from ..plans.session import ship, store_path
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Send the package to the executors, and bound what one Arrow batch may hold, so that long
-    texts don't add up in a Python worker. The two settings stay with the session: other queries of it
-    get smaller batches, too, which changes no result."""
+    texts don't add up in a Python worker, and how much text of plans the driver keeps. The settings stay
+    with the session: other queries of it get smaller batches, too, which changes no result."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000")
     return spark
 
 
