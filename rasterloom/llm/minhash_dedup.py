@@ -279,11 +279,11 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         # large star: neighbours above a node move to its least neighbour
         sides = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
+        large = salted_join(sides.where("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stored(large.where("a != b").distinct(), name)
         # small star: neighbours below a node, and the node, move to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = salted_join(large, low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         both = stored(small.where("a != b").distinct(), name)
         state = both.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if known == (state["n"], state["h"]):
@@ -303,19 +303,34 @@ def bloom_words(nodes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def shared_buckets(banded: DataFrame) -> DataFrame:
-    """bucket, node, m (nodes of the bucket) of buckets with several nodes. Buckets fall into CELLS
-    classes; those of a class with many rows are salted, so no bucket comes to one task."""
-    cell = F.pmod("bucket", F.lit(CELLS)).alias("cell")
+def hot_cells(rows: DataFrame, key: str) -> DataFrame:
+    """cell, salts of the classes of keys that have many rows; keys fall into CELLS classes, so at most as
+    many rows are broadcast."""
     total = F.sum("n").over(Window.partitionBy())
-    hot = banded.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).withColumn("room", F.greatest(F.lit(HOT_ROWS), 4 * total / CELLS, total / 8192))
-    # at most CELLS rows
-    hot = F.broadcast(stored(hot.where("n > room").select("cell", F.ceil(F.col("n") / F.col("room")).cast("int").alias("salts")), "salts"))
+    room = F.greatest(F.lit(HOT_ROWS), 4 * total / CELLS, total / 8192)
+    counts = rows.groupBy(cell_of(key)).agg(F.count(F.lit(1)).alias("n")).withColumn("room", room)
+    return F.broadcast(counts.where("n > room").select("cell", F.ceil(F.col("n") / F.col("room")).cast("int").alias("salts")))
+
+
+def cell_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(CELLS)).alias("cell")
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, hot: DataFrame | None = None) -> DataFrame:
+    """Rows with what table, which has one row for a key, says of their key. Rows of a frequent key are
+    dealt by column ``spread`` over as many tasks as their number asks for."""
+    hot = hot_cells(rows, key) if hot is None else hot
     salts = F.coalesce("salts", F.lit(1))
-    counts = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "m", cell).join(hot, "cell", "left")
-    counts = counts.select("bucket", "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    rows = banded.select("bucket", "node", cell).join(hot, "cell", "left").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
-    return rows.join(counts, ["bucket", "salt"]).select("bucket", "node", "m")
+    left = rows.withColumn("cell", cell_of(key)).join(hot, "cell", "left").withColumn("salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("cell", "salts")
+    right = table.withColumn("cell", cell_of(key)).join(hot, "cell", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("cell", "salts")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
+def shared_buckets(banded: DataFrame) -> DataFrame:
+    """bucket, node, m (nodes of the bucket) of buckets with several nodes; no bucket comes to one task."""
+    hot = F.broadcast(stored(hot_cells(banded, "bucket"), "salts"))
+    counts = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    return salted_join(banded, counts, "bucket", "node", hot).select("bucket", "node", "m")
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -332,7 +347,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 9,
     """doc_id, class_id (the least doc_id of all that are near, through others if need be), copy_of
     (the least doc_id with the same text), class_size, of every row of docs."""
     named = node_classes(docs, threshold=threshold, bands=bands, rows=rows)
-    return docs.select("doc_id", node_key().alias("node")).join(named, "node").select("doc_id", "class_id", "copy_of", "class_size")
+    rows = docs.select("doc_id", node_key().alias("node"))
+    return salted_join(rows, named, "node", "doc_id").select("doc_id", "class_id", "copy_of", "class_size")
 
 
 def without_near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 9, rows: int = 3) -> DataFrame:
@@ -462,5 +478,5 @@ def node_classes(docs: DataFrame, *, threshold: float, bands: int, rows: int) ->
     # a root isn't among the contracted edges' first ends, so it names itself
     first = F.min(F.struct(F.col("copy_of").isNull(), "copy_of", "node"))
     classes = named.groupBy("root").agg(first.alias("first"), F.sum("n").alias("class_size"))
-    out = named.join(classes, "root")
+    out = salted_join(named, classes, "root", "node")
     return out.select("node", "copy_of", F.col("first.copy_of").alias("class_id"), "class_size", (F.col("node") == F.col("first.node")).alias("keeper"))
