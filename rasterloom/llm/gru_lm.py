@@ -373,7 +373,7 @@ def averaged(sums: DataFrame) -> list[tuple[int, np.ndarray]]:
     return [(r["block"], np.frombuffer(r["w"], "<f8") / r["n"]) for r in rows]
 
 
-def fit_network(train: DataFrame, v: Vocabulary, *, rounds: int = 2, hidden: int = 24, embed: int = 16, seed: int = 23) -> Recurrent:
+def fit_network(train: DataFrame, v: Vocabulary, *, rounds: int = 2, hidden: int = 32, embed: int = 24, seed: int = 23) -> Recurrent:
     """Train on every text once, one part of them in each round; weights are averaged over tasks."""
     net = new_network(v, hidden, embed, seed)
     sc = train.sparkSession.sparkContext
@@ -449,7 +449,7 @@ def score_chunk(model: Recurrent, texts: pa.Array, told: pa.Table) -> dict[str,
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, *, frequent: int = 2000) -> DataFrame:
+def score_documents(docs: DataFrame, *, frequent: int = 4000) -> DataFrame:
     """Count, train and score; learns from rows whose crc32(doc_id) mod 7 is not 2."""
     spark = prepare(docs.sparkSession)
     marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(7, 2).alias("held_out"))
