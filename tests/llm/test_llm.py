@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -523,6 +524,30 @@ def test_perplexity_of_frequent_far_and_unseen_symbols(spark, way):
     assert math.isclose(got[2001]["log_ppl"], math.log(0x110000), rel_tol=1e-5) and got[0]["kept"] and not got[2000]["kept"]
 
 
+def test_counting_holds_little_memory(spark):
+    """A task that counts millions of different n-grams stays below 200 MB of arrays, and loses none."""
+    batches = [pa.record_batch({"text": pa.array(["".join(map(chr, np.random.default_rng(i).integers(0x4E00, 0x9E00, 30_000))) for i in range(j, j + 25)]), "k": np.full(25, 7)}) for j in range(0, 75, 25)]
+    total, peak = 0, 0
+
+    class Frame:
+        """Stands for the table of documents, and runs the function that a task gets."""
+
+        def __getattr__(self, name):
+            return lambda *a, **b: self
+
+        def mapInArrow(self, f, schema):  # noqa: N802
+            nonlocal total, peak
+            tracemalloc.start()
+            for made in f(iter(batches)):
+                total += made.num_rows
+                peak = max(peak, tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            return self
+
+    perplexity_rules.count_grams(Frame())
+    assert total > 2_240_000 and peak < 200e6
+
+
 def test_hash_array_finds_keys():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
