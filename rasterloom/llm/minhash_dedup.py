@@ -20,8 +20,9 @@ nodes are packed into blocks of bounded number and weight, and blocks meet block
 nodes of two blocks by one matrix product over the shingles they share and emits only the links it
 verified. Blocks of nodes that are one component already don't meet each other. So every similar pair
 of a bucket ends in one component, and no bucket is capped. Joins by bucket are salted: a bucket of
-many nodes is dealt over as many tasks as its size asks for. Components come from alternating star
-contractions; edges, labels and texts stay distributed.
+many nodes is dealt over as many tasks as its size asks for. Components of up to ``FEW_EDGES`` edges are
+made in the driver's arrays at once; those of more come from alternating star contractions, whose
+edges and labels stay distributed. Both ways give the same labels.
 
 What is broadcast is of fixed size: the sketch, a Bloom filter that keeps texts without candidates
 from being shuffled (an exact join follows it), and a table of at most ``CELLS`` salts.
@@ -44,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import Words, hash_forms, mix64, prepare, stored, text_slices
+from .shared import Words, hash_forms, mix64, plain, prepare, stored, text_slices
 
 SHINGLE = 5
 SKETCH_BITS, SKETCH_ROWS, BLOCK = 18, 2, 4096
@@ -56,6 +57,8 @@ HOT_ROWS, CELLS = 512, 1 << 16
 BLOOM_BITS = 25
 #: Buckets of up to SMALL nodes are compared throughout; larger ones by blocks of about BLOCK_NODES.
 SMALL, BLOCK_NODES, BLOCK_WEIGHT = 9, 128, 1 << 18
+#: Edges (32 bytes each) that may come to the driver: each round of stars writes two tables, which cost more than few edges.
+FEW_EDGES = 400_000
 
 
 def node_key() -> Column:
@@ -272,8 +275,32 @@ def block_links(a: tuple, b: tuple, threshold: float) -> list[tuple[bytes, bytes
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
-    """node, root: the least node of each component of edges (a, b), by alternating large and small stars."""
+    """node, root: the least node of each component of edges (a, b) for every other node of it."""
     both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    if edges.count() > FEW_EDGES:
+        return star_components(both, name)
+    return edges.sparkSession.createDataFrame(array_components(both.toArrow()))
+
+
+def array_components(edges: pa.Table) -> pa.Table:
+    """node, root of the components of a table of distinct edges (a, b), a above b."""
+    a, b = (plain(edges[c]) for c in ("a", "b"))
+    names = pc.unique(pa.concat_arrays([a, b]))
+    names = names.take(pc.sort_indices(names))  # so that numbers are in the order of names
+    x, y = (pc.index_in(c, names).to_numpy(zero_copy_only=False).astype(np.int64) for c in (a, b))
+    root = np.arange(len(names))
+    while len(x):  # the greater of two roots hangs below the lesser one, then all paths are cut short
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return pa.table({"node": names.take(pa.array(moved)), "root": names.take(pa.array(root[moved]))})
+
+
+def star_components(both: DataFrame, name: str) -> DataFrame:
+    """The same by alternating large and small stars."""
     known = None
     while True:
         # large star: neighbours above a node move to its least neighbour

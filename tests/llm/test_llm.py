@@ -216,6 +216,20 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 10)}, 21: 20, 22: 20, 31: 30}
 
 
+def test_components_of_few_edges_write_no_tables(spark, monkeypatch):
+    """Few edges make no table of stars, and both ways name the same roots."""
+    rng = random.Random(5)
+    edges = [(bytes([rng.randrange(256), rng.randrange(3)]), bytes([rng.randrange(256), rng.randrange(3)])) for _ in range(350)] + [(b"\xff" * 3, b"\xff" * 3)]
+    df = spark.createDataFrame(edges, "a binary, b binary")
+    written, stored = [], minhash_dedup.stored
+    monkeypatch.setattr(minhash_dedup, "stored", lambda df, name: (written.append(name), stored(df, name))[1])
+    labels = lambda x: sorted((bytes(r["node"]), bytes(r["root"])) for r in x.collect())
+    got = labels(minhash_dedup.components(df))
+    assert not written and len(got) > 200 and labels(minhash_dedup.components(df.limit(0))) == []
+    monkeypatch.setattr(minhash_dedup, "FEW_EDGES", 0)
+    assert labels(minhash_dedup.components(df)) == got and written
+
+
 # ---------------------------------------------------------------- html
 
 
