@@ -41,7 +41,16 @@ WEIGHTS = 4096  # of the network, in one row
 
 
 def lower_words(texts: pa.Array) -> Words:
-    return Words(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    """Words with A-Z in lower case.
+
+    Distinct words are lowered, not texts: a cast slice of texts can have offsets that don't begin at 0, and
+    ascii_lower (pyarrow 23) keeps such offsets beside bytes that do, so that its texts are cut elsewhere."""
+    words = Words(texts)
+    lowered = pc.ascii_lower(words.forms).dictionary_encode()
+    code = lowered.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    words.codes, words.forms = code[words.codes], lowered.dictionary
+    words.blank = int(code[words.blank]) if words.blank >= 0 else -1
+    return words
 
 
 def kinds_of(forms: pa.Array) -> np.ndarray:
@@ -436,7 +445,8 @@ def score_chunk(model: Recurrent, texts: pa.Array, told: pa.Table) -> dict[str,
     kind = out - len(v.words)
     rare = kind >= 0
     c[~rare] = v.frequency[out[~rare]]
-    base = words.per_doc(np.log10((c + 1) / smooth)[words.codes]) + np.log10((ends + 1) / smooth)
+    # summed text by text, so that it doesn't hang on the texts beside it
+    base = np.bincount(words.doc, np.log10((c + 1) / smooth)[words.codes], len(words.counts)) + np.log10((ends + 1) / smooth)
     inner = np.zeros(len(forms))
     k = kind[rare]
     inner[rare] = np.log((c[rare] + 1) / (v.kind_total[k] + v.kind_forms[k] + 1.0))

@@ -340,6 +340,34 @@ def test_language_model(spark, docs):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_lower_words_of_slices():
+    """Texts that lie behind others in one array, with and without nulls before them."""
+    texts = ["Ab cD", "É x, THE the", "", "  Zz\x00 \x1cq", "A", None, "the End.", "b B"] * 3
+    for off in range(12):
+        for own in (texts[:off] + texts[off : off + 7], [x or "" for x in texts[: off + 7]]):
+            words = gru_lm.lower_words(pa.array(own, pa.string()).slice(off, 7))
+            want = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in tokens(x)] for x in own[off:]]
+            forms = words.forms.to_pylist()
+            assert [[forms[c] for c in words.codes[a : a + n]] for a, n in zip(words.starts, words.counts)] == want
+            assert len(set(forms)) == len(forms)
+
+
+def test_language_model_of_more_text_than_a_slice(spark):
+    """Texts of 1.5 MB, several in one batch and chunk, against a plain count; copies have the same base score."""
+    texts = [f"The {c} " + c.upper() * 1_500_000 + f" end of {c}." for c in "abcdef"] + ["a b the End", "a b the End", "of"]
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2][:8]
+    ids.append(next(i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2))
+    rows = {r["doc_id"]: r for r in gru_lm.score_documents(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").coalesce(1), frequent=4).collect()}
+    fold = [[w.lower() for w in tokens(t)] + [None] for t in texts]
+    counts = collections.Counter(w for x in fold[:-1] for w in x)
+    n, v = sum(counts.values()), len(counts)
+    for i, w in zip(ids, fold):
+        r = rows[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i == ids[-1], len(w), sum(counts[x] > 0 for x in w), n)
+        assert math.isclose(r["base_score"], math.fsum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-13)
+    assert rows[ids[6]]["base_score"] == rows[ids[7]]["base_score"]
+
+
 def test_state_is_carried_over_windows_and_backpropagation_is_right():
     v = gru_lm.Vocabulary(["a", "b"], np.ones(gru_lm.KINDS, np.int64), np.ones(gru_lm.KINDS, np.int64), np.arange(2 + gru_lm.KINDS + 1) + 1, 10, 5, np.arange(2 + gru_lm.KINDS + 1), 5, 5)
     net = gru_lm.new_network(v, 6, 5, 1)
