@@ -38,6 +38,8 @@ KINDS = 18
 CHUNK_BYTES = 16 << 20
 MOST_PARTITIONS = 1 << 14
 WEIGHTS = 4096  # of the network, in one row
+STATES = 1 << 16  # held at a time when texts are scored
+BLOCK = 1 << 14  # states whose outputs are told apart at a time
 
 
 def lower_words(texts: pa.Array) -> Words:
@@ -201,59 +203,117 @@ def new_network(v: Vocabulary, hidden: int, embed: int, seed: int) -> Network:
     )
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+def by_gates(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the update and reset gates, halved for ``opened``, and those of the new state."""
+    k = x.shape[1] // 3
+    return x[:, : 2 * k] * np.float32(0.5), np.ascontiguousarray(x[:, 2 * k :])
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def opened(half: np.ndarray) -> None:
+    """Logistic function of twice the values, in place."""
+    np.tanh(half, out=half)
+    half += np.float32(1)
+    half *= np.float32(0.5)
+
+
+def with_bias(state: np.ndarray) -> np.ndarray:
+    """Rows of states and a one, which meets the bias in one product with the weights."""
+    out = np.ones((len(state), state.shape[1] + 1), np.float32)
+    out[:, :-1] = state
+    return out
+
+
+def in_order(numbers: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of numbers below ``most``; small types are sorted by radix."""
+    return np.argsort(numbers.astype(np.uint16) if most <= 1 << 16 else numbers, kind="stable")
+
+
+class Outputs:
+    """Logits of classes and members for sorted states; arrays lie outputs by states, so that sums over outputs are sums of rows."""
+
+    def __init__(self, net: Network, v: Vocabulary, state: np.ndarray, target: np.ndarray):
+        slot = v.slot[target]
+        klass = slot // v.members
+        self.order = in_order(klass, v.classes)
+        self.state, self.klass, self.member = with_bias(state)[self.order], klass[self.order], (slot % v.members)[self.order]
+        self.ends = np.searchsorted(self.klass, np.arange(v.classes + 1))
+        self.used = np.flatnonzero(np.diff(self.ends))
+        self.class_w = np.concatenate([net.class_w, net.class_b[:, None]], 1)
+        self.member_w = np.concatenate([net.member_w, net.member_b[:, :, None]], 2)
+        self.place = np.arange(len(slot))
+
+    def classes(self) -> np.ndarray:
+        return self.class_w @ self.state.T
+
+    def members(self) -> np.ndarray:
+        z = np.empty((self.member_w.shape[1], len(self.state)), np.float32)
+        for c in self.used:
+            a, b = self.ends[c], self.ends[c + 1]
+            np.matmul(self.member_w[c], self.state[a:b].T, out=z[:, a:b])
+        return z
+
+
+def log_share(z: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax over each column of z, at one row for each; z is overwritten."""
+    z -= z.max(0)
+    own = z[row, place]
+    return own - np.log(np.exp(z, out=z).sum(0))
+
+
+def shared_out(z: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The softmax over each column times the column's share, in place."""
+    z -= z.max(0)
+    np.exp(z, out=z)
+    z *= share / z.sum(0)
+    return z
 
 
 def log_prob(net: Network, v: Vocabulary, state: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log p of each target output given the state before it."""
-    slot = v.slot[target]
-    klass, member = slot // v.members, slot % v.members
-    out = log_softmax(state @ net.class_w.T + net.class_b)[np.arange(len(state)), klass]
-    order = np.argsort(klass, kind="stable")
-    ends = np.searchsorted(klass[order], np.arange(v.classes + 1))
-    state, member, inner = state[order], member[order], np.empty(len(order), np.float32)
-    for c in np.flatnonzero(np.diff(ends)):
-        a, b = ends[c], ends[c + 1]
-        inner[a:b] = log_softmax(state[a:b] @ net.member_w[c].T + net.member_b[c])[np.arange(b - a), member[a:b]]
-    out[order] += inner
+    out = np.empty(len(state), np.float32)
+    for a in range(0, len(state), BLOCK):
+        o = Outputs(net, v, state[a : a + BLOCK], target[a : a + BLOCK])
+        out[a + o.order] = log_share(o.classes(), o.klass, o.place) + log_share(o.members(), o.member, o.place)
     return out
 
 
 def score_streams(net: Network, v: Vocabulary, outputs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, window: int = 64) -> np.ndarray:
     """Natural log-probability of each text; a text's outputs lie in outputs from its start on.
 
-    All texts advance together, longest first, so those still running are always the first ones."""
+    All texts advance together, longest first, so those still running are always the first ones. Where
+    many run, fewer steps are held at a time."""
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
     total = np.zeros(len(sizes))
     h = np.zeros((len(sizes), net.u.shape[0]), np.float32)
-    read = net.embed @ net.w + net.b
     k = net.u.shape[0]
+    read_gates, read_new, u_gates, u_new = *by_gates(net.embed @ net.w + net.b), *by_gates(net.u)
     longest = int(sizes[0]) if len(sizes) else 0
     alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(longest + 1), side="right")  # texts longer than t
-    for begin in range(0, longest, window):
-        steps = range(begin, min(begin + window, longest))
+    end = 0
+    while end < longest:
+        begin, end = end, min(end + max(1, min(window, STATES // int(alive[end]))), longest)
+        steps = range(begin, end)
         counts = [int(alive[t]) for t in steps]
         at = np.concatenate([starts[:n] + t for t, n in zip(steps, counts)])
         before = outputs[np.maximum(at - 1, 0)]
         if begin == 0:
             before[: counts[0]] = v.end
-        x = read[before]
+        gates, new = read_gates[before], read_new[before]
         states = np.empty((len(at), k), np.float32)
         place = 0
         for n in counts:
-            own, part = h[:n], x[place : place + n]
-            back = own @ net.u
-            gates = sigmoid(part[:, : 2 * k] + back[:, : 2 * k])
-            fresh = np.tanh(part[:, 2 * k :] + gates[:, k:] * back[:, 2 * k :])
-            h[:n] = fresh + gates[:, :k] * (own - fresh)
-            states[place : place + n] = h[:n]
+            own, gate, fresh = h[:n], gates[place : place + n], new[place : place + n]
+            gate += own @ u_gates
+            opened(gate)
+            back = own @ u_new
+            back *= gate[:, k:]
+            fresh += back
+            np.tanh(fresh, out=fresh)
+            own -= fresh
+            own *= gate[:, :k]
+            own += fresh
+            states[place : place + n] = own
             place += n
         owner = np.concatenate([np.arange(n) for n in counts])
         total += np.bincount(owner, weights=log_prob(net, v, states, outputs[at]), minlength=len(total))
@@ -283,69 +343,71 @@ def train_stream(net: Network, v: Vocabulary, stream: np.ndarray, *, lanes: int
         steps = len(src)
         rows = src.reshape(-1)
         read = net.embed[rows]
-        x = (read @ net.w + net.b).reshape(steps, lanes, 3 * k)
-        before, states, new, back_new = (np.empty((steps, lanes, k), np.float32) for _ in range(4))
-        gates = np.empty((steps, lanes, 2 * k), np.float32)
+        gates, new = (x[rows].reshape(steps, lanes, -1) for x in by_gates(net.embed @ net.w + net.b))
+        u_gates, u_new = by_gates(net.u)
+        before, states, back_new, d_new = (np.empty((steps, lanes, k), np.float32) for _ in range(4))
         fresh_text = src == v.end
+        fresh_any = fresh_text.any(1)
         for t in range(steps):
-            if fresh_text[t].any():
+            if fresh_any[t]:
                 h[fresh_text[t]] = 0  # a new text begins
             before[t] = h
-            back = h @ net.u
-            gates[t] = sigmoid(x[t, :, : 2 * k] + back[:, : 2 * k])
-            back_new[t] = back[:, 2 * k :]
-            new[t] = np.tanh(x[t, :, 2 * k :] + gates[t, :, k:] * back_new[t])
-            states[t] = new[t] + gates[t, :, :k] * (h - new[t])
-            h = states[t].copy()
+            gate, fresh, back = gates[t], new[t], back_new[t]
+            gate += h @ u_gates
+            opened(gate)
+            np.matmul(h, u_new, out=back)
+            fresh += gate[:, k:] * back
+            np.tanh(fresh, out=fresh)
+            h -= fresh
+            h *= gate[:, :k]
+            h += fresh
+            states[t] = h
         # outputs: what each state is told by its target, class by class
         s = states.reshape(-1, k)
-        slot = v.slot[dst.reshape(-1)]
-        klass, member = slot // v.members, slot % v.members
         share = learned[begin : begin + window].reshape(-1).astype(np.float32)
         share /= max(share.sum(), 1)
-        p = np.exp(log_softmax(s @ net.class_w.T + net.class_b))
-        p[np.arange(len(slot)), klass] -= 1
-        p *= share[:, None]
+        o = Outputs(net, v, s, dst.reshape(-1))
+        share = share[o.order]
+        p, q = shared_out(o.classes(), share), shared_out(o.members(), share)
+        p[o.klass, o.place] -= share
+        q[o.member, o.place] -= share
         grads = [np.zeros_like(y) for y in params]
         g = Network(*grads)
-        g.class_w[...], g.class_b[...] = p.T @ s, p.sum(0)
-        ds = p @ net.class_w
-        order = np.argsort(klass, kind="stable")
-        ends = np.searchsorted(klass[order], np.arange(v.classes + 1))
-        own_s, own_member, own_share, own_ds = s[order], member[order], share[order], np.empty((len(order), k), np.float32)
-        for c in np.flatnonzero(np.diff(ends)):
-            a, b = ends[c], ends[c + 1]
-            q = np.exp(log_softmax(own_s[a:b] @ net.member_w[c].T + net.member_b[c]))
-            q[np.arange(b - a), own_member[a:b]] -= 1
-            q *= own_share[a:b, None]
-            g.member_w[c], g.member_b[c] = q.T @ own_s[a:b], q.sum(0)
-            own_ds[a:b] = q @ net.member_w[c]
-        ds[order] += own_ds
+        both = p @ o.state
+        g.class_w[...], g.class_b[...] = both[:, :k], both[:, k]
+        own = p.T @ net.class_w
+        for c in o.used:
+            a, b = o.ends[c], o.ends[c + 1]
+            both = q[:, a:b] @ o.state[a:b]
+            g.member_w[c], g.member_b[c] = both[:, :k], both[:, k]
+            own[a:b] += q[:, a:b].T @ net.member_w[c]
+        ds = np.empty_like(own)
+        ds[o.order] = own
         ds = ds.reshape(steps, lanes, k)
         # how a change of the new state reaches each gate, for all steps at once
         z, r = gates[:, :, :k], gates[:, :, k:]
         to_new = (1 - z) * (1 - new**2)
         to_z = (before - new) * z * (1 - z)
         to_r = back_new * r * (1 - r)
-        dx, dback = np.empty_like(x), np.empty_like(x)
+        dback = np.empty((steps, lanes, 3 * k), np.float32)
         dh = np.zeros((lanes, k), np.float32)
         ut = np.ascontiguousarray(net.u.T)
         for t in range(steps - 1, -1, -1):
-            d = dh + ds[t]
-            d_new = d * to_new[t]
-            dback[t, :, :k] = d * to_z[t]
-            dback[t, :, k : 2 * k] = d_new * to_r[t]
-            dback[t, :, 2 * k :] = d_new * r[t]
-            dx[t, :, 2 * k :] = d_new
-            dh = d * z[t] + dback[t] @ ut
-            if fresh_text[t].any():
+            dh += ds[t]
+            np.multiply(dh, to_new[t], out=d_new[t])
+            np.multiply(dh, to_z[t], out=dback[t, :, :k])
+            np.multiply(d_new[t], to_r[t], out=dback[t, :, k : 2 * k])
+            np.multiply(d_new[t], r[t], out=dback[t, :, 2 * k :])
+            dh *= z[t]
+            dh += dback[t] @ ut
+            if fresh_any[t]:
                 dh[fresh_text[t]] = 0
-        dx[:, :, : 2 * k] = dback[:, :, : 2 * k]
-        flat = dx.reshape(-1, 3 * k)
-        g.u[...] = before.reshape(-1, k).T @ dback.reshape(-1, 3 * k)
+        flat = dback.reshape(-1, 3 * k)
+        g.u[...] = before.reshape(-1, k).T @ flat
+        dback[:, :, 2 * k :] = d_new  # from here on, what reaches the words that are read
         g.b[...] = flat.sum(0)
         g.w[...] = read.T @ flat
-        turn = np.argsort(rows, kind="stable")
+        turn = in_order(rows, len(net.embed))
         at = np.flatnonzero(np.diff(rows[turn], prepend=-1))
         g.embed[rows[turn[at]]] = np.add.reduceat((flat @ net.w.T)[turn], at, axis=0)
         norm = np.sqrt(sum(float(np.vdot(y, y)) for y in grads))
@@ -431,29 +493,41 @@ def fit_network(train: DataFrame, v: Vocabulary, *, rounds: int = 2, hidden: int
 
 
 def score_chunk(model: Recurrent, texts: pa.Array, told: pa.Table) -> dict[str, np.ndarray]:
-    """n_tokens, n_known, base_score and score (base 10) of each text; told has the counts of its known words but frequent ones."""
+    """n_tokens, n_known, base_score and score (base 10) of each text; told has the counts of its known words but frequent ones.
+
+    Words are split slice by slice; the network then reads all texts together."""
     v = model.vocabulary
-    words = lower_words(texts)
-    forms = words.forms.cast(pa.large_string())
-    place = pc.index_in(forms, told["word"].combine_chunks().cast(pa.large_string())) if told.num_rows else pa.nulls(len(forms), pa.int32())
-    c = np.zeros(len(forms))
-    known = place.is_valid().to_numpy(zero_copy_only=False)
-    c[known] = told["c"].to_numpy()[place.drop_null().to_numpy()]
+    asked, counted = told["word"].combine_chunks().cast(pa.large_string()), told["c"].to_numpy()
     ends = float(v.frequency[v.end])
-    out = v.outputs(forms)
     smooth = v.tokens + v.forms + 1.0
-    kind = out - len(v.words)
-    rare = kind >= 0
-    c[~rare] = v.frequency[out[~rare]]
-    # summed text by text, so that it doesn't hang on the texts beside it
-    base = np.bincount(words.doc, np.log10((c + 1) / smooth)[words.codes], len(words.counts)) + np.log10((ends + 1) / smooth)
-    inner = np.zeros(len(forms))
-    k = kind[rare]
-    inner[rare] = np.log((c[rare] + 1) / (v.kind_total[k] + v.kind_forms[k] + 1.0))
-    stream = np.insert(out[words.codes], words.starts + words.counts, v.end)
-    starts = words.starts + np.arange(len(words.starts))
-    score = score_streams(model.network, v, stream, starts, words.counts + 1) + words.per_doc(inner[words.codes])
-    return {"n_tokens": words.counts + 1, "n_known": words.per_doc((c > 0).astype(np.int64)[words.codes]) + int(ends > 0), "base_score": base, "score": score / np.log(10)}
+    made = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
+    streams = []
+    for a, b in text_slices(texts):
+        words = lower_words(texts.slice(a, b - a))
+        forms = words.forms.cast(pa.large_string())
+        place = pc.index_in(forms, asked) if told.num_rows else pa.nulls(len(forms), pa.int32())
+        c = np.zeros(len(forms))
+        known = place.is_valid().to_numpy(zero_copy_only=False)
+        c[known] = counted[place.drop_null().to_numpy()]
+        out = v.outputs(forms)
+        kind = out - len(v.words)
+        rare = kind >= 0
+        c[~rare] = v.frequency[out[~rare]]
+        # summed text by text, so that it doesn't hang on the texts beside it
+        base = np.bincount(words.doc, np.log10((c + 1) / smooth)[words.codes], len(words.counts)) + np.log10((ends + 1) / smooth)
+        inner = np.zeros(len(forms))
+        k = kind[rare]
+        inner[rare] = np.log((c[rare] + 1) / (v.kind_total[k] + v.kind_forms[k] + 1.0))
+        streams.append(np.insert(out[words.codes], words.starts + words.counts, v.end).astype(np.int32))
+        made["n_tokens"].append(words.counts + 1)
+        made["n_known"].append(words.per_doc((c > 0).astype(np.int64)[words.codes]) + int(ends > 0))
+        made["base_score"].append(base)
+        made["score"].append(words.per_doc(inner[words.codes]))
+    made = {k: np.concatenate(x) if x else np.zeros(0) for k, x in made.items()}
+    if streams:
+        sizes = made["n_tokens"]
+        made["score"] = (made["score"] + score_streams(model.network, v, np.concatenate(streams), np.cumsum(sizes) - sizes, sizes)) / np.log(10)
+    return made
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -484,8 +558,7 @@ def score_documents(docs: DataFrame, *, frequent: int = 2000) -> DataFrame:
     def score(texts: pa.Table, told: pa.Table) -> pa.Table:
         model = shared.value
         text = plain(texts["text"].combine_chunks())
-        parts = [score_chunk(model, text.slice(a, b - a), told) for a, b in text_slices(text)]
-        made = {k: np.concatenate([p[k] for p in parts]) if parts else [] for k in ("n_tokens", "n_known", "base_score", "score")}
+        made = score_chunk(model, text, told)
         n = np.full(texts.num_rows, model.vocabulary.tokens, np.int64)
         cols = [texts["doc_id"], texts["held_out"], pa.array(made["n_tokens"], pa.int64()), pa.array(made["n_known"], pa.int64()), pa.array(n), pa.array(made["base_score"], pa.float64()), pa.array(made["score"], pa.float64())]
         return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

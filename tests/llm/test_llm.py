@@ -386,6 +386,18 @@ def test_state_is_carried_over_windows_and_backpropagation_is_right():
     assert gru_lm.score_streams(trained, v, stream, starts, sizes).sum() > wide.sum()
 
 
+def test_scores_do_not_hang_on_blocks(monkeypatch):
+    """Few states at a time, and outputs told apart in small blocks, give the scores of one large block."""
+    v = gru_lm.Vocabulary(["a", "b"], np.ones(gru_lm.KINDS, np.int64), np.ones(gru_lm.KINDS, np.int64), np.arange(2 + gru_lm.KINDS + 1) + 1, 10, 5, np.arange(2 + gru_lm.KINDS + 1), 5, 5)
+    net = gru_lm.new_network(v, 6, 5, 1)
+    stream, sizes = np.random.default_rng(0).integers(0, v.end, 120), np.array([20, 70, 1, 29])
+    starts = np.cumsum(sizes) - sizes
+    large = gru_lm.score_streams(net, v, stream, starts, sizes)
+    monkeypatch.setattr(gru_lm, "STATES", 3)
+    monkeypatch.setattr(gru_lm, "BLOCK", 2)
+    assert np.allclose(gru_lm.score_streams(net, v, stream, starts, sizes), large, rtol=1e-5)
+
+
 def plain_score(model, text, counts):
     """log10 probability of a text by a plain loop over its words, one number at a time."""
     v, net = model.vocabulary, model.network
