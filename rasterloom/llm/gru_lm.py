@@ -38,8 +38,8 @@ KINDS = 18
 CHUNK_BYTES = 16 << 20
 MOST_PARTITIONS = 1 << 14
 WEIGHTS = 4096  # of the network, in one row
-STATES = 1 << 16  # held at a time when texts are scored
-BLOCK = 1 << 14  # states whose outputs are told apart at a time
+STATES = 1 << 14  # held at a time when texts are scored
+BLOCK = 1 << 13  # states whose outputs are told apart at a time
 
 
 def lower_words(texts: pa.Array) -> Words:
@@ -368,14 +368,15 @@ def train_stream(net: Network, v: Vocabulary, stream: np.ndarray, *, lanes: int
         share /= max(share.sum(), 1)
         o = Outputs(net, v, s, dst.reshape(-1))
         share = share[o.order]
-        p, q = shared_out(o.classes(), share), shared_out(o.members(), share)
+        p = shared_out(o.classes(), share)
         p[o.klass, o.place] -= share
-        q[o.member, o.place] -= share
         grads = [np.zeros_like(y) for y in params]
         g = Network(*grads)
         both = p @ o.state
         g.class_w[...], g.class_b[...] = both[:, :k], both[:, k]
         own = p.T @ net.class_w
+        q = shared_out(o.members(), share)
+        q[o.member, o.place] -= share
         for c in o.used:
             a, b = o.ends[c], o.ends[c + 1]
             both = q[:, a:b] @ o.state[a:b]
@@ -387,8 +388,9 @@ def train_stream(net: Network, v: Vocabulary, stream: np.ndarray, *, lanes: int
         # how a change of the new state reaches each gate, for all steps at once
         z, r = gates[:, :, :k], gates[:, :, k:]
         to_new = (1 - z) * (1 - new**2)
-        to_z = (before - new) * z * (1 - z)
-        to_r = back_new * r * (1 - r)
+        slope = gates * (1 - gates)
+        to_z = (before - new) * slope[:, :, :k]
+        to_r = back_new * slope[:, :, k:]
         dback = np.empty((steps, lanes, 3 * k), np.float32)
         dh = np.zeros((lanes, k), np.float32)
         ut = np.ascontiguousarray(net.u.T)
